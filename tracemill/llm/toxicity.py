@@ -7,7 +7,7 @@ of breaking the match. Landmarks are units of the training sentences; in their N
 squared hinge loss is trained on units that take the labels of the sentences they stand in. As the kernel is an
 inner product of hashed subsequence vectors, the trained machine folds into one table of weights, and a unit's
 value costs a few look-ups. A sentence has the value of its strongest unit; a document's score is a calibrated
-function of its two strongest sentences. Labels are read for training only; lang, source and doc_id never enter.
+function of its strongest sentences and of how dense strong units are. Labels are read for training only; lang, source and doc_id never enter.
 
 Defined results: null and empty texts get the score of a document without any sign of toxicity; without both
 classes in the training rows the score is the share of toxic training rows (0 without any); repeated rows are
@@ -179,23 +179,30 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> np.ndarray:
     return w
 
 
+SIGNS = 5
+
+
 def signs(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
-    """The values of the two strongest sentences of each text."""
+    """Of each text: the values of its three strongest sentences, and on a logarithmic scale the mean over all units of what their values exceed 0 and 0.4 by."""
     offsets, codes, units, sentence = units_of(texts)
-    out = np.full((len(offsets) - 1, 2), FLOOR)
+    n = len(offsets) - 1
+    out = np.zeros((n, SIGNS))
+    out[:, :3] = FLOOR
     if len(codes):
         value = np.maximum(Subsequences(units).values(table) + bias, FLOOR)[codes]
-        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        owner = np.repeat(np.arange(n), np.diff(offsets))
         order = np.lexsort((sentence, owner))
         o, s, v = owner[order], sentence[order], value[order]
         first = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (s[1:] != s[:-1])))
         best, who = np.maximum.reduceat(v, first), o[first]
         order = np.lexsort((-best, who))
         best, who = best[order], who[order]
-        top = np.append(True, who[1:] != who[:-1])
-        out[who[top], 0] = best[top]
-        next_ = np.append(False, top[:-1]) & ~top
-        out[who[next_], 1] = best[next_]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        for k in range(3):
+            out[who[place == k], k] = best[place == k]
+        total = np.maximum(np.diff(offsets), 1)
+        for k, least in ((3, 0.0), (4, 0.4)):
+            out[:, k] = np.log1p(100 * np.bincount(owner, np.maximum(value - least, 0), n) / total)
     return out
 
 
@@ -226,7 +233,7 @@ def choose_landmarks(units: list[str], bad: np.ndarray, fine: np.ndarray, n_bad:
 
 
 class Model:
-    """The folded weights, and the calibration of the two strongest sentences."""
+    """The folded weights, and the calibration of a document's signs."""
 
     def __init__(self, table: np.ndarray | None, bias: float, calibration: np.ndarray | None, share: float):
         self.table, self.bias, self.calibration, self.share = table, bias, calibration, share
@@ -277,16 +284,16 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
     root = basis / np.sqrt(np.maximum(values, 1e-3))
     x = kernel(units, folded) @ root.astype(np.float32)
     scale = 1000.0
-    w = squared_hinge(x, bad * scale, (5 * fine + 0.5 / size[0]) * scale)
+    w = squared_hinge(x, bad * scale, (2 * fine + 0.5 / size[0]) * scale)
     table = (folded @ (root @ w[:-1])).astype(np.float32)
     bias = float(w[-1])
 
     def measure(part: pa.RecordBatch) -> pa.RecordBatch:
         s = signs(strings(part, "text"), table, bias)
-        return pa.RecordBatch.from_arrays([pa.array(s[:, 0]), pa.array(s[:, 1]), part.column("toxic")], ["first", "second", "toxic"])
+        return pa.RecordBatch.from_arrays([*(pa.array(s[:, k]) for k in range(SIGNS)), part.column("toxic")], [*(f"s{k}" for k in range(SIGNS)), "toxic"])
 
-    found = sample.mapInArrow(by_slice("text", measure), "first double, second double, toxic int").toPandas()
-    calibration = logistic(found[["first", "second"]].to_numpy(), found["toxic"].to_numpy(float))
+    found = sample.mapInArrow(by_slice("text", measure), ", ".join(f"s{k} double" for k in range(SIGNS)) + ", toxic int").toPandas()
+    calibration = logistic(found[[f"s{k}" for k in range(SIGNS)]].to_numpy(), found["toxic"].to_numpy(float))
     return Model(table, bias, calibration, share)
 
 
