@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, look_up
 from .text import by_slice, strings, words_of
 
 SYMBOLS = "#*$%&|<>"
@@ -139,9 +139,9 @@ def fit_mcd(rows: DataFrame, fraction: float = 0.75, steps: int = 4, least: int
     sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(VECTOR)]
     products = [F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
     for _ in range(steps):
-        near = rows.join(params.drop("n"), "grp").withColumn("distance", _distance())
-        limit = near.groupBy("grp").agg(F.percentile_approx("distance", fraction, 1000).alias("most"))
-        inside = near.join(limit, "grp").filter("distance <= most")
+        near = look_up(rows, params.drop("n"), "grp").withColumn("distance", _distance())
+        limit = cut(near.groupBy("grp").agg(F.percentile_approx("distance", fraction, 1000).alias("most")), "mcd-limit")
+        inside = look_up(near, limit, "grp").filter("distance <= most")
         params = cut(_estimates(inside.groupBy("grp").agg(F.count("*").alias("n"), *sums, *products)), "mcd")
     return params
 
@@ -153,7 +153,7 @@ def judge(docs: DataFrame, cutoff: float = 60.0, fraction: float = 0.75, steps:
     params = fit_mcd(rows.filter("not base_failed"), fraction, steps, least)
     own = params.filter("grp <> '*'").select("grp", F.col("center").alias("own_center"), F.col("precision").alias("own_precision"))
     every = params.filter("grp = '*'").select(F.col("center").alias("all_center"), F.col("precision").alias("all_precision"))
-    found = rows.join(own, "grp", "left").join(F.broadcast(every), how="left")  # one row
+    found = look_up(rows, own, "grp", "left").join(F.broadcast(every), how="left")  # one row
     found = found.withColumns({"center": F.coalesce("own_center", "all_center"), "precision": F.coalesce("own_precision", "all_precision")})
     found = found.withColumn("distance", _distance())
     return found.select("doc_id", *COUNTS[:5], "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"), "distance")

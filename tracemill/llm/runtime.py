@@ -50,3 +50,15 @@ def vocabulary_path(path: str | None = None) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(VOCABULARY)
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", most: int = 20_000, salts: int = 16) -> DataFrame:
+    """rows joined with a table that has one row per key, whatever share of the rows one key holds.
+
+    A table of at most ``most`` rows is broadcast; a larger one is repeated over ``salts`` salts, and the rows of
+    each key are dealt over them.
+    """
+    if table.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(table), key, how)
+    salted = rows.withColumn("salt_", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    return salted.join(table.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "salt_"], how).drop("salt_")
