@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, packing, pii, quality, sharding, toxicity, warc
+from . import bpe, dedup, lm, packing, pii, quality, sharding, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_warc, op4_bpe, op6_packing, op7_exact_dedup, op8_sharding, op9_quality, op10_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op3_warc, op4_bpe, op5_lm, op6_packing, op7_exact_dedup, op8_sharding, op9_quality, op10_pii)}
 
 
 OP3_SQL = """

@@ -22,8 +22,9 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Ite
 
 
 def strings(batch: pa.RecordBatch, column: str) -> pa.Array:
-    """The column as large strings, null as empty."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The column as large strings, null as empty, in buffers of their own: ascii_lower misreads offsets that do not begin at 0."""
+    found = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    return found.take(pa.array(np.arange(len(found))))
 
 
 def words_of(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
