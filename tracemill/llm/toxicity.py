@@ -120,31 +120,36 @@ class Subsequences:
         return o, k, v / self.norm[o]
 
 
-def kernel(units: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel of units with landmarks, the latter as columns of hashed vectors (keys x landmarks)."""
-    used = np.flatnonzero(np.abs(landmarks).sum(axis=1) > 0)
-    place = np.full(len(landmarks), -1, np.int64)
-    place[used] = np.arange(len(used))
-    compact = landmarks[used]
-    out = np.zeros((len(units), landmarks.shape[1]), np.float32)
-    for at in range(0, len(units), 400):
-        o, k, v = Subsequences(units[at : at + 400]).entries()
-        p = place[k]
-        hit = p >= 0
-        o, p, v = o[hit], p[hit], v[hit]
-        order = np.argsort(o, kind="stable")
-        o, p, v = o[order], p[order], v[order]
-        if len(o):
-            first = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
-            out[at + o[first]] = np.add.reduceat(compact[p] * v[:, None].astype(np.float32), first, axis=0)
-    return out
-
+class Landmarks:
+    """Landmark units as columns of a matrix over the subsequences that occur in them."""
 
-def vectors(units: list[str]) -> np.ndarray:
-    out = np.zeros((1 << BITS, len(units)), np.float32)
-    o, k, v = Subsequences(units).entries()
-    np.add.at(out, (k, o), v)
-    return out
+    def __init__(self, units: list[str]):
+        owner, key, value = Subsequences(units).entries()
+        self.keys, row = np.unique(key, return_inverse=True)
+        self.matrix = np.zeros((len(self.keys), len(units)), np.float32)
+        np.add.at(self.matrix, (row, owner), value)
+        self.place = np.full(1 << BITS, -1, np.int32)
+        self.place[self.keys] = np.arange(len(self.keys))
+
+    def kernel(self, units: list[str], step: int = 100) -> np.ndarray:
+        """Kernel of units with the landmarks."""
+        out = np.zeros((len(units), self.matrix.shape[1]), np.float32)
+        for at in range(0, len(units), step):
+            o, k, v = Subsequences(units[at : at + step]).entries()
+            p = self.place[k]
+            hit = np.flatnonzero(p >= 0)
+            hit = hit[np.argsort(o[hit], kind="stable")]
+            o, p, v = o[hit], p[hit], v[hit].astype(np.float32)
+            if len(o):
+                first = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
+                out[at + o[first]] = np.add.reduceat(self.matrix[p] * v[:, None], first, axis=0)
+        return out
+
+    def folded(self, weights: np.ndarray) -> np.ndarray:
+        """One weight per hashed subsequence: the machine with these weights on the landmarks."""
+        table = np.zeros(1 << BITS, np.float32)
+        table[self.keys] = self.matrix @ weights
+        return table
 
 
 def squared_hinge(x: np.ndarray, bad: np.ndarray, fine: np.ndarray, penalty: float = 0.01, rounds: int = 15) -> np.ndarray:
@@ -278,14 +283,14 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
     rows = counted.orderBy((F.col("bad") * ratio + F.col("fine")).desc(), F.xxhash64("unit")).limit(max_units).toPandas()
     units, bad, fine = rows["unit"].tolist(), rows["bad"].to_numpy(float) / size[1], rows["fine"].to_numpy(float) / size[0]
     marks = choose_landmarks(units, bad, fine, size[1], size[0], landmarks)
-    folded = vectors(marks)
-    inner = kernel(marks, folded).astype(float)
+    space = Landmarks(marks)
+    inner = space.kernel(marks).astype(float)
     values, basis = np.linalg.eigh((inner + inner.T) / 2 + 1e-3 * np.eye(len(marks)))
     root = basis / np.sqrt(np.maximum(values, 1e-3))
-    x = kernel(units, folded) @ root.astype(np.float32)
+    x = space.kernel(units) @ root.astype(np.float32)
     scale = 1000.0
     w = squared_hinge(x, bad * scale, (2 * fine + 0.5 / size[0]) * scale)
-    table = (folded @ (root @ w[:-1])).astype(np.float32)
+    table = space.folded(root @ w[:-1])
     bias = float(w[-1])
 
     def measure(part: pa.RecordBatch) -> pa.RecordBatch:
