@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, lm, packing, pii, quality, sharding, toxicity, warc
+from . import bpe, dedup, jaccard_join, lm, packing, pii, quality, sharding, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_documents(spark, sf_dir))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.convert_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -51,7 +55,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_warc, op4_bpe, op5_lm, op6_packing, op7_exact_dedup, op8_sharding, op9_quality, op10_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_warc, op4_bpe, op5_lm, op6_packing, op7_exact_dedup, op8_sharding, op9_quality, op10_pii)}
 
 
 OP3_SQL = """
