@@ -411,3 +411,10 @@ def jaccard_components(docs: DataFrame, numerator: int = 3, denominator: int = 4
     least = placed.filter("node <> 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     out = placed.join(least, "root", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, numerator: int = 3, denominator: int = 4) -> DataFrame:
+    """docs with the smallest doc_id of each component, all columns as they were; documents with the empty set stay."""
+    found = jaccard_components(docs, numerator, denominator)
+    dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
