@@ -30,7 +30,8 @@ def prefix_rows(log: EventLog, min_prefix: int = 1, max_prefix: int = 20, classi
 
 def frequency_features(rows: DataFrame, activities: list[str]) -> DataFrame:
     """Columns: count of each activity, prefix length, and whether each activity is the last one."""
-    counts = [F.size(F.filter("prefix", lambda x, a=a: x == a)).alias(f"count {a}") for a in activities]
+    is_ = lambda a: lambda x: x == a
+    counts = [F.size(F.filter("prefix", is_(a))).alias(f"count {a}") for a in activities]
     last = F.try_element_at("prefix", F.lit(-1))
     flags = [F.when(last == a, 1).otherwise(0).alias(f"last is {a}") for a in activities]
     return rows.select("*", *counts, F.col("prefix_length").alias("length"), *flags)
