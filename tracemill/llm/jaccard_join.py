@@ -6,16 +6,19 @@ following the size band of the set, and a set is seen as one subset per segment.
 fewer places than a set has usable segments, one of these segments agrees, or differs in one shingle at most where
 one-deletion neighbourhoods are indexed as well. Empty segments are never used, so a match always says something.
 
-Allocation: a band indexes so many segments as its expected capacity needs, an eighth of them with one-deletion
-neighbourhoods; each set then marks the cheapest ones, by the frequencies of a bounded sample of documents, until
-they outnumber the possible differences; only pairs with a mark on either side are candidates. A set with too few
-usable segments, and every small set, also indexes its single shingles, and as two such sets that are similar share
-one, no pair is lost.
-
-Signatures are shuffled once and read in sorted order, so a group of any size passes through in constant memory.
-Members of a group are first verified against the group's leader only; groups that the links found so far join
-into one component are done, in others the pairs between components are verified in further rounds. Verification
-compares exact shingle sets. Equal sets are one node from the start and are never expanded into pairs.
+Allocation, by cost: a set indexes its subsets, cheapest rows per segment first decided by a bounded sample of
+documents whose frequent signatures are left out, segment by segment until they outnumber the possible differences by
+a twentieth of its size. Of two similar sets the one that stops earlier finds all its segments indexed by the
+other. Sets whose segments do not suffice index all of them with their one-deletion neighbourhoods, which count
+twice, and the smallest ones their single shingles.
+
+Signatures are shuffled once and read in sorted order. Groups of up to GROUP sets give pairs, and a pair goes on if it
+shares as many signatures as similar sets of these sizes must, less those that may lie in larger groups. Sets with
+too many signatures in larger groups are indexed again, by their rarest segments with exact counts. Sets that share
+even these with many, such as near copies of one text, form clusters: links to a few leaders come first, and sets
+that are then still in different components are compared block by block by parity sketches, whose distance never
+exceeds that of the sets. Whatever is left is verified on the exact shingle sets. Equal sets are one node from the
+start and are never expanded into pairs.
 
 Defined results: null and empty texts and those without words have the empty set and link with nothing; repeated
 rows are one node; a null doc_id never is the smallest unless no other is there; an empty table gives an empty
@@ -27,29 +30,42 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .runtime import cut
 from .text import MIX, by_slice, mixed, shingles_of, strings
 
 WIDTH = 5
-#: A level has 2^level segments of at most FULL shingles on average.
-FULL = 2.7
+#: A level has 4^level segments of at most FULL shingles on average.
+FULL = 0.4
 #: Sets of up to so many shingles always index single shingles.
 SMALL = 12
-DELETIONS = 8  # every 8th segment also has one-deletion neighbourhoods
 SINGLE = 63  # the level of single shingles
 #: Documents in the sample for costs, and how many of them make a signature expensive.
 SAMPLE_DOCS, EXPENSIVE = 2000, 4
 SEEN = 200_000  # nodes a task remembers so as to index a copy once
-PAIRS = 2_000  # pairs a group may give in a round before leaders are tried again
-ROUNDS = 3
+GROUP = 8  # groups of more sets than that are large
+ROUNDS = 1  # of links to leaders
+ROWS, TEXTS = 200_000, 5_000  # pairs, and texts to compare, for each task
+CLOSEST = (2, 2, None)  # candidates for each set and block, in turn; the last turn takes all
+BLOCK = 1000  # sets of a cluster that are held against each other at a time
+SKETCH_BITS = 4096
+# A node is one set: its size, whether it is poor in segments, and a hash, in one number.
+HASH_BITS = 43
+POOR = 1 << HASH_BITS
+SIZE_SHIFT = HASH_BITS + 1
+MOST = (1 << (63 - SIZE_SHIFT)) - 1  # larger sizes are kept as this one
 
 
 def level_of(size: int) -> int:
-    return max(0, math.ceil(math.log2(max(1, size) / FULL)))
+    level = 0
+    while (1 << 2 * level) * FULL < size:
+        level += 1
+    return level
 
 
 def levels_for(size: int, numerator: int, denominator: int) -> list[int]:
@@ -57,44 +73,46 @@ def levels_for(size: int, numerator: int, denominator: int) -> list[int]:
     return list(range(level_of(-(-size * numerator // denominator)), level_of(size) + 1))
 
 
-def needed(size: int, numerator: int, denominator: int) -> int:
-    """More than the differences to any similar set, the other one being as large as it may."""
-    largest = size * denominator // numerator
-    return (denominator - numerator) * (size + largest) // (denominator + numerator) + 1
+def most_differences(size: int, numerator: int, denominator: int) -> int:
+    """Between a set and a similar one that is as large as it may be."""
+    return (denominator - numerator) * (size + size * denominator // numerator) // (denominator + numerator)
+
 
+def target(size, numerator: int, denominator: int):
+    """Segments that a set indexes; works on numbers, arrays and columns of non-negative values."""
+    largest = (size * denominator - size * denominator % numerator) / numerator
+    both = (denominator - numerator) * (size + largest)
+    return (both - both % (denominator + numerator)) / (denominator + numerator) + (size - size % 20) / 20 + 3
 
-def indexed_segments(size: int, level: int, need: int) -> int:
-    """How many of the level's segments are indexed: so that the expected capacity exceeds the need with a margin."""
-    m = 1 << level
-    mean = size / m
-    capacity = m * (1 - math.exp(-mean)) + m / DELETIONS * (1 - math.exp(-mean) * (1 + mean))
-    return min(m, math.ceil(m * (need * 1.08 + 6) / max(capacity, 1e-9)))
 
+def signatures(keys: np.ndarray, offsets: np.ndarray, expensive: np.ndarray, numerator: int, denominator: int, whole: bool = False):
+    """(signature, set number) rows of many sets given as sorted distinct hashes, and which sets are poor in segments.
 
-def signatures(keys: np.ndarray, offsets: np.ndarray, expensive: np.ndarray, numerator: int, denominator: int):
-    """(signature, set number, mark) rows of many sets given as sorted distinct hashes."""
+    With ``whole``, all subsets and nothing else are indexed; the rows' turns (one for each level of a set) and the
+    least number of subsets that each set has at any of its levels come instead of the poor sets.
+    """
     sizes = np.diff(offsets)
     n = len(sizes)
-    bands = {int(s): (levels_for(int(s), numerator, denominator), needed(int(s), numerator, denominator)) for s in np.unique(sizes) if s}
-    out_sig, out_set, out_mark = [], [], []
-    short = np.zeros(n, bool)
-    short[(sizes > 0) & (sizes * numerator <= SMALL * denominator)] = True
+    out_sig, out_set, out_turn = [], [], []
+    single = (sizes > 0) & (sizes * numerator <= SMALL * denominator)
+    poor = single.copy()
+    subsets = np.full(n, 1 << 30)
     owner = np.repeat(np.arange(n), sizes)
     values = mixed(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     place = mixed(keys + MIX) >> np.uint64(1)
-    for turn in range(3):  # a set has three levels at most
+    need = target(sizes, numerator, denominator).astype(np.int64)
+    least = {int(s): levels_for(int(s), numerator, denominator) for s in np.unique(sizes) if s}
+    for turn in range(2):  # a set has two levels at most
         level = np.full(n, -1)
-        limit, need = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for s, (levels, k) in bands.items():
+        for s, levels in least.items():
             if turn < len(levels):
-                at = sizes == s
-                level[at], limit[at], need[at] = levels[turn], indexed_segments(s, levels[turn], k), k
+                level[sizes == s] = levels[turn]
         live = level[owner] >= 0
         if not live.any():
             break
         own = owner[live]
-        segment = (place[live] & ((np.uint64(1) << level[own].astype(np.uint64)) - np.uint64(1))).astype(np.int64)
-        order = np.lexsort((segment, own))
+        segment = (place[live] & ((np.uint64(1) << (2 * level[own]).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+        order = np.argsort(own << 40 | segment, kind="stable")
         own, segment, value = own[order], segment[order], values[live][order]
         first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (segment[1:] != segment[:-1])))
         count = np.diff(np.append(first, len(own)))
@@ -102,42 +120,43 @@ def signatures(keys: np.ndarray, offsets: np.ndarray, expensive: np.ndarray, num
         o, s = own[first], segment[first]
         tag = mixed((s.astype(np.uint64) + np.uint64(1)) * MIX + level[o].astype(np.uint64))
         sig = mixed(total + tag)
-        deleting = (s % DELETIONS == 0) & (count >= 2)
-        # a set that can't do with the indexed segments indexes all of them, and its single shingles
-        inside = s < limit[o]
-        worth = 1 + deleting.astype(np.int64)
-        capacity = np.bincount(o[inside], worth[inside], n)
-        poor = (level >= 0) & (capacity < need)
-        short |= poor
-        keep = inside | poor[o]
-        dear = np.isin(sig, expensive)
-        rank = np.lexsort((~inside, dear, o))
-        run = np.cumsum(worth[rank]) - worth[rank]
-        begin = np.searchsorted(o[rank], o[rank])
-        mark = np.zeros(len(sig), bool)
-        mark[rank] = run - run[begin] < need[o[rank]]
-        mark |= poor[o]
+        if whole:
+            subsets = np.where(level >= 0, np.minimum(subsets, np.bincount(o, minlength=n)), subsets)
+            out_sig.append(sig)
+            out_set.append(o)
+            out_turn.append(np.full(len(o), turn))
+            continue
+        cheap = ~np.isin(sig, expensive) if len(expensive) else np.ones(len(sig), bool)
+        reached = np.cumsum(cheap)
+        before = reached - cheap - (reached - cheap)[np.searchsorted(o, o)]
+        capacity = np.bincount(o[cheap], minlength=n)
+        lacking = (level >= 0) & (capacity < need)
+        poor |= lacking
+        keep = cheap & (before < need[o]) | lacking[o]
         out_sig.append(sig[keep])
         out_set.append(o[keep])
-        out_mark.append(mark[keep])
+        # one-deletion neighbourhoods count twice where two shingles or more are left to delete from
+        double = np.bincount(o, 1 + (count >= 2), n)
+        single |= lacking & (double < need)
         which = np.repeat(np.arange(len(first)), count)
-        less = (deleting & keep)[which]
+        less = (lacking[o] & (count >= 2))[which]
         out_sig.append(mixed(total[which][less] - value[less] + tag[which][less]))
         out_set.append(o[which][less])
-        out_mark.append(mark[which][less])
-    single = short[owner]
-    out_sig.append(mixed(values[single] + np.uint64(SINGLE)))
-    out_set.append(owner[single])
-    out_mark.append(np.ones(int(single.sum()), bool))
-    return np.concatenate(out_sig), np.concatenate(out_set), np.concatenate(out_mark)
+    if whole:
+        rows = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((out_sig, np.uint64), (out_set, np.int64), (out_turn, np.int64))]
+        return rows[0], rows[1], (rows[2], np.where(sizes > 0, subsets, 0))
+    alone = single[owner]
+    out_sig.append(mixed(values[alone] + np.uint64(SINGLE)))
+    out_set.append(owner[alone])
+    return np.concatenate(out_sig), np.concatenate(out_set), poor
 
 
-def node_ids(keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 63-bit id of each set; 0 for the empty one."""
+def node_ids(keys: np.ndarray, offsets: np.ndarray, poor: np.ndarray) -> np.ndarray:
+    """The number of each set; 0 for the empty one."""
     sizes = np.diff(offsets)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(keys + np.uint64(77)), dtype=np.uint64)])
-    found = mixed(total[offsets[1:]] - total[offsets[:-1]] + sizes.astype(np.uint64)) >> np.uint64(1)
-    return np.where(sizes > 0, np.maximum(found, np.uint64(1)), np.uint64(0)).astype(np.int64)
+    found = (mixed(total[offsets[1:]] - total[offsets[:-1]] + sizes.astype(np.uint64)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    return np.where(sizes > 0, np.minimum(sizes, MOST) << SIZE_SHIFT | poor * POOR | found, 0)
 
 
 def _expensive(docs: DataFrame, numerator: int, denominator: int) -> np.ndarray:
@@ -146,8 +165,8 @@ def _expensive(docs: DataFrame, numerator: int, denominator: int) -> np.ndarray:
 
     def each(part: pa.RecordBatch) -> pa.RecordBatch | None:
         offsets, keys = shingles_of(strings(part, "text"), WIDTH)
-        _, first = np.unique(node_ids(keys, offsets), return_index=True)
-        sig, of, _ = signatures(keys, offsets, np.empty(0, np.uint64), numerator, denominator)
+        sig, of, poor = signatures(keys, offsets, np.empty(0, np.uint64), numerator, denominator)
+        _, first = np.unique(node_ids(keys, offsets, poor), return_index=True)
         return pa.RecordBatch.from_arrays([pa.array(sig[np.isin(of, first)].view(np.int64))], ["sig"])
 
     rows = sample.select("text").mapInArrow(by_slice("text", each), "sig long").groupBy("sig").count().filter(F.col("count") >= EXPENSIVE).select("sig").toPandas()
@@ -155,14 +174,15 @@ def _expensive(docs: DataFrame, numerator: int, denominator: int) -> np.ndarray:
 
 
 def index_rows(docs: DataFrame, expensive: np.ndarray, numerator: int, denominator: int) -> DataFrame:
-    """Signature rows (sig, node, size with the mark as its lowest bit) and one row per document (doc_id set)."""
+    """Signature rows (sig, node), and one row per document with its doc_id as sig and -1 - node as node."""
 
     def run(batches):
         seen: dict[int, None] = {}
 
         def each(part: pa.RecordBatch) -> pa.RecordBatch:
             offsets, keys = shingles_of(strings(part, "text"), WIDTH)
-            nodes, sizes = node_ids(keys, offsets), np.diff(offsets)
+            sig, of, poor = signatures(keys, offsets, expensive, numerator, denominator)
+            nodes = node_ids(keys, offsets, poor)
             fresh = np.zeros(len(nodes), bool)
             for k, node in enumerate(nodes.tolist()):
                 if node and node not in seen:
@@ -170,26 +190,24 @@ def index_rows(docs: DataFrame, expensive: np.ndarray, numerator: int, denominat
                     seen[node] = None
             while len(seen) > SEEN:
                 del seen[next(iter(seen))]
-            some = np.flatnonzero(fresh)
-            kept = np.repeat(fresh, sizes)
-            sub = np.concatenate([[0], np.cumsum(sizes[some])])
-            sig, of, mark = signatures(keys[kept], sub, expensive, numerator, denominator)
-            of = some[of]
-            doc = part.column("doc_id")
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([sig.view(np.int64), mixed(nodes.view(np.uint64)).view(np.int64) ^ np.arange(len(nodes))])),
-                    pa.array(np.concatenate([nodes[of], nodes])),
-                    pa.array(np.concatenate([sizes[of] * 2 + mark, sizes * 2]).astype(np.int32)),
-                    pa.concat_arrays([pa.nulls(len(sig), doc.type), doc]),
-                    pa.array(np.concatenate([np.zeros(len(sig), bool), np.ones(len(nodes), bool)])),
-                ],
-                ["sig", "node", "size", "doc_id", "is_doc"],
-            )
+            kept = fresh[of]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(sig[kept].view(np.int64)), part.column("doc_id")]), pa.array(np.concatenate([nodes[of[kept]], -1 - nodes]))], ["sig", "node"])
 
         yield from by_slice("text", each)(batches)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sig long, node long, size int, doc_id long, is_doc boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "sig long, node long")
+
+
+def whole_rows(texts: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """All subsets (sig, node, turn) of the sets of texts (node, text), and one row per node with its number of subsets as sig and -1 - node as node."""
+
+    def each(part: pa.RecordBatch) -> pa.RecordBatch:
+        offsets, keys = shingles_of(strings(part, "text"), WIDTH)
+        sig, of, (turn, subsets) = signatures(keys, offsets, np.empty(0, np.uint64), numerator, denominator, whole=True)
+        nodes = part.column("node").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig.view(np.int64), subsets.astype(np.int64)])), pa.array(np.concatenate([nodes[of], -1 - nodes])), pa.array(np.concatenate([turn, np.zeros(len(nodes), np.int64)]))], ["sig", "node", "turn"])
+
+    return texts.select("node", "text").mapInArrow(by_slice("text", each), "sig long, node long, turn long")
 
 
 def _group_starts(*columns: np.ndarray) -> np.ndarray:
@@ -198,80 +216,98 @@ def _group_starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _first_pairs(numerator: int, denominator: int):
-    """Over rows sorted by (sig, size, node): documents pass, groups give pairs with their leader, and groups of three or more their rows."""
+def _read_groups(numerator: int, denominator: int):
+    """Over rows sorted by (sig, node): kind 0, documents (a = node, b = doc_id); kind 1, pairs of small groups with how
+    many signatures they share here; kind 2, rows of large groups (a = node, b = sig). Only the last small group is held back."""
+
+    def made(kind: int, a, b, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), b if isinstance(b, pa.Array) else pa.array(b), pa.array(n.astype(np.int32))], ["kind", "a", "b", "n"])
 
     def run(batches):
-        names = ["kind", "sig", "a", "b", "size", "doc_id"]
+        held_sig, held_node, large = np.empty(0, np.int64), np.empty(0, np.int64), None
+        last_node = None
 
-        def made(kind, sig, a, b, size, doc=None):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(sig), pa.array(a), pa.array(b), pa.array(size.astype(np.int32)), doc if doc is not None else pa.nulls(len(a), pa.int64())], names)
+        def flush(sig, node):
+            first = _group_starts(sig)
+            count = np.diff(np.append(first, len(sig)))
+            small = np.repeat(count <= GROUP, count)
+            if not small.all():
+                yield made(2, node[~small], sig[~small], np.ones(int((~small).sum())))
+            group, node = np.repeat(np.arange(len(first)), count)[small], node[small]
+            size = np.minimum(node >> SIZE_SHIFT, MOST)
+            pairs = []
+            for k in range(1, GROUP):
+                if len(node) > k:
+                    ok = (group[k:] == group[:-k]) & ((size[k:] * numerator <= size[:-k] * denominator) | (size[k:] == MOST))
+                    pairs.append(np.stack([node[:-k][ok], node[k:][ok]], axis=1))
+            pairs = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
+            if len(pairs):
+                order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+                pairs = pairs[order]
+                at = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1)))
+                yield made(1, pairs[at, 0], pairs[at, 1], np.diff(np.append(at, len(pairs))))
 
-        held: list = []  # rows of the group that the batch before ended with, at most its leader and two more
         for batch in batches:
-            is_doc = np.asarray(batch.column("is_doc").to_numpy(zero_copy_only=False), bool)
+            node = batch.column("node").to_numpy()
+            is_doc = node < 0
             if is_doc.any():
                 docs = batch.filter(pa.array(is_doc))
-                node = docs.column("node").to_numpy()
-                yield made(0, node, node, node, docs.column("size").to_numpy() // 2, docs.column("doc_id"))
-            rows = batch.filter(pa.array(~is_doc))
-            sig, node, size = (rows.column(c).to_numpy() for c in ("sig", "node", "size"))
-            if held:
-                sig, node, size = (np.concatenate([h, x]) for h, x in zip(held, (sig, node, size)))
+                yield made(0, -1 - docs.column("node").to_numpy(), docs.column("sig"), np.zeros(docs.num_rows))
+            sig, node = batch.column("sig").to_numpy(zero_copy_only=False)[~is_doc].astype(np.int64), node[~is_doc]
+            sig, node = np.concatenate([held_sig, sig]), np.concatenate([held_node, node])
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            sig, node = sig[new], node[new]
+            if large is not None and len(sig):  # the group that went on from the batch before
+                on = int(np.searchsorted(sig != large, True)) if sig[0] == large else 0
+                start = 1 if on and node[0] == last_node else 0
+                if on > start:
+                    yield made(2, node[start:on], sig[start:on], np.ones(on - start))
+                if on == len(sig):
+                    last_node = node[-1] if on else last_node
+                    held_sig, held_node = sig[:0], node[:0]
+                    continue
+                if on or sig[0] != large:
+                    large = None
+                sig, node = sig[on:], node[on:]
             if not len(sig):
                 continue
-            first = _group_starts(sig)
-            last = first[-1]
-            pairs_a, pairs_b, rows_of = [], [], []
-            counts = np.diff(np.append(first, len(sig)))
-            for g in np.flatnonzero(counts > 1):
-                at, to = first[g], first[g] + counts[g]
-                n, s = node[at:to], size[at:to]
-                new = np.append(True, n[1:] != n[:-1])
-                if not new[1:].any():
-                    continue
-                groups = np.flatnonzero(new)
-                n, s, marks = n[groups], s[groups] // 2, np.maximum.reduceat(s & 1, groups)
-                if not marks.any():
-                    continue
-                lead = np.zeros(len(n), np.int64)
-                k = 0
-                while k < len(n):  # a leader for each window of sizes that can be similar to its own
-                    end = int(np.searchsorted(s, s[k] * denominator // numerator, "right"))
-                    lead[k:end] = k
-                    k = end
-                ok = (lead != np.arange(len(n))) & ((marks | marks[lead]) > 0)
-                pairs_a.append(n[lead[ok]])
-                pairs_b.append(n[ok])
-                if len(n) > 2:
-                    rows_of.append((np.full(len(n), sig[at]), n, s * 2 + marks))
-            if pairs_a:
-                a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
-                a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
-                yield made(1, a, a, b, np.zeros(len(a)))
-            if rows_of:
-                g, n, s = (np.concatenate(x) for x in zip(*rows_of))
-                yield made(2, g, n, n, s)
-            kept = slice(last, min(len(sig), last + 3)) if counts[-1] > 3 else slice(last, len(sig))
-            held = [sig[kept].copy(), node[kept].copy(), size[kept].copy()]
+            at = _group_starts(sig)[-1]
+            if len(sig) - at > GROUP:
+                large, last_node = sig[-1], node[-1]
+                held_sig, held_node = sig[:0], node[:0]
+                yield from flush(sig, node)
+            else:
+                held_sig, held_node = sig[at:].copy(), node[at:].copy()
+                if at:
+                    yield from flush(sig[:at], node[:at])
+        if len(held_sig):
+            yield from flush(held_sig, held_node)
 
     return run
 
 
+def _texts(docs: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:
+    """doc_id and text of the given documents; up to ``most`` ids are broadcast, more are joined."""
+    texts = docs.select("doc_id", "text")
+    if ids.limit(most + 1).count() <= most:
+        return texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    return texts.join(ids, "doc_id", "left_semi")
+
+
 def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, numerator: int, denominator: int, salts: int = 8, most: int = 500_000) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets are similar enough.
 
     The leaders' texts are repeated over salts, so that a leader with very many members is dealt to several tasks.
     """
-    members = pairs.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt"))
-    leaders = members.select("leader", "salt").distinct().select("leader", F.lit(0).cast("long").alias("node"), "salt")
-    wanted = members.unionByName(leaders).withColumn("of", F.when(F.col("node") == 0, F.col("leader")).otherwise(F.col("node")))
-    wanted = wanted.join(reps.select(F.col("node").alias("of"), "doc_id"), "of").drop("of")
-    ids = wanted.select("doc_id").distinct()
-    texts = docs.select("doc_id", "text")
-    if ids.limit(most + 1).count() <= most:
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = wanted.join(texts, "doc_id").select("leader", "salt", "node", "text")
+    n = pairs.count()
+    tasks, wide = 1 + n // ROWS, 1 + n // TEXTS
+    members = pairs.coalesce(tasks).select(F.col("a").alias("leader"), F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt"))
+    leaders = members.select("leader", "salt").distinct().select("leader", F.lit(0).cast("long").alias("node"), "salt").coalesce(tasks)
+    wanted = members.unionByName(leaders).withColumn("of", F.when(F.col("node") == 0, F.col("leader")).otherwise(F.col("node"))).coalesce(tasks)
+    wanted = wanted.join(reps.select(F.col("node").alias("of"), "doc_id"), "of").drop("of").coalesce(tasks)
+    texts = _texts(docs, wanted.select("doc_id").distinct().coalesce(tasks), most)
+    rows = wanted.join(texts, "doc_id").select("leader", "salt", "node", "text").coalesce(wide)
     rows = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "node")
 
     def run(batches):
@@ -294,119 +330,162 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, numerator: int, d
 
         yield from by_slice("text", each)(batches)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long").coalesce(wide).distinct().coalesce(tasks)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the least node of its component) of all nodes in edges (a, b), by alternating large-star and small-star steps."""
+    """node and root (the least node of its component) of all nodes in edges (a, b), by alternating large-star and small-star steps.
+
+    The number of tasks follows the number of edges.
+    """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    state = None
+    tasks, state = 1 + edges.count() // ROWS, None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        edges = edges.coalesce(tasks)
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks)
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(tasks)
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").coalesce(tasks).distinct().coalesce(tasks)
+        low = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
         small = large.join(low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct().coalesce(tasks)
         edges = cut(small, "edges")
         now = edges.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("h")).first()
         if state == tuple(now):
             break
         state = tuple(now)
-    return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+    return edges.coalesce(tasks).groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").coalesce(tasks)
 
 
-def _cross_pairs(numerator: int, denominator: int, turn: int, last: bool):
-    """Over rows (sig, node, size, root) sorted by sig: pairs of different components; large groups pair with leaders first."""
+def sketches(texts: DataFrame) -> DataFrame:
+    """node and sketch of texts (node, text): for each of SKETCH_BITS cells of the universe, the parity of the set's shingles in it.
 
-    def run(batches):
-        held: list | None = None
-
-        def pairs(node, size, root):
-            order = np.lexsort((node, size // 2))
-            node, s, marks, root = node[order], size[order] // 2, size[order] & 1, root[order]
-            new = np.append(True, node[1:] != node[:-1])
-            node, s, marks, root = node[new], s[new], marks[new], root[new]
-            if len(np.unique(root)) < 2:
-                return
-            ends = np.searchsorted(s, s * denominator // numerator, "right")
-            total = int((ends - np.arange(len(s)) - 1).sum())
-            if total > PAIRS and not last:
-                # leaders: in each window of sizes the nodes that come first in this turn's order, of up to four components
-                score = mixed(node.view(np.uint64) + np.uint64(turn) * MIX)
-                k = 0
-                while k < len(s):
-                    end = int(ends[k])
-                    inside = np.arange(k, end)
-                    ordered = inside[np.argsort(score[inside])]
-                    _, one = np.unique(root[ordered], return_index=True)
-                    for lead in ordered[np.sort(one)[:4]]:
-                        ok = inside[(root[inside] != root[lead]) & ((marks[inside] | marks[lead]) > 0)]
-                        if len(ok):
-                            yield np.full(len(ok), node[lead]), node[ok]
-                    k = max(end, k + 1)
-                return
-            for k in range(len(s)):
-                other = np.arange(k + 1, ends[k])
-                ok = other[(root[other] != root[k]) & ((marks[other] | marks[k]) > 0)]
-                if len(ok):
-                    yield np.full(len(ok), node[k]), node[ok]
-
-        def flush(group):
-            found = list(pairs(*group[1:]))
-            return found
+    The sketches of two sets differ in no more bits than the sets differ in shingles.
+    """
 
-        for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("sig", "node", "size", "root")]
-            if held is not None:
-                columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
-            if not len(columns[0]):
-                continue
-            first = _group_starts(columns[0])
-            found = []
-            for at, to in zip(first[:-1], first[1:]):
-                found += flush([c[at:to] for c in columns])
-            held = [c[first[-1] :].copy() for c in columns]
-            if found:
-                yield _pairs_batch(found)
-        if held is not None and len(held[0]):
-            found = flush(held)
-            if found:
-                yield _pairs_batch(found)
+    def each(part: pa.RecordBatch) -> pa.RecordBatch:
+        offsets, keys = shingles_of(strings(part, "text"), WIDTH)
+        owner = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+        cell = (mixed(keys ^ np.uint64(0x5bd1e995)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+        odd = np.bincount(owner * SKETCH_BITS + cell, minlength=part.num_rows * SKETCH_BITS).astype(np.uint8) & 1
+        bits = np.packbits(odd.reshape(part.num_rows, SKETCH_BITS), axis=1)
+        return pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.tobytes() for x in bits], pa.binary())], ["node", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(by_slice("text", each, 1 << 20), "node long, sketch binary")
+
+
+def _near_blocks(numerator: int, denominator: int, closest: int | None):
+    """Pairs (a, b) of nodes of different components in two blocks (side 0 and 1, or 0 alone) whose sizes and sketches allow a link;
+    with ``closest``, so many for each node of side 0."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
+        node, root, side = (pdf[c].to_numpy() for c in ("node", "root", "side"))
+        size = node >> SIZE_SHIFT
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        out = []
+        for i in left:
+            small, big = np.minimum(size[i], size[right]), np.maximum(size[i], size[right])
+            ok = right[(root[right] != root[i]) & (node[right] != node[i]) & ((small * denominator >= big * numerator) | (big == MOST))]
+            if len(ok):
+                far = np.bitwise_count(sketch[ok] ^ sketch[i]).sum(axis=1)
+                most = (denominator - numerator) * (size[i] + size[ok]) // (denominator + numerator)
+                near = (far <= most) | (np.maximum(size[i], size[ok]) == MOST)
+                ok = ok[near]
+                if closest and len(ok) > closest:
+                    ok = ok[np.argsort(far[near], kind="stable")[:closest]]
+                out.append(np.stack([np.minimum(node[i], node[ok]), np.maximum(node[i], node[ok])], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
 
-def _pairs_batch(found: list) -> pa.RecordBatch:
-    a, b = (np.concatenate(x) for x in zip(*found))
-    a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def _size(node: str):
+    return F.shiftright(F.col(node), SIZE_SHIFT)
+
+
+def _is_poor(node: str):
+    return F.col(node).bitwiseAND(F.lit(POOR)) != 0
+
+
+def _sharing(shared: DataFrame, large: DataFrame, least, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (a, b) that share ``least`` signatures or more, counting all that one of the two may have in large groups.
+
+    shared: a, b, n; large: node, n; least: a column over a, b and the columns that ``large`` adds for either side.
+    """
+    pairs = shared.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    for side in ("a", "b"):
+        pairs = pairs.join(large.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in large.columns if c != "node")), side, "left")
+    hidden = F.least(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0)))
+    return pairs.filter((F.col("n") + hidden >= least) | (_size("a") == MOST) | (_size("b") == MOST)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, numerator: int = 3, denominator: int = 4) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id; sets link when intersection / union >= numerator / denominator."""
-    expensive = _expensive(docs, numerator, denominator)
-    rows = index_rows(docs, expensive, numerator, denominator).repartition("sig").sortWithinPartitions("sig", "size", "node")
-    found = cut(rows.mapInArrow(_first_pairs(numerator, denominator), "kind byte, sig long, a long, b long, size int, doc_id long"), "jaccard")
-    nodes = found.filter("kind = 0").select("doc_id", F.col("a").alias("node"), F.col("size").cast("long").alias("n_shingles"))
-    reps = nodes.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    pairs = cut(found.filter("kind = 1").select("a", "b").distinct(), "pairs")
-    tested = pairs
-    links = cut(verify(docs, reps, pairs, numerator, denominator), "links")
-    groups = found.filter("kind = 2").select("sig", F.col("a").alias("node"), "size")
-    for turn in range(1, ROUNDS + 1):
+    differ = lambda r, s: F.floor((denominator - numerator) * (r + s) / (denominator + numerator))
+    must = lambda r, s: target(r, numerator, denominator) - differ(r, s)
+    grouped = lambda rows: rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_read_groups(numerator, denominator), "kind byte, a long, b long, n int")
+    in_large = lambda rows: rows.filter("kind = 2").select(F.col("b").alias("sig"), F.col("a").alias("node"))
+    size, small, big = _size("node"), F.least(_size("a"), _size("b")), F.greatest(_size("a"), _size("b"))
+    upper, lower = F.floor(size * denominator / numerator), F.ceil(size * numerator / denominator)
+
+    # all sets, by as many segments as their sizes need
+    found = cut(grouped(index_rows(docs, _expensive(docs, numerator, denominator), numerator, denominator)), "jaccard")
+    nodes = found.filter("kind = 0").select(F.col("b").alias("doc_id"), F.col("a").alias("node"), _size("a").alias("n_shingles"))
+    tasks = 1 + nodes.count() // ROWS
+    reps = cut(nodes.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).coalesce(tasks), "reps")
+    large = cut(in_large(found).groupBy("node").agg(F.count("*").alias("n")).coalesce(tasks), "large")
+    unsafe = large.filter(_is_poor("node") | (F.col("n") >= F.least(must(size, upper), must(lower, size))) | (size == MOST)).select("node")
+    pairs = _sharing(found.filter("kind = 1").select("a", "b", "n"), large, F.when(_is_poor("a") & _is_poor("b"), 1).otherwise(must(small, big)), numerator, denominator)
+
+    # sets with too many signatures in large groups: by their rarest segments, one more than may differ
+    again = cut(unsafe.join(reps, "node").coalesce(tasks), "unsafe")
+    texts = _texts(docs, again.select("doc_id").distinct()).join(again, "doc_id")
+    whole = cut(whole_rows(texts, numerator, denominator), "whole")
+    subsets = whole.filter("node < 0").select((-1 - F.col("node")).alias("node"), F.col("sig").alias("subsets")).distinct()
+    tokens = whole.filter("node >= 0").distinct()
+    counts = tokens.groupBy("sig").agg(F.count("*").alias("n"))
+    order = W.partitionBy("node", "turn").orderBy("n", "sig")  # a set's own segments of one level
+    rare = tokens.join(counts, "sig").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= differ(size, upper) + 1).select("sig", "node")
+    found_again = cut(grouped(rare), "jaccard-rare")
+    pairs = pairs.unionByName(found_again.filter("kind = 1").select("a", "b")).distinct()
+    links = cut(verify(docs, reps, cut(pairs, "pairs"), numerator, denominator), "links")
+
+    # those left share even their rarest segments with many (near copies of one text): clusters of sets that share any,
+    # in which links to a few leaders come first, and sets that are still apart are held against each other by sketches
+    helpless = subsets.filter(F.col("subsets") <= differ(size, upper)).select("node")
+    rows = in_large(found_again).unionByName(in_large(found).join(helpless, "node", "left_semi")).distinct()
+    star = rows.join(rows.groupBy("sig").agg(F.min("node").alias("lead")), "sig").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    clusters = cut(components(star).withColumnRenamed("root", "cluster"), "clusters")
+    clusters = cut(clusters.unionByName(clusters.select(F.col("cluster").alias("node"), "cluster")).distinct().coalesce(tasks), "clusters")
+    band = F.floor(F.log(_size("node").cast("double")) / math.log(denominator / numerator))
+    roots = cut(components(links), "roots")
+    for turn in range(ROUNDS if clusters.limit(1).count() else 0):
+        placed = clusters.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"), band.alias("band"))
+        leaders = placed.groupBy("cluster", "band").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("lead"))
+        leaders = leaders.select("cluster", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "lead")
+        led = placed.join(leaders, ["cluster", "band"]).filter((F.col("root") != F.col("lead.root")) & (F.col("node") != F.col("lead.node")))
+        new = cut(verify(docs, reps, cut(led.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs"), numerator, denominator), "links")
+        links = links.unionByName(new)
         roots = cut(components(links), "roots")
-        placed = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = placed.groupBy("sig").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("sig")
-        placed = placed.join(several, "sig", "left_semi").select("sig", "node", "size", "root").repartition("sig").sortWithinPartitions("sig")
-        pairs = placed.mapInArrow(_cross_pairs(numerator, denominator, turn, turn == ROUNDS), "a long, b long").distinct()
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = cut(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
+    drawn = None
+    for closest in CLOSEST if clusters.limit(1).count() else ():
+        placed = clusters.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
+        open_ = placed.groupBy("cluster").agg(F.count("*").alias("size"), (F.min("root") != F.max("root")).alias("open")).filter("open").select("cluster", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        placed = cut(placed.join(open_, "cluster").coalesce(tasks), "open")
+        if not placed.limit(1).count():
             break
-        new = cut(verify(docs, reps, pairs, numerator, denominator), "links")
-        links, tested = links.unionByName(new), tested.unionByName(pairs)
-    roots = cut(components(links), "roots")
+        if drawn is None:
+            ids = placed.select("node").join(reps, "node")
+            drawn = cut(sketches(_texts(docs, ids.select("doc_id").distinct()).join(ids, "doc_id")).dropDuplicates(["node"]), "sketches")
+        rows = placed.join(drawn, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root", "sketch")
+        near = cut(rows.groupBy("cluster", "i", "j").applyInPandas(_near_blocks(numerator, denominator, closest), "a long, b long").distinct(), "pairs")
+        new = cut(verify(docs, reps, near, numerator, denominator), "links")
+        links = links.unionByName(new)
+        roots = cut(components(links), "roots")
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.filter("node <> 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     out = placed.join(least, "root", "left")
