@@ -62,3 +62,14 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", mos
         return rows.join(F.broadcast(table), key, how)
     salted = rows.withColumn("salt_", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     return salted.join(table.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "salt_"], how).drop("salt_")
+
+
+def bounded_sample(df: DataFrame, key: list, rows: int, seed: int) -> DataFrame:
+    """About ``rows`` rows (all, if there are not many more), those with the smallest hashes of ``key``.
+
+    The share of hashes that is kept follows from the number of rows, so no task holds or sends more than its part.
+    """
+    n, grid = df.count(), 1 << 30
+    if n <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(grid)) < int(grid * rows / n))
