@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import bounded_sample, cut
 from .text import by_slice, strings, words_of
 
 BITS = 18
@@ -253,15 +254,12 @@ class Model:
 def training_rows(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> DataFrame:
     """text and toxic of a bounded sample of the labelled rows that are not held out, chosen by a hash of the id."""
     rows = labels.filter(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").distinct()
-    order = F.xxhash64("doc_id", F.lit(11)), F.col("doc_id")
-    sample = rows.filter("toxic = 1").orderBy(*order).limit(toxic_docs).unionByName(rows.filter("toxic = 0").orderBy(*order).limit(clean_docs))
+    sample = bounded_sample(rows.filter("toxic = 1"), ["doc_id"], toxic_docs, 11).unionByName(bounded_sample(rows.filter("toxic = 0"), ["doc_id"], clean_docs, 11))
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")  # a bounded number of ids
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS, doc_words: int = DOC_WORDS, max_units: int = UNITS, landmarks: int = LANDMARKS) -> Model:
     """Trains on at most toxic_docs + clean_docs labelled documents, the first ``doc_words`` words of each, and ``max_units`` distinct units."""
-    from .runtime import cut
-
     sample = cut(training_rows(docs, labels, toxic_docs, clean_docs), "toxic-sample")
 
     def each(part: pa.RecordBatch) -> pa.RecordBatch:
