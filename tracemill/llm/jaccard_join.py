@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import bounded_sample, cut
 from .text import MIX, by_slice, mixed, shingles_of, strings
 
 WIDTH = 5
@@ -161,7 +161,7 @@ def node_ids(keys: np.ndarray, offsets: np.ndarray, poor: np.ndarray) -> np.ndar
 
 def _expensive(docs: DataFrame, numerator: int, denominator: int) -> np.ndarray:
     """Signatures that at least EXPENSIVE documents of a bounded sample share."""
-    sample = docs.select("text", F.xxhash64("doc_id", F.lit(5)).alias("o")).orderBy("o").limit(SAMPLE_DOCS)
+    sample = bounded_sample(docs.select("doc_id", "text"), ["doc_id"], SAMPLE_DOCS, 5)
 
     def each(part: pa.RecordBatch) -> pa.RecordBatch | None:
         offsets, keys = shingles_of(strings(part, "text"), WIDTH)
