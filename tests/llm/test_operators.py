@@ -304,6 +304,18 @@ def test_language_model(spark, texts):
             assert r["score"] < 0
 
 
+def test_language_model_ranks_symbols_by_frequency(spark):
+    """With more tokens than context buckets, the most frequent ones have their own, whatever the order of rows and partitions."""
+    texts = [" ".join(f"w{k}" for k in range(i, 1500, 3 + i)) for i in range(60)]
+    d = make(spark, texts).filter(~lm.held_out())
+    counts = lm.token_counts(d)
+    expected = sorted(((r["token"], r["n"]) for r in counts.collect()), key=lambda r: (-r[1], r[0]))
+    assert len(expected) > 768
+    one, two = lm.train(d, counts), lm.train(d.repartition(7), counts.repartition(5))
+    assert list(zip(one.tokens.to_pylist(), one.counts.tolist())) == expected
+    assert one.tokens.equals(two.tokens) and all((a == b).all() for a, b in zip(one.tables, two.tables))
+
+
 def test_language_model_sums_to_one():
     counts = np.array([50, 30, 9, 5, 3, 2, 1])
     m = lm.Mixer([f"w{k}" for k in range(7)], counts, np.array([0, 1, 0, 1, 0, 1, 0]), 4.0, 104, 9, 3, 2)
