@@ -316,6 +316,20 @@ def test_language_model_ranks_symbols_by_frequency(spark):
     assert one.tokens.equals(two.tokens) and all((a == b).all() for a, b in zip(one.tables, two.tables))
 
 
+def test_language_model_fits_weights_to_whole_texts(spark):
+    """Texts that turn predictable beyond any prefix in the sample: no level's likelihood has a slope over all of them."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join([rng.choice(words) for _ in range(2000)] + words * 50) for _ in range(12)]
+    d = make(spark, texts)
+    mixer = lm.train(d, lm.token_counts(d))
+    _, symbols, contexts, _, _ = mixer.look(pa.array(texts, pa.large_string()))
+    moments = mixer.moments(mixer.tree.leaf[symbols], contexts)
+    live = moments[:, 0] > 0
+    slope = np.abs(moments[live, 1 : mixer.weights.shape[1] + 1] - (mixer.weights[live] - 0.3)) / moments[live, :1]
+    assert slope.max() < 1e-3, slope
+
+
 def test_language_model_sums_to_one():
     counts = np.array([50, 30, 9, 5, 3, 2, 1])
     m = lm.Mixer([f"w{k}" for k in range(7)], counts, np.array([0, 1, 0, 1, 0, 1, 0]), 4.0, 104, 9, 3, 2)
