@@ -239,6 +239,29 @@ def test_quality_rejects_outliers_and_keeps_clean(spark):
     assert kept.columns == make(spark, []).columns and kept.count() == 300
 
 
+def test_quality_rejects_repeated_lines_and_words(spark):
+    """Documents that pass the base rules though many of their lines, or nearly half of their words, repeat."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    clean = ["\n".join(line(rng.randint(6, 14)) for _ in range(rng.randint(8, 20))) for _ in range(300)]
+    clean += ["\n".join([*(line(10) for _ in range(14)), "more", line(9), "more"]) for _ in range(5)]
+    lines = ["\n".join(x for _ in range(15) for x in (line(8), "more")) for _ in range(20)]
+    repeats = [" ".join([line(60), *[line(20)] * 2]) for _ in range(20)]
+    rows = {r["doc_id"]: r for r in quality.judge(make(spark, clean + lines + repeats)).collect()}
+    assert not any(r["base_failed"] for r in rows.values())
+    assert all(rows[i]["kept"] for i in range(305)), [(i, rows[i]) for i in range(305) if not rows[i]["kept"]]
+    assert not any(rows[i]["kept"] for i in range(305, 345))
+
+
+def test_quality_cutoff_and_rescaling():
+    assert quality.chi_square_quantile(0.999, 4) == pytest.approx(18.467, abs=1e-3)
+    x = np.random.default_rng(1).normal(size=(200_000, 4))
+    far = (x**2).sum(axis=1)
+    near = x[far <= np.quantile(far, 0.75)]
+    assert quality.consistency(0.75, 4) * near.var(axis=0) == pytest.approx(np.ones(4), abs=0.02)
+
+
 KINDS = [re.compile(x) for x in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 

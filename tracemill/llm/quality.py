@@ -2,9 +2,9 @@
 
 The statistics are transformed into vectors; a minimum-covariance-determinant estimate is fitted for each
 (lang, source) by concentration steps over all rows: distances under the present estimate, their quantile per
-group, then mean and covariance of the rows within it. Every step is a grouped aggregation of a small table, so a
+group, then mean and covariance of the rows within it, rescaled for their share of a normal distribution. Every step is a grouped aggregation of a small table, so a
 group that holds a third of all rows costs no task more than another. Documents whose squared Mahalanobis
-distance exceeds the cutoff are rejected.
+distance exceeds the cutoff (by default the chi-square quantile at CONFIDENCE) are rejected.
 
 Defined results: null text counts as empty; a text without words fails the base rules; null lang or source form
 groups of their own; groups with fewer than ``least`` documents that pass the base rules use the estimate over all
@@ -13,6 +13,8 @@ groups; repeated rows are judged each; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,8 +29,28 @@ SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: The vector: mean word length, symbols, repeated lines and repeated words as rates, each on a logarithmic scale.
 VECTOR = ("v_length", "v_symbols", "v_lines", "v_repeats")
-#: Least standard deviation of each entry: most documents have no symbol and no repeated line at all.
-FLOORS = (0.06, 0.35, 1.0, 1.0)
+#: Least standard deviation of each entry: most documents have no symbol and no repeated line at all. At the default
+#: cutoff one entry alone rejects from about 12 symbols in 1000 characters, or a fifth of the lines or words repeated.
+FLOORS = (0.06, 0.6, 0.7, 0.7)
+CONFIDENCE = 0.999
+
+
+def chi_square(x: float, degrees: int) -> float:
+    """Share of the chi-square distribution up to x, for an even number of degrees."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(degrees // 2))
+
+
+def chi_square_quantile(share: float, degrees: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, degrees) < share else (low, middle)
+    return high
+
+
+def consistency(fraction: float, degrees: int) -> float:
+    """What the covariance of the nearest ``fraction`` of normal rows has to be multiplied by."""
+    return fraction / chi_square(chi_square_quantile(fraction, degrees), degrees + 2) if fraction < 1 else 1.0
 
 
 def count_texts(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -89,7 +111,7 @@ def with_vectors(counts: DataFrame) -> DataFrame:
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         "v_length": F.log(chars / words),
         "v_symbols": F.log1p(1000 * F.col("n_symbols") / chars),
-        "v_lines": F.log1p(100 * F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))),
+        "v_lines": F.log1p(100 * F.greatest(F.col("n_dup_lines") - 1, F.lit(0)) / F.greatest("n_lines", F.lit(1))),  # one may repeat: in a short text its rate says little
         "v_repeats": F.log1p(100 * F.col("n_repeat_words") / words),
     })
 
@@ -100,7 +122,7 @@ def _distance(center: str = "center", precision: str = "precision") -> Column:
     return sum((diff[i] * diff[j] * F.col(precision)[i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
 
 
-def _estimates(moments: DataFrame) -> DataFrame:
+def _estimates(moments: DataFrame, rescale: float) -> DataFrame:
     """Center and precision matrix of each group from its count, sums and sums of products: one row per group."""
     d = len(VECTOR)
 
@@ -113,7 +135,7 @@ def _estimates(moments: DataFrame) -> DataFrame:
                 for i in range(d):
                     for j in range(i, d):
                         second[i, j] = second[j, i] = getattr(r, f"p{i}_{j}") / r.n
-                cov = second - np.outer(mean, mean)
+                cov = rescale * (second - np.outer(mean, mean))
                 scale = np.maximum(np.sqrt(np.maximum(np.diag(cov), 0)), FLOORS)
                 np.fill_diagonal(cov, scale**2)
                 values, vectors = np.linalg.eigh(cov / np.outer(scale, scale))
@@ -142,12 +164,13 @@ def fit_mcd(rows: DataFrame, fraction: float = 0.75, steps: int = 4, least: int
         near = look_up(rows, params.drop("n"), "grp").withColumn("distance", _distance())
         limit = cut(near.groupBy("grp").agg(F.percentile_approx("distance", fraction, 1000).alias("most")), "mcd-limit")
         inside = look_up(near, limit, "grp").filter("distance <= most")
-        params = cut(_estimates(inside.groupBy("grp").agg(F.count("*").alias("n"), *sums, *products)), "mcd")
+        params = cut(_estimates(inside.groupBy("grp").agg(F.count("*").alias("n"), *sums, *products), consistency(fraction, d)), "mcd")
     return params
 
 
-def judge(docs: DataFrame, cutoff: float = 60.0, fraction: float = 0.75, steps: int = 4, least: int = 50) -> DataFrame:
+def judge(docs: DataFrame, cutoff: float | None = None, fraction: float = 0.75, steps: int = 4, least: int = 50) -> DataFrame:
     """Per document: doc_id, n_words, the base counts, base_failed, distance and kept."""
+    cutoff = chi_square_quantile(CONFIDENCE, len(VECTOR)) if cutoff is None else cutoff
     counts = cut(document_counts(docs), "counts")
     rows = with_vectors(counts).withColumn("grp", F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x1e")), F.coalesce("source", F.lit("\x1e"))))
     params = fit_mcd(rows.filter("not base_failed"), fraction, steps, least)
