@@ -88,3 +88,22 @@ def test_bindings_and_heuristics_net(spark):
 def test_check_fit(spark):
     one = check_fit(variants_of(spark, L1), alpha_net(variants_of(spark, L1)), alignments=True).first()
     assert one["fitness"] == 1.0 and one["precision"] == 1.0 and 0 < one["simplicity"] <= 1 and 0 < one["generalisation"] < 1
+
+
+def test_bootstrap_draws_cases_apart(spark):
+    """Many variants of 9 cases: the fitness varies as over single cases, a ninth of the variance of whole variants."""
+    from tracemill.operators.experiments import bootstrap_fitness
+
+    rows = [([str(k)], 9, k % 2, 1, k % 2, 1) for k in range(200)]
+    r = bootstrap_fitness(spark.createDataFrame(rows, "variant array<string>, n long, missing long, consumed long, remaining long, produced long"), 200, 3).first()
+    assert abs(r["mean"] - 0.5) < 0.01 and 0.03 < r["high"] - r["low"] < 0.07
+
+
+def test_frequency_model_reads_whole_cases(spark, tmp_path):
+    """A user's day of 2500 events: what follows a view changes after the 1000th."""
+    from tracemill import queries as Q
+
+    follows = ["view", "click"] * 500 + ["view", "purchase"] * 750
+    rows = spark.createDataFrame([(k, 1, x, float(k)) for k, x in enumerate(follows)], "event_id long, user_id long, event_type string, value double")
+    rows.selectExpr("event_id", "user_id", "event_type", "value", "timestamp_seconds(1577836800 + event_id) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r["last"]: r["predicted"] for r in Q.queries()["p6_frequency_model"](spark, str(tmp_path)).collect()}["view"] == "purchase"

@@ -17,14 +17,15 @@ def bootstrap_fitness(replayed: DataFrame, samples: int = 200, seed: int = 0) ->
     """One row: mean, low and high (2.5 and 97.5 %) of the replay fitness over resampled logs.
 
     A resampled count per variant is drawn from a normal approximation of the Poisson bootstrap of its cases where
-    it has many, and case by case else; replay itself is done once.
+    it has many, and from the Poisson distribution of that mean else; replay itself is done once.
     """
     each = replayed.select("n", "missing", "consumed", "remaining", "produced", F.xxhash64("variant").alias("v"))
     drawn = each.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
     unit = lambda k: (F.pmod(F.xxhash64("v", "sample", F.lit(seed), F.lit(k)), F.lit(1_000_003)) + 0.5) / 1_000_003.0
     normal = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * math.pi * unit(2))
-    poisson = sum((F.when(unit(3) > t, 1).otherwise(0) for t in _poisson_steps(1.0)), F.lit(0))
-    weight = F.when(F.col("n") >= 10, F.greatest(F.round(F.col("n") + normal * F.sqrt("n")), F.lit(0.0))).otherwise(F.col("n") * poisson)
+    steps = F.array(*(F.array(*map(F.lit, _poisson_steps(float(n), 40))) for n in range(1, 10)))
+    poisson = F.size(F.filter(F.get(steps, F.col("n").cast("int") - 1), lambda t: t < unit(3))).cast("double")
+    weight = F.when(F.col("n") >= 10, F.greatest(F.round(F.col("n") + normal * F.sqrt("n")), F.lit(0.0))).otherwise(poisson)
     drawn = drawn.withColumn("w", weight)
     sums = drawn.groupBy("sample").agg(*(F.sum(F.col(k) * F.col("w")).alias(k) for k in ("missing", "consumed", "remaining", "produced")))
     part = lambda a, b: F.when(F.col(b) == 0, 1.0).otherwise(1 - F.col(a) / F.col(b))

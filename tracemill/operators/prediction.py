@@ -28,6 +28,12 @@ def prefix_rows(log: EventLog, min_prefix: int = 1, max_prefix: int = 20, classi
     return rows.filter(F.col("prefix_length").between(min_prefix, max_prefix))
 
 
+def next_steps(log: EventLog, classifier: Classifier = BY_NAME) -> DataFrame:
+    """One row per event, however long its case: case_id, last (its activity), next_activity."""
+    following = F.lead("label").over(W.partitionBy("case_id").orderBy("at"))
+    return labelled(log, classifier).select("case_id", F.col("label").alias("last"), F.coalesce(following, F.lit(NO_MORE)).alias("next_activity"))
+
+
 def frequency_features(rows: DataFrame, activities: list[str]) -> DataFrame:
     """Columns: count of each activity, prefix length, and whether each activity is the last one."""
     is_ = lambda a: lambda x: x == a

@@ -253,7 +253,7 @@ def p5_split_by_time(spark, d):
 @query(f"""WITH {USERDAY}, {PREF}, k AS (SELECT *, string_split(prefix, ',')[-1] AS last FROM pr), m AS (SELECT last, next_activity, count(*) AS n FROM k GROUP BY ALL)
 SELECT last, arg_min(next_activity, (-n, next_activity)) AS predicted FROM m GROUP BY last""")
 def p6_frequency_model(spark, d):
-    rows = prediction.prefix_rows(user_days(spark, d), 1, 1000).withColumn("last", F.try_element_at("prefix", F.lit(-1)))
+    rows = prediction.next_steps(user_days(spark, d))
     return prediction.fit_frequency(rows, "last", "next_activity")[0]
 
 
