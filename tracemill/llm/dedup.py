@@ -4,11 +4,12 @@ Texts are equal when identical after lower-casing A-Z. Grouping keys hold the wh
 every stage compares full content. Spark's partial aggregation removes copies inside a partition before anything
 is shuffled; salted groups are merged next, so that a text held by a third of all rows is spread over ``salts``
 tasks; the salts' winners, at most ``salts`` per text, are combined last. Documents then look up their group by
-digest, salted again, and only groups of more than one document are looked up at all.
+SHA-256, salted again, and only groups of more than one document are looked up at all.
 
 Defined results: null counts as empty; the largest doc_id of a group stays, a null doc_id only if no other is
 there; repeated rows with one doc_id are members of their group each, and all of those with the kept doc_id are
-marked kept by the operator; an empty table gives an empty result; other columns do not matter.
+marked kept by the operator; one doc_id with several texts is judged per text; a text of any length (up to Spark's 2 GB
+a row) is compared whole; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ascii_lower
+from .runtime import ascii_lower, free_name
 
 
 def exact_groups(docs: DataFrame, salts: int = 16) -> DataFrame:
@@ -44,6 +45,11 @@ def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """docs without the copies, all columns as they were; of rows that repeat the kept doc_id and text, each stays."""
-    dropped = exact_dedup(docs, salts).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    """docs without the copies, all columns as they were; of rows that repeat the kept doc_id and text, each stays.
+
+    A row is dropped by its doc_id and text together: another text under the same doc_id stays.
+    """
+    key, digest = free_name(docs.columns, "id_"), free_name(docs.columns, "digest_")
+    dropped = exact_dedup(docs, salts).filter(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest)).distinct()
+    same = (F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256) == dropped[digest]) & docs["doc_id"].eqNullSafe(dropped[key])
+    return docs.join(dropped, same, "left_anti")
