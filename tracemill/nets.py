@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import heapq
-from collections import deque
+import itertools
+import operator
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEVIATION = 10_000  # cost of a log or model move; a silent move costs 1
+# How many markings a search for silent firings and one for an alignment may hold.
+QUIET_MARKINGS, MARKINGS = 2000, 500_000
 
 
 @dataclass
@@ -32,8 +35,12 @@ class Net:
             self.arcs[name, p] = self.arcs.get((name, p), 0) + 1
         return name
 
-    def compiled(self) -> Compiled:
-        return Compiled(self)
+    def play(self) -> Play:
+        return Play(self)
+
+    def shortest_run(self) -> int:
+        """Visible firings of a shortest run; 0 if none ends properly."""
+        return (self.play().run_cost() or (0, 0))[0]
 
     @property
     def silent(self) -> list[str]:
@@ -77,186 +84,187 @@ def net_from_tables(places: DataFrame, transitions: DataFrame, arcs: DataFrame,
     return Net({r["place_id"]: (r["m0"], r["mf"]) for r in mine(places)}, {r["transition_id"]: r["label"] for r in mine(transitions)}, {(r["source"], r["target"]): r["weight"] for r in mine(arcs)})
 
 
-class Compiled:
-    """A net as vectors, for use inside tasks. Transitions keep the net's order."""
+class Play:
+    """What a net can do, inside a task. A marking is a tuple of token counts in the order of the places.
+
+    All searches are one: ``spread`` finds the least costs of markings from others when each firing has a price.
+    Successors and silent reach are remembered per marking, so variants that pass the same markings share them.
+    """
 
     def __init__(self, net: Net):
-        self.names = list(net.transitions)
-        self.labels = [net.transitions[t] for t in self.names]
-        self.places = list(net.places)
-        at = {p: k for k, p in enumerate(self.places)}
-        self.first = tuple(net.places[p][0] for p in self.places)
-        self.last = tuple(net.places[p][1] for p in self.places)
-        self.pre: list[list[tuple[int, int]]] = [[] for _ in self.names]
-        self.post: list[list[tuple[int, int]]] = [[] for _ in self.names]
-        number = {t: k for k, t in enumerate(self.names)}
-        for (a, b), w in net.arcs.items():
-            if a in at:
-                self.pre[number[b]].append((at[a], w))
+        self.names, self.labels, self.places = list(net.transitions), list(net.transitions.values()), list(net.places)
+        self.begin, self.end = (tuple(net.places[p][k] for p in self.places) for k in (0, 1))
+        self.need = np.zeros((len(self.names), len(self.places)), np.int64)
+        self.gain = np.zeros_like(self.need)
+        row, column = {t: k for k, t in enumerate(self.names)}, {p: k for k, p in enumerate(self.places)}
+        for (x, y), w in net.arcs.items():
+            if x in column:
+                self.need[row[y], column[x]] = w
             else:
-                self.post[number[a]].append((at[b], w))
-        self.quiet = [k for k, x in enumerate(self.labels) if x is None]
-        self.by_label: dict[str, list[int]] = {}
-        for k, x in enumerate(self.labels):
-            if x is not None:
-                self.by_label.setdefault(x, []).append(k)
-        self.cheapest = None
-
-    def enabled(self, m: tuple, t: int) -> bool:
-        return all(m[p] >= w for p, w in self.pre[t])
-
-    def fire(self, m: tuple, t: int) -> tuple:
-        out = list(m)
-        for p, w in self.pre[t]:
-            out[p] -= w
-        for p, w in self.post[t]:
-            out[p] += w
-        return tuple(out)
-
-    def quiet_path(self, m: tuple, goal, most: int = 2000) -> list[int] | None:
-        """Fewest silent transitions to a marking with ``goal``."""
-        if goal(m):
-            return []
-        came: dict[tuple, tuple | None] = {m: None}
-        queue = deque([m])
-        while queue and len(came) < most:
-            now = queue.popleft()
-            for t in self.quiet:
-                if self.enabled(now, t):
-                    then = self.fire(now, t)
-                    if then not in came:
-                        came[then] = (now, t)
-                        if goal(then):
-                            path = []
-                            while came[then] is not None:
-                                then, step = came[then]
-                                path.append(step)
-                            return path[::-1]
-                        queue.append(then)
-        return None
-
-    def replay(self, trace: list[str]) -> dict:
-        """Token counts of one trace; the first enabled candidate goes before one reached silently, and that before a forced one."""
-        m = self.first
-        r = {"produced": sum(m), "consumed": 0, "missing": 0, "remaining": 0, "problems": [], "unknown": [], "fired": {}, "forced": {}, "missing_at": {}, "remaining_at": {}}
-
-        def lend(m: tuple, wanted: list[tuple[int, int]]) -> tuple[tuple, bool]:
-            out, short = list(m), False
-            for p, w in wanted:
-                if m[p] < w:
-                    r["missing"] += w - m[p]
-                    r["missing_at"][self.places[p]] = r["missing_at"].get(self.places[p], 0) + w - m[p]
-                    out[p], short = w, True
-            return tuple(out), short
-
-        def go(m: tuple, t: int) -> tuple:
-            m, short = lend(m, self.pre[t])
-            name = self.names[t]
-            if short:
-                r["forced"][name] = r["forced"].get(name, 0) + 1
-            r["fired"][name] = r["fired"].get(name, 0) + 1
-            r["consumed"] += sum(w for _, w in self.pre[t])
-            r["produced"] += sum(w for _, w in self.post[t])
-            return self.fire(m, t)
+                self.gain[row[x], column[y]] = w
+        self.known = {x for x in self.labels if x is not None}
+        self._moves: dict[tuple, list[tuple[int, tuple]]] = {}
+        self._quiet: dict[tuple, dict] = {}
 
-        for at, label in enumerate(trace):
-            options = self.by_label.get(label)
-            if not options:
-                r["unknown"].append(label)
-                r["problems"].append(at)
+    def moves(self, marking: tuple) -> list[tuple[int, tuple]]:
+        """The transitions that can fire, in the net's order, and where each leads."""
+        if (found := self._moves.get(marking)) is None:
+            here = np.array(marking, np.int64)
+            can = np.flatnonzero((self.need <= here).all(axis=1)).tolist()
+            found = [(t, tuple((here - self.need[t] + self.gain[t]).tolist())) for t in can]
+            _remember(self._moves, marking, found)
+        return found
+
+    def spread(self, sources: dict[tuple, tuple[int, int]], price, limit=None, stop=None, most: int = MARKINGS) -> dict[tuple, tuple] | None:
+        """Of each marking in reach its least cost, and the marking and the firing before it (None for a source), cheapest first.
+
+        Costs are pairs that add up; ``price`` gives a transition's, or None where it may not fire. The search ends at
+        costs over ``limit`` and at a marking that ``stop`` accepts. None if there are over ``most`` markings.
+        """
+        reached: dict[tuple, tuple] = {}
+        order = itertools.count()
+        queue = [(cost, next(order), marking, None, None) for marking, cost in sources.items()]
+        heapq.heapify(queue)
+        while queue:
+            cost, _, marking, before, by = heapq.heappop(queue)
+            if marking in reached:
                 continue
-            pick = next((t for t in options if self.enabled(m, t)), None)
-            if pick is None:
-                paths = [(len(p), k, p) for k, t in enumerate(options) if (p := self.quiet_path(m, lambda x, t=t: self.enabled(x, t))) is not None]
-                if paths:
-                    _, k, path = min(paths)
-                    for step in path:
-                        m = go(m, step)
-                    pick = options[k]
-                else:
-                    pick = min(options, key=lambda t: sum(max(0, w - m[p]) for p, w in self.pre[t]))
-                    r["problems"].append(at)
-            m = go(m, pick)
-        path = self.quiet_path(m, lambda x: x == self.last)
-        if path is None:
-            path = self.quiet_path(m, lambda x: all(a >= b for a, b in zip(x, self.last))) or []
-        for step in path:
-            m = go(m, step)
-        m, _ = lend(m, list(enumerate(self.last)))
-        r["consumed"] += sum(self.last)
-        for p, (have, want) in enumerate(zip(m, self.last)):
-            if have > want:
-                r["remaining"] += have - want
-                r["remaining_at"][self.places[p]] = have - want
-        return r
-
-    def align(self, trace: list[str], most: int = 500_000) -> tuple[int | None, list[tuple[str | None, str | None, str, str]]]:
-        """Cost in deviations and moves (log, model, transition, kind) of a cheapest alignment; None if the search gave up."""
-        n = len(trace)
-        alien = [0] * (n + 1)
-        for k in range(n - 1, -1, -1):
-            alien[k] = alien[k + 1] + (trace[k] not in self.by_label) * DEVIATION
-        start = (0, self.first)
-        best, came, done, order = {start: 0}, {}, set(), 0
-        heap = [(alien[0], 0, 0, start)]
-        while heap:
-            _, _, cost, state = heapq.heappop(heap)
-            if state in done:
+            if len(reached) == most:
+                return None
+            reached[marking] = (cost, before, by)
+            if stop is not None and stop(marking):
+                break
+            for t, then in self.moves(marking):
+                if then not in reached and (p := price(t)) is not None:
+                    total = cost[0] + p[0], cost[1] + p[1]
+                    if limit is None or total <= limit:
+                        heapq.heappush(queue, (total, next(order), then, marking, t))
+        return reached
+
+    def quiet(self, marking: tuple) -> dict[tuple, tuple]:
+        """The markings that silent transitions alone lead to, nearest first (at most QUIET_MARKINGS of them)."""
+        if (found := self._quiet.get(marking)) is None:
+            count = itertools.count(1)
+            found = self.spread({marking: (0, 0)}, lambda t: (0, 1) if self.labels[t] is None else None, stop=lambda _: next(count) >= QUIET_MARKINGS)
+            _remember(self._quiet, marking, found)
+        return found
+
+    def path(self, reached: dict[tuple, tuple], marking: tuple) -> list[int]:
+        """The firings that lead from a source to ``marking``."""
+        out = []
+        while reached[marking][2] is not None:
+            _, marking, t = reached[marking]
+            out.append(t)
+        return out[::-1]
+
+    def options(self, marking: tuple, label: str) -> list[int]:
+        return [t for t, _ in self.moves(marking) if self.labels[t] == label]
+
+    def replay(self, trace: list[str]) -> tuple[list[tuple[int, int, np.ndarray]], list[int], np.ndarray, np.ndarray]:
+        """Token replay: firings as (position or -1, transition, tokens that lacked), positions of unknown activities, and per place what lacks and what is left at the end.
+
+        A transition that can fire goes before one that silent firings enable (the fewest of them), and that before the
+        one that lacks the fewest tokens.
+        """
+        marking, firings, unknown = self.begin, [], []
+
+        def fire(at: int, t: int) -> tuple:
+            here = np.array(marking, np.int64)
+            lacks = np.maximum(self.need[t] - here, 0)
+            firings.append((at, t, lacks))
+            return tuple((here + lacks - self.need[t] + self.gain[t]).tolist())
+
+        for at, label in enumerate(trace):
+            if label not in self.known:
+                unknown.append(at)
                 continue
-            at, m = state
-            if at == n and m == self.last:
-                moves = []
-                while state in came:
-                    state, move = came[state]
-                    moves.append(move)
-                return cost // DEVIATION, moves[::-1]
-            done.add(state)
-            if len(done) > most:
+            reached = self.quiet(marking)
+            near = min(((reached[m][0], self.options(m, label)[0], k, m) for k, m in enumerate(reached) if self.options(m, label)), default=None)
+            if near is None:
+                t = min((int(np.maximum(self.need[t] - marking, 0).sum()), t) for t, x in enumerate(self.labels) if x == label)[1]
+            else:
+                for silent in self.path(reached, near[3]):
+                    marking = fire(-1, silent)
+                t = near[1]
+            marking = fire(at, t)
+        reached = self.quiet(marking)
+        goals = [self.end] if self.end in reached else [m for m in reached if all(map(operator.ge, m, self.end))]
+        for silent in self.path(reached, goals[0]) if goals else ():
+            marking = fire(-1, silent)
+        surplus = np.array(marking, np.int64) - self.end
+        return firings, unknown, np.maximum(-surplus, 0), np.maximum(surplus, 0)
+
+    def run_cost(self, most: int = MARKINGS) -> tuple[int, int] | None:
+        """Visible and silent firings of a shortest run of the net."""
+        reached = self.spread({self.begin: (0, 0)}, self._price, stop=lambda m: m == self.end, most=most)
+        return reached[self.end][0] if reached and self.end in reached else None
+
+    def _price(self, t: int) -> tuple[int, int]:
+        return (0, 1) if self.labels[t] is None else (1, 0)
+
+    def align(self, trace: list[str], most: int = MARKINGS) -> tuple[int | None, list[tuple[str | None, str | None, str, str]]]:
+        """Fewest deviations (then silent firings) and the moves (log, model, transition, kind); None where over ``most`` markings would have to be held.
+
+        One layer of markings for each position of the trace: firings of the net alone spread inside a layer, and a log
+        move or a firing together with the trace leads to the next one. No cost above that of leaving the trace and
+        taking a shortest run is followed.
+        """
+        least = self.run_cost(most)
+        if least is None:
+            return None, []
+        limit = (least[0] + len(trace), least[1])
+        entry: dict[tuple, tuple] = {self.begin: ((0, 0), None, None)}
+        layers = []
+        for label in [*trace, None]:
+            last = len(layers) == len(trace)
+            reached = self.spread({m: e[0] for m, e in entry.items()}, self._price, limit, (lambda m: m == self.end) if last else None, most)
+            if reached is None:
                 return None, []
-            steps = []
-            if at < n:
-                steps.append(((at + 1, m), DEVIATION, (trace[at], None, "", "log")))
-            for t, label in enumerate(self.labels):
-                if self.enabled(m, t):
-                    then = self.fire(m, t)
-                    if label is None:
-                        steps.append(((at, then), 1, (None, None, self.names[t], "silent")))
-                    else:
-                        steps.append(((at, then), DEVIATION, (None, label, self.names[t], "model")))
-                        if at < n and trace[at] == label:
-                            steps.append(((at + 1, then), 0, (label, label, self.names[t], "sync")))
-            for then, price, move in steps:
-                total = cost + price
-                if total < best.get(then, 1 << 60):
-                    best[then], came[then] = total, (state, move)
-                    order -= 1
-                    heapq.heappush(heap, (total + alien[then[0]], order, total, then))
-        return None, []
-
-    def next_labels(self, m: tuple, most: int = 2000) -> set[str]:
-        """Labels that can come next, after silent moves too."""
-        found, seen, queue = set(), {m}, deque([m])
-        while queue and len(seen) < most:
-            now = queue.popleft()
-            for t, label in enumerate(self.labels):
-                if self.enabled(now, t):
-                    if label is not None:
-                        found.add(label)
-                    elif (then := self.fire(now, t)) not in seen:
-                        seen.add(then)
-                        queue.append(then)
-        return found
+            layers.append((entry, reached))
+            if last:
+                break
+            entry = {}
+            for m, (cost, _, _) in reached.items():
+                offers = [((cost[0] + 1, cost[1]), m, m, None)] + [(cost, then, m, t) for t, then in self.moves(m) if self.labels[t] == label]
+                for price, then, before, t in offers:
+                    if price <= limit and (then not in entry or price < entry[then][0]):
+                        entry[then] = (price, before, t)
+        marking, moves = self.end, []
+        cost = layers[-1][1][marking][0][0]
+        for k in range(len(trace), -1, -1):
+            entry, reached = layers[k]
+            while reached[marking][2] is not None:
+                _, before, t = reached[marking]
+                moves.append((None, self.labels[t], self.names[t], "silent" if self.labels[t] is None else "model"))
+                marking = before
+            _, before, t = entry[marking]
+            if k:
+                label = trace[k - 1]
+                moves.append((label, None, "", "log") if t is None else (label, label, self.names[t], "sync"))
+                marking = before
+        return cost, moves[::-1]
+
+    def walk(self, trace: list[str]) -> list[list[str]]:
+        """For each position up to the first that the net cannot follow without lacking tokens, the labels that may come there.
+
+        The first transition that can fire is taken, else the first that silent firings enable.
+        """
+        marking, out = self.begin, []
+        for label in trace:
+            reached = self.quiet(marking)
+            out.append(sorted({self.labels[t] for m in reached for t, _ in self.moves(m)} - {None}))
+            now = self.options(marking, label)
+            if now:
+                marking = dict(self.moves(marking))[now[0]]
+                continue
+            later = min(((t, k, m) for k, m in enumerate(reached) for t in self.options(m, label)), default=None)
+            if later is None:
+                break
+            marking = dict(self.moves(later[2]))[later[0]]
+        return out
+
 
-    def step(self, m: tuple, label: str) -> tuple | None:
-        """The marking after ``label`` without missing tokens: the first enabled candidate, else the first one reached silently."""
-        options = self.by_label.get(label, [])
-        for t in options:
-            if self.enabled(m, t):
-                return self.fire(m, t)
-        for t in options:
-            path = self.quiet_path(m, lambda x, t=t: self.enabled(x, t))
-            if path is not None:
-                for s in path:
-                    m = self.fire(m, s)
-                return self.fire(m, t)
-        return None
+def _remember(memory: dict, key: tuple, value, most: int = 50_000) -> None:
+    if len(memory) >= most:
+        memory.clear()
+    memory[key] = value

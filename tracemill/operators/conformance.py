@@ -1,30 +1,65 @@
 """Logs held against nets: replay, alignments, precision, generalisation, simplicity, and trace tables against each other.
 
-Solvers run per distinct variant inside tasks; the net is small and travels with the function.
+Tasks find the firings of each distinct variant; all counting is done on columns. The net is small and travels with
+the function.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..nets import Net
+from ..nets import MARKINGS, Net
+
+FIRED = "variant array<string>, n long, steps array<struct<at:int,transition:string,lacks:map<string,long>>>, unknown_at array<int>, lacking map<string,long>, left_over map<string,long>"
+ALIGNED = "variant array<string>, n long, cost long, moves array<struct<log:string,model:string,transition:string,kind:string>>"
+
+
+def _sums(pairs: Column) -> Column:
+    """A map with the sum of the values of each key, from an array of (key, value)."""
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), _total(F.filter(pairs, lambda p: p["key"] == k)).alias("value"))))
+
 
-REPLAY = "variant array<string>, n long, produced long, consumed long, missing long, remaining long, problems array<int>, unknown array<string>, fired map<string,long>, forced map<string,long>, missing_at map<string,long>, remaining_at map<string,long>"
-ALIGNED = "variant array<string>, n long, cost long, fitness double, moves array<struct<log:string,model:string,transition:string,kind:string>>"
+def _total(pairs: Column) -> Column:
+    return F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, p: acc + p["value"])
+
+
+def _weighed(steps: Column, weight: dict[str, int]) -> Column:
+    """Sum over steps of a number that each transition has."""
+    table = F.create_map(*(F.lit(x) for pair in weight.items() for x in pair)) if weight else F.lit(None).cast("map<string,int>")
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, s: acc + table[s["transition"]])
 
 
 def token_replay(table: DataFrame, net: Net) -> DataFrame:
     """Per variant: token counts, fitness, whether it fits, problem positions and unknown activities."""
 
     def run(frames):
-        c = net.compiled()
+        play = net.play()
+        named = lambda v, names: {p: int(x) for p, x in zip(names, v) if x}
         for pdf in frames:
-            rows = [c.replay(list(v)) for v in pdf["variant"]]
-            yield pd.DataFrame({"variant": pdf["variant"], "n": pdf["n"]} | {k: [r[k] for r in rows] for k in ("produced", "consumed", "missing", "remaining", "problems", "unknown", "fired", "forced", "missing_at", "remaining_at")})
-
-    out = table.select("variant", "n").mapInPandas(run, REPLAY)
+            found = [play.replay(list(v)) for v in pdf["variant"]]
+            steps = [[{"at": at, "transition": play.names[t], "lacks": named(lacks, play.places)} for at, t, lacks in f[0]] for f in found]
+            yield pd.DataFrame({"variant": pdf["variant"], "n": pdf["n"], "steps": steps, "unknown_at": [f[1] for f in found], "lacking": [named(f[2], play.places) for f in found], "left_over": [named(f[3], play.places) for f in found]})
+
+    pre = {t: sum(w for (_, x), w in net.arcs.items() if x == t) for t in net.transitions}
+    post = {t: sum(w for (x, _), w in net.arcs.items() if x == t) for t in net.transitions}
+    m0, mf = (sum(p[k] for p in net.places.values()) for k in (0, 1))
+    one = lambda steps: F.transform(steps, lambda s: F.struct(s["transition"].alias("key"), F.lit(1).cast("long").alias("value")))
+    lacks = F.concat(F.flatten(F.transform("steps", lambda s: F.map_entries(s["lacks"]))), F.map_entries("lacking"))
+    forced = F.filter("steps", lambda s: F.size(s["lacks"]) > 0)
+    out = table.select("variant", "n").mapInPandas(run, FIRED)
+    out = out.select(
+        "variant", "n",
+        (m0 + _weighed(F.col("steps"), post)).alias("produced"), (mf + _weighed(F.col("steps"), pre)).alias("consumed"),
+        _total(lacks).alias("missing"), _total(F.map_entries("left_over")).alias("remaining"),
+        F.array_sort(F.concat("unknown_at", F.transform(forced, lambda s: s["at"]))).alias("problems"),
+        F.transform("unknown_at", lambda k: F.get("variant", k)).alias("unknown"),
+        _sums(one(F.col("steps"))).alias("fired"), _sums(one(forced)).alias("forced"), _sums(lacks).alias("missing_at"), F.col("left_over").alias("remaining_at"),
+    )
     return out.withColumns({"fitness": _fitness("missing", "consumed", "remaining", "produced"), "fits": (F.col("missing") == 0) & (F.col("remaining") == 0) & (F.size("unknown") == 0)})
 
 
@@ -51,28 +86,23 @@ def replay_totals(replayed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return places, transitions
 
 
-def align(table: DataFrame, net: Net, most: int = 500_000) -> DataFrame:
+def align(table: DataFrame, net: Net, most: int = MARKINGS) -> DataFrame:
     """Per variant: cost, fitness and the moves of a cheapest alignment; fitness is 0 where the search gave up.
 
-    Long variants are dealt over partitions first, as they take longest.
+    Variants are dealt over partitions by a hash first, so that long ones do not lie together.
     """
-    empty, _ = net.compiled().align([])
-    shortest = empty or 0
+    shortest = net.shortest_run()
 
     def run(frames):
-        c = net.compiled()
+        play = net.play()
         for pdf in frames:
-            cost, fitness, moves = [], [], []
-            for v in pdf["variant"]:
-                k, path = c.align(list(v), most)
-                worst = len(v) + shortest
-                cost.append(k)
-                fitness.append(0.0 if k is None else 1.0 if worst == 0 else 1 - k / worst)
-                moves.append([{"log": a, "model": b, "transition": t, "kind": kind} for a, b, t, kind in path])
-            yield pd.DataFrame({"variant": pdf["variant"], "n": pdf["n"], "cost": pd.array(cost, "Int64"), "fitness": fitness, "moves": moves})
+            found = [play.align(list(v), most) for v in pdf["variant"]]
+            moves = [[dict(zip(("log", "model", "transition", "kind"), m)) for m in path] for _, path in found]
+            yield pd.DataFrame({"variant": pdf["variant"], "n": pdf["n"], "cost": pd.array([cost for cost, _ in found], "Int64"), "moves": moves})
 
-    dealt = table.select("variant", "n").repartition(F.xxhash64("variant"))
-    return dealt.mapInPandas(run, ALIGNED)
+    worst = F.size("variant") + shortest
+    fitness = F.when(F.col("cost").isNull(), 0.0).when(worst == 0, 1.0).otherwise(1 - F.col("cost") / worst)
+    return table.select("variant", "n").repartition(F.xxhash64("variant")).mapInPandas(run, ALIGNED).select("variant", "n", "cost", fitness.alias("fitness"), "moves")
 
 
 def alignment_fitness(aligned: DataFrame, shortest: int) -> DataFrame:
@@ -94,24 +124,27 @@ def move_statistics(aligned: DataFrame) -> DataFrame:
 
 
 def precision(table: DataFrame, net: Net) -> DataFrame:
-    """One row: precision by escaping edges. Prefixes that the net cannot replay without missing tokens are left out."""
-    steps = table.select("variant", "n", F.posexplode("variant").alias("at", "activity"))
-    prefixes = steps.groupBy(F.slice("variant", F.lit(1), F.col("at")).alias("prefix")).agg(F.sum("n").alias("n"), F.collect_set("activity").alias("seen"))
+    """One row: precision by escaping edges. Prefixes that the net cannot replay without missing tokens are left out.
+
+    Each variant is walked once; its prefixes meet by their digests.
+    """
 
     def run(frames):
-        c = net.compiled()
+        play = net.play()
         for pdf in frames:
-            allowed = []
-            for prefix in pdf["prefix"]:
-                m = c.first
-                for label in prefix:
-                    m = c.step(m, label)
-                    if m is None:
-                        break
-                allowed.append(None if m is None else sorted(c.next_labels(m)))
-            yield pd.DataFrame({"n": pdf["n"], "seen": pdf["seen"], "allowed": allowed})
-
-    found = prefixes.mapInPandas(run, "n long, seen array<string>, allowed array<string>").filter("allowed is not null")
+            prefixes, counts, seen, allowed = [], [], [], []
+            for variant, n in zip(pdf["variant"], pdf["n"]):
+                so_far = hashlib.sha256()
+                for label, may in zip(variant, play.walk(list(variant))):
+                    prefixes.append(so_far.digest())
+                    counts.append(n)
+                    seen.append(label)
+                    allowed.append(may)
+                    so_far.update(f"{len(label)}:{label}".encode())
+            yield pd.DataFrame({"prefix": prefixes, "n": counts, "activity": seen, "allowed": allowed})
+
+    steps = table.select("variant", "n").mapInPandas(run, "prefix binary, n long, activity string, allowed array<string>")
+    found = steps.groupBy("prefix").agg(F.sum("n").alias("n"), F.collect_set("activity").alias("seen"), F.any_value("allowed").alias("allowed"))  # as many activities as the net has labels
     one = found.agg(F.sum(F.size(F.array_except("allowed", "seen")) * F.col("n")).alias("escaping"), F.sum(F.size("allowed") * F.col("n")).alias("allowed"))
     return one.select(F.when(F.coalesce("allowed", F.lit(0)) == 0, 1.0).otherwise(1 - F.col("escaping") / F.col("allowed")).alias("precision"))
 

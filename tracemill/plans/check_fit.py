@@ -13,7 +13,7 @@ def check_fit(table: DataFrame, net: Net, alignments: bool = False) -> DataFrame
     """table: variants; fitness by replay, or the average alignment fitness."""
     replayed = C.token_replay(table, net).persist()
     if alignments:
-        shortest = net.compiled().align([])[0] or 0
+        shortest = net.shortest_run()
         fitness = C.alignment_fitness(C.align(table, net), shortest).select(F.col("average_fitness").alias("fitness"))
     else:
         fitness = C.replay_fitness(replayed).select("fitness")
