@@ -17,12 +17,16 @@ shares as many signatures as similar sets of these sizes must, less those that m
 too many signatures in larger groups are indexed again, by their rarest segments with exact counts. Sets that share
 even these with many, such as near copies of one text, form clusters: links to a few leaders come first, and sets
 that are then still in different components are compared block by block by parity sketches, whose distance never
-exceeds that of the sets. Whatever is left is verified on the exact shingle sets. Equal sets are one node from the
-start and are never expanded into pairs.
+exceeds that of the sets; only sets of one size band or of neighbouring bands are held against each other. Whatever is
+left is verified on the exact shingle sets. Equal sets are one node from the start and are never expanded into pairs;
+where the hashes of different sets of one size collide, each keeps a representative of its own. Rows are told apart by
+a row number, not by doc_id.
 
 Defined results: null and empty texts and those without words have the empty set and link with nothing; repeated
-rows are one node; a null doc_id never is the smallest unless no other is there; an empty table gives an empty
-result; other columns do not matter.
+rows are one node; rows with one doc_id and different texts, or without doc_id, are judged each; a null doc_id never is
+the smallest unless no other is there; a text of any length is read whole (sets of MOST shingles and more are only not
+parted by size); among ties the smallest doc_id names a component; an empty table gives an empty result; other columns
+do not matter.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import bounded_sample, cut
+from .runtime import bounded_sample, cut, free_name, numbered
 from .text import MIX, by_slice, mixed, shingles_of, strings
 
 WIDTH = 5
@@ -54,11 +58,12 @@ ROWS, TEXTS = 200_000, 5_000  # pairs, and texts to compare, for each task
 CLOSEST = (2, 2, None)  # candidates for each set and block, in turn; the last turn takes all
 BLOCK = 1000  # sets of a cluster that are held against each other at a time
 SKETCH_BITS = 4096
-# A node is one set: its size, whether it is poor in segments, and a hash, in one number.
+# A node stands for the sets of one size and hash: the size, whether they are poor in segments, and the hash, in one
+# number. Sets are told apart by a second hash of 63 bits; those of one node that differ have representatives of their own.
 HASH_BITS = 43
 POOR = 1 << HASH_BITS
 SIZE_SHIFT = HASH_BITS + 1
-MOST = (1 << (63 - SIZE_SHIFT)) - 1  # larger sizes are kept as this one
+MOST = (1 << (63 - SIZE_SHIFT)) - 1  # a node's size is at most this; sets of this size and more are never parted by size
 
 
 def level_of(size: int) -> int:
@@ -151,22 +156,26 @@ def signatures(keys: np.ndarray, offsets: np.ndarray, expensive: np.ndarray, num
     return np.concatenate(out_sig), np.concatenate(out_set), poor
 
 
-def node_ids(keys: np.ndarray, offsets: np.ndarray, poor: np.ndarray) -> np.ndarray:
-    """The number of each set; 0 for the empty one."""
+def node_ids(keys: np.ndarray, offsets: np.ndarray, poor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The node of each set, 0 for the empty one, and a second hash of it."""
     sizes = np.diff(offsets)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(keys + np.uint64(77)), dtype=np.uint64)])
-    found = (mixed(total[offsets[1:]] - total[offsets[:-1]] + sizes.astype(np.uint64)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-    return np.where(sizes > 0, np.minimum(sizes, MOST) << SIZE_SHIFT | poor * POOR | found, 0)
+
+    def hashed(salt: int) -> np.ndarray:
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(keys + np.uint64(salt)), dtype=np.uint64)])
+        return mixed(total[offsets[1:]] - total[offsets[:-1]] + sizes.astype(np.uint64))
+
+    found = (hashed(77) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    return np.where(sizes > 0, np.minimum(sizes, MOST) << SIZE_SHIFT | poor * POOR | found, 0), (hashed(1 << 40) >> np.uint64(1)).astype(np.int64)
 
 
 def _expensive(docs: DataFrame, numerator: int, denominator: int) -> np.ndarray:
-    """Signatures that at least EXPENSIVE documents of a bounded sample share."""
-    sample = bounded_sample(docs.select("doc_id", "text"), ["doc_id"], SAMPLE_DOCS, 5)
+    """Signatures that at least EXPENSIVE documents of a bounded sample share; docs: rid, text."""
+    sample = bounded_sample(docs, ["rid"], SAMPLE_DOCS, 5)
 
     def each(part: pa.RecordBatch) -> pa.RecordBatch | None:
         offsets, keys = shingles_of(strings(part, "text"), WIDTH)
         sig, of, poor = signatures(keys, offsets, np.empty(0, np.uint64), numerator, denominator)
-        _, first = np.unique(node_ids(keys, offsets, poor), return_index=True)
+        _, first = np.unique(node_ids(keys, offsets, poor)[0], return_index=True)
         return pa.RecordBatch.from_arrays([pa.array(sig[np.isin(of, first)].view(np.int64))], ["sig"])
 
     rows = sample.select("text").mapInArrow(by_slice("text", each), "sig long").groupBy("sig").count().filter(F.col("count") >= EXPENSIVE).select("sig").toPandas()
@@ -174,40 +183,42 @@ def _expensive(docs: DataFrame, numerator: int, denominator: int) -> np.ndarray:
 
 
 def index_rows(docs: DataFrame, expensive: np.ndarray, numerator: int, denominator: int) -> DataFrame:
-    """Signature rows (sig, node), and one row per document with its doc_id as sig and -1 - node as node."""
+    """Signature rows (sig, node), and one row per row of docs (rid, text) with rid as sig, -1 - node as node, and the second hash."""
 
     def run(batches):
-        seen: dict[int, None] = {}
+        seen: dict[tuple[int, int], None] = {}
 
         def each(part: pa.RecordBatch) -> pa.RecordBatch:
             offsets, keys = shingles_of(strings(part, "text"), WIDTH)
             sig, of, poor = signatures(keys, offsets, expensive, numerator, denominator)
-            nodes = node_ids(keys, offsets, poor)
+            nodes, second = node_ids(keys, offsets, poor)
             fresh = np.zeros(len(nodes), bool)
-            for k, node in enumerate(nodes.tolist()):
-                if node and node not in seen:
+            for k, node in enumerate(zip(nodes.tolist(), second.tolist())):
+                if node[0] and node not in seen:
                     fresh[k] = True
                     seen[node] = None
             while len(seen) > SEEN:
                 del seen[next(iter(seen))]
             kept = fresh[of]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(sig[kept].view(np.int64)), part.column("doc_id")]), pa.array(np.concatenate([nodes[of[kept]], -1 - nodes]))], ["sig", "node"])
+            sig, of = sig[kept].view(np.int64), of[kept]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(sig), part.column("rid")]), pa.array(np.concatenate([nodes[of], -1 - nodes])), pa.array(np.concatenate([np.zeros(len(sig), np.int64), second]))], ["sig", "node", "second"])
 
         yield from by_slice("text", each)(batches)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sig long, node long")
+    return docs.select("rid", "text").mapInArrow(run, "sig long, node long, second long")
 
 
 def whole_rows(texts: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """All subsets (sig, node, turn) of the sets of texts (node, text), and one row per node with its number of subsets as sig and -1 - node as node."""
+    """All subsets (sig, node, rid, turn, size) of the sets of texts (rid, node, text), and one row per set with its number of subsets as sig and turn -1."""
 
     def each(part: pa.RecordBatch) -> pa.RecordBatch:
         offsets, keys = shingles_of(strings(part, "text"), WIDTH)
         sig, of, (turn, subsets) = signatures(keys, offsets, np.empty(0, np.uint64), numerator, denominator, whole=True)
-        nodes = part.column("node").to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig.view(np.int64), subsets.astype(np.int64)])), pa.array(np.concatenate([nodes[of], -1 - nodes])), pa.array(np.concatenate([turn, np.zeros(len(nodes), np.int64)]))], ["sig", "node", "turn"])
+        every = np.concatenate([of, np.arange(part.num_rows)])
+        columns = [np.concatenate([sig.view(np.int64), subsets.astype(np.int64)]), part.column("node").to_numpy()[every], part.column("rid").to_numpy()[every], np.concatenate([turn, np.full(part.num_rows, -1)]), np.diff(offsets)[every]]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["sig", "node", "rid", "turn", "size"])
 
-    return texts.select("node", "text").mapInArrow(by_slice("text", each), "sig long, node long, turn long")
+    return texts.select("rid", "node", "text").mapInArrow(by_slice("text", each), "sig long, node long, rid long, turn long, size long")
 
 
 def _group_starts(*columns: np.ndarray) -> np.ndarray:
@@ -217,11 +228,11 @@ def _group_starts(*columns: np.ndarray) -> np.ndarray:
 
 
 def _read_groups(numerator: int, denominator: int):
-    """Over rows sorted by (sig, node): kind 0, documents (a = node, b = doc_id); kind 1, pairs of small groups with how
-    many signatures they share here; kind 2, rows of large groups (a = node, b = sig). Only the last small group is held back."""
+    """Over rows sorted by (sig, node): kind 0, documents (a = node, b = rid, n = second hash); kind 1, pairs of small groups
+    with how many signatures they share here as n; kind 2, rows of large groups (a = node, b = sig). Only the last small group is held back."""
 
     def made(kind: int, a, b, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), b if isinstance(b, pa.Array) else pa.array(b), pa.array(n.astype(np.int32))], ["kind", "a", "b", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(n.astype(np.int64))], ["kind", "a", "b", "n"])
 
     def run(batches):
         held_sig, held_node, large = np.empty(0, np.int64), np.empty(0, np.int64), None
@@ -252,7 +263,7 @@ def _read_groups(numerator: int, denominator: int):
             is_doc = node < 0
             if is_doc.any():
                 docs = batch.filter(pa.array(is_doc))
-                yield made(0, -1 - docs.column("node").to_numpy(), docs.column("sig"), np.zeros(docs.num_rows))
+                yield made(0, -1 - docs.column("node").to_numpy(), docs.column("sig").to_numpy(), docs.column("second").to_numpy())
             sig, node = batch.column("sig").to_numpy(zero_copy_only=False)[~is_doc].astype(np.int64), node[~is_doc]
             sig, node = np.concatenate([held_sig, sig]), np.concatenate([held_node, node])
             new = np.ones(len(sig), bool)
@@ -287,28 +298,25 @@ def _read_groups(numerator: int, denominator: int):
     return run
 
 
-def _texts(docs: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:
-    """doc_id and text of the given documents; up to ``most`` ids are broadcast, more are joined."""
-    texts = docs.select("doc_id", "text")
-    if ids.limit(most + 1).count() <= most:
-        return texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    return texts.join(ids, "doc_id", "left_semi")
+def _texts(docs: DataFrame, ids: DataFrame, n: int, most: int = 500_000) -> DataFrame:
+    """rid and text of the given rows; ids (rid), at most n, are broadcast up to ``most``, and more are joined."""
+    texts = docs.select("rid", "text")
+    return texts.join(F.broadcast(ids), "rid", "left_semi") if n <= most else texts.join(ids, "rid", "left_semi")
 
 
-def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, numerator: int, denominator: int, salts: int = 8, most: int = 500_000) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are similar enough.
+def verify(docs: DataFrame, pairs: DataFrame, numerator: int, denominator: int, salts: int = 8, most: int = 500_000) -> DataFrame:
+    """The pairs (a, b) of rows of docs (rid, text) whose shingle sets are similar enough.
 
     The leaders' texts are repeated over salts, so that a leader with very many members is dealt to several tasks.
     """
     n = pairs.count()
     tasks, wide = 1 + n // ROWS, 1 + n // TEXTS
-    members = pairs.coalesce(tasks).select(F.col("a").alias("leader"), F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt"))
-    leaders = members.select("leader", "salt").distinct().select("leader", F.lit(0).cast("long").alias("node"), "salt").coalesce(tasks)
-    wanted = members.unionByName(leaders).withColumn("of", F.when(F.col("node") == 0, F.col("leader")).otherwise(F.col("node"))).coalesce(tasks)
-    wanted = wanted.join(reps.select(F.col("node").alias("of"), "doc_id"), "of").drop("of").coalesce(tasks)
-    texts = _texts(docs, wanted.select("doc_id").distinct().coalesce(tasks), most)
-    rows = wanted.join(texts, "doc_id").select("leader", "salt", "node", "text").coalesce(wide)
-    rows = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "node")
+    members = pairs.coalesce(tasks).select(F.col("a").alias("leader"), F.col("b").alias("rid"), F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("member"))
+    leaders = members.select("leader", F.col("leader").alias("rid"), "salt", F.lit(0).alias("member")).distinct().coalesce(tasks)
+    wanted = members.unionByName(leaders).coalesce(tasks)
+    texts = _texts(docs, wanted.select("rid").distinct().coalesce(tasks), 2 * n, most)
+    rows = wanted.join(texts, "rid").select("leader", "salt", "member", "rid", "text").coalesce(wide)
+    rows = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member")
 
     def run(batches):
         leader, own = None, None
@@ -317,31 +325,53 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, numerator: int, d
             nonlocal leader, own
             offsets, keys = shingles_of(strings(part, "text"), WIDTH)
             a, b = [], []
-            for k, (of, node) in enumerate(zip(part.column("leader").to_pylist(), part.column("node").to_pylist())):
+            for k, (of, rid, member) in enumerate(zip(*(part.column(c).to_pylist() for c in ("leader", "rid", "member")))):
                 found = keys[offsets[k] : offsets[k + 1]]
-                if node == 0:
+                if not member:
                     leader, own = of, found
                 elif leader == of:
                     both = len(np.intersect1d(own, found, assume_unique=True))
                     if both and denominator * both >= numerator * (len(own) + len(found) - both):
                         a.append(of)
-                        b.append(node)
+                        b.append(rid)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         yield from by_slice("text", each)(batches)
 
-    return rows.mapInArrow(run, "a long, b long").coalesce(wide).distinct().coalesce(tasks)
+    return rows.mapInArrow(run, "a long, b long").coalesce(wide)
+
+
+def _stars(batches):
+    """Over edges (a, b) of one task: each end but the least of its part, with that least end."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = top(a), top(b)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    ends = [(x, top(x)) for x in list(above)]
+    found = np.array([e for e in ends if e[0] != e[1]], np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the least node of its component) of all nodes in edges (a, b), by alternating large-star and small-star steps.
+    """node and root (the least node of its component) of the nodes of edges (a, b) that are not roots themselves.
 
-    The number of tasks follows the number of edges.
+    Each task joins the edges it holds, ROWS at most on average, into stars. One task's stars are the components; those
+    of several tasks are joined further by alternating large-star and small-star steps until nothing changes.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b"), "edges")
     tasks, state = 1 + edges.count() // ROWS, None
+    if tasks == 1:
+        return cut(edges.coalesce(1).mapInArrow(_stars, "a long, b long").withColumnsRenamed({"a": "node", "b": "root"}), "roots")
+    edges = cut(edges.repartition(tasks, "b").mapInArrow(_stars, "a long, b long").distinct(), "edges")
     while True:
-        edges = edges.coalesce(tasks)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(tasks)
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").coalesce(tasks).distinct().coalesce(tasks)
@@ -351,13 +381,12 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(small, "edges")
         now = edges.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("h")).first()
         if state == tuple(now):
-            break
+            return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
         state = tuple(now)
-    return edges.coalesce(tasks).groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").coalesce(tasks)
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """node and sketch of texts (node, text): for each of SKETCH_BITS cells of the universe, the parity of the set's shingles in it.
+    """rid and sketch of texts (rid, text): for each of SKETCH_BITS cells of the universe, the parity of the set's shingles in it.
 
     The sketches of two sets differ in no more bits than the sets differ in shingles.
     """
@@ -368,25 +397,25 @@ def sketches(texts: DataFrame) -> DataFrame:
         cell = (mixed(keys ^ np.uint64(0x5bd1e995)) % np.uint64(SKETCH_BITS)).astype(np.int64)
         odd = np.bincount(owner * SKETCH_BITS + cell, minlength=part.num_rows * SKETCH_BITS).astype(np.uint8) & 1
         bits = np.packbits(odd.reshape(part.num_rows, SKETCH_BITS), axis=1)
-        return pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.tobytes() for x in bits], pa.binary())], ["node", "sketch"])
+        return pa.RecordBatch.from_arrays([part.column("rid"), pa.array([x.tobytes() for x in bits], pa.binary())], ["rid", "sketch"])
 
-    return texts.select("node", "text").mapInArrow(by_slice("text", each, 1 << 20), "node long, sketch binary")
+    return texts.select("rid", "text").mapInArrow(by_slice("text", each, 1 << 20), "rid long, sketch binary")
 
 
 def _near_blocks(numerator: int, denominator: int, closest: int | None):
-    """Pairs (a, b) of nodes of different components in two blocks (side 0 and 1, or 0 alone) whose sizes and sketches allow a link;
+    """Pairs (a, b) of rows of different components in two blocks (side 0 and 1, or 0 alone) whose sizes and sketches allow a link;
     with ``closest``, so many for each node of side 0."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
-        node, root, side = (pdf[c].to_numpy() for c in ("node", "root", "side"))
+        node, rid, root, side, above = (pdf[c].to_numpy() for c in ("node", "rid", "root", "side", "above"))
         size = node >> SIZE_SHIFT
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if (side == 1).any() else left
         out = []
         for i in left:
             small, big = np.minimum(size[i], size[right]), np.maximum(size[i], size[right])
-            ok = right[(root[right] != root[i]) & (node[right] != node[i]) & ((small * denominator >= big * numerator) | (big == MOST))]
+            ok = right[(root[right] != root[i]) & ~(above[right] & above[i]) & ((small * denominator >= big * numerator) | (big == MOST))]
             if len(ok):
                 far = np.bitwise_count(sketch[ok] ^ sketch[i]).sum(axis=1)
                 most = (denominator - numerator) * (size[i] + size[ok]) // (denominator + numerator)
@@ -394,7 +423,7 @@ def _near_blocks(numerator: int, denominator: int, closest: int | None):
                 ok = ok[near]
                 if closest and len(ok) > closest:
                     ok = ok[np.argsort(far[near], kind="stable")[:closest]]
-                out.append(np.stack([np.minimum(node[i], node[ok]), np.maximum(node[i], node[ok])], axis=1))
+                out.append(np.stack([np.minimum(rid[i], rid[ok]), np.maximum(rid[i], rid[ok])], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -421,79 +450,117 @@ def _sharing(shared: DataFrame, large: DataFrame, least, numerator: int, denomin
     return pairs.filter((F.col("n") + hidden >= least) | (_size("a") == MOST) | (_size("b") == MOST)).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, numerator: int = 3, denominator: int = 4) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id; sets link when intersection / union >= numerator / denominator."""
+def jaccard_classes(docs: DataFrame, numerator: int = 3, denominator: int = 4) -> DataFrame:
+    """Per row of docs (rid, unique, and text): rid, n_shingles, and root, the same for all rows of a component; null for the empty set."""
     differ = lambda r, s: F.floor((denominator - numerator) * (r + s) / (denominator + numerator))
     must = lambda r, s: target(r, numerator, denominator) - differ(r, s)
-    grouped = lambda rows: rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_read_groups(numerator, denominator), "kind byte, a long, b long, n int")
+    grouped = lambda rows: rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_read_groups(numerator, denominator), "kind byte, a long, b long, n long")
     in_large = lambda rows: rows.filter("kind = 2").select(F.col("b").alias("sig"), F.col("a").alias("node"))
     size, small, big = _size("node"), F.least(_size("a"), _size("b")), F.greatest(_size("a"), _size("b"))
     upper, lower = F.floor(size * denominator / numerator), F.ceil(size * numerator / denominator)
+    docs = docs.select("rid", "text")
 
     # all sets, by as many segments as their sizes need
     found = cut(grouped(index_rows(docs, _expensive(docs, numerator, denominator), numerator, denominator)), "jaccard")
-    nodes = found.filter("kind = 0").select(F.col("b").alias("doc_id"), F.col("a").alias("node"), _size("a").alias("n_shingles"))
-    tasks = 1 + nodes.count() // ROWS
-    reps = cut(nodes.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).coalesce(tasks), "reps")
+    nodes = found.filter("kind = 0").select(F.col("b").alias("rid"), F.col("a").alias("node"), F.col("n").alias("second"))
+    reps = cut(nodes.filter("node <> 0").groupBy("node", "second").agg(F.min("rid").alias("rid")), "reps")
+    n_sets = reps.count()
+    tasks = 1 + n_sets // ROWS
+    reps = reps.coalesce(tasks)
     large = cut(in_large(found).groupBy("node").agg(F.count("*").alias("n")).coalesce(tasks), "large")
     unsafe = large.filter(_is_poor("node") | (F.col("n") >= F.least(must(size, upper), must(lower, size))) | (size == MOST)).select("node")
     pairs = _sharing(found.filter("kind = 1").select("a", "b", "n"), large, F.when(_is_poor("a") & _is_poor("b"), 1).otherwise(must(small, big)), numerator, denominator)
 
     # sets with too many signatures in large groups: by their rarest segments, one more than may differ
-    again = cut(unsafe.join(reps, "node").coalesce(tasks), "unsafe")
-    texts = _texts(docs, again.select("doc_id").distinct()).join(again, "doc_id")
+    again = cut(unsafe.join(reps, "node").select("node", "rid").coalesce(tasks), "unsafe")
+    texts = _texts(docs, again.select("rid"), n_sets).join(again, "rid")
     whole = cut(whole_rows(texts, numerator, denominator), "whole")
-    subsets = whole.filter("node < 0").select((-1 - F.col("node")).alias("node"), F.col("sig").alias("subsets")).distinct()
-    tokens = whole.filter("node >= 0").distinct()
+    tokens = whole.filter("turn >= 0")
     counts = tokens.groupBy("sig").agg(F.count("*").alias("n"))
-    order = W.partitionBy("node", "turn").orderBy("n", "sig")  # a set's own segments of one level
-    rare = tokens.join(counts, "sig").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= differ(size, upper) + 1).select("sig", "node")
+    order = W.partitionBy("rid", "turn").orderBy("n", "sig")  # a set's own segments of one level
+    own, most = F.col("size"), differ(F.col("size"), F.floor(F.col("size") * denominator / numerator))
+    rare = tokens.join(counts, "sig").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most + 1).select("sig", "node")
     found_again = cut(grouped(rare), "jaccard-rare")
     pairs = pairs.unionByName(found_again.filter("kind = 1").select("a", "b")).distinct()
-    links = cut(verify(docs, reps, cut(pairs, "pairs"), numerator, denominator), "links")
+
+    # from nodes to rows: the representatives of either node, and those of one node that hold different sets
+    as_rows = pairs.join(reps.select(F.col("node").alias("a"), F.col("rid").alias("x")), "a").join(reps.select(F.col("node").alias("b"), F.col("rid").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    shared = reps.groupBy("node").agg(F.sort_array(F.collect_set("rid")).alias("rids")).filter(F.size("rids") > 1)  # sets of one size whose hashes collide
+    shared = shared.select(F.explode("rids").alias("a"), "rids").select("a", F.explode("rids").alias("b")).filter("a < b")
+    links = cut(verify(docs, cut(as_rows.unionByName(shared).coalesce(tasks), "pairs"), numerator, denominator), "links")
 
     # those left share even their rarest segments with many (near copies of one text): clusters of sets that share any,
     # in which links to a few leaders come first, and sets that are still apart are held against each other by sketches
-    helpless = subsets.filter(F.col("subsets") <= differ(size, upper)).select("node")
+    helpless = whole.filter((F.col("turn") < 0) & (F.col("sig") <= most) & (own > 0)).select("node").distinct()
     rows = in_large(found_again).unionByName(in_large(found).join(helpless, "node", "left_semi")).distinct()
-    star = rows.join(rows.groupBy("sig").agg(F.min("node").alias("lead")), "sig").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    clusters = cut(components(star).withColumnRenamed("root", "cluster"), "clusters")
-    clusters = cut(clusters.unionByName(clusters.select(F.col("cluster").alias("node"), "cluster")).distinct().coalesce(tasks), "clusters")
+    star = rows.join(rows.groupBy("sig").agg(F.min("node").alias("lead")), "sig").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    clusters = components(star).withColumnRenamed("root", "cluster")
+    clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("node"), "cluster")).distinct()
     band = F.floor(F.log(_size("node").cast("double")) / math.log(denominator / numerator))
-    roots = cut(components(links), "roots")
-    for turn in range(ROUNDS if clusters.limit(1).count() else 0):
-        placed = clusters.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"), band.alias("band"))
-        leaders = placed.groupBy("cluster", "band").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("lead"))
+    clusters = cut(clusters.join(reps, "node").select("rid", "node", "cluster", band.alias("band")).coalesce(tasks), "clusters")
+    roots = components(links)
+    if not clusters.limit(1).count():
+        return _placed(nodes, reps, roots, docs)
+    place = lambda: clusters.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    for turn in range(ROUNDS):
+        placed = place()
+        leaders = placed.groupBy("cluster", "band").agg(F.min_by(F.struct("rid", "root"), F.xxhash64("node", F.lit(turn))).alias("lead"))
         leaders = leaders.select("cluster", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "lead")
-        led = placed.join(leaders, ["cluster", "band"]).filter((F.col("root") != F.col("lead.root")) & (F.col("node") != F.col("lead.node")))
-        new = cut(verify(docs, reps, cut(led.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs"), numerator, denominator), "links")
+        led = placed.join(leaders, ["cluster", "band"]).filter((F.col("root") != F.col("lead.root")) & (F.col("rid") != F.col("lead.rid")))
+        new = cut(verify(docs, cut(led.select(F.col("lead.rid").alias("a"), F.col("rid").alias("b")).distinct(), "pairs"), numerator, denominator), "links")
         links = links.unionByName(new)
-        roots = cut(components(links), "roots")
+        roots = components(links)
     drawn = None
-    for closest in CLOSEST if clusters.limit(1).count() else ():
-        placed = clusters.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
-        open_ = placed.groupBy("cluster").agg(F.count("*").alias("size"), (F.min("root") != F.max("root")).alias("open")).filter("open").select("cluster", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        placed = cut(placed.join(open_, "cluster").coalesce(tasks), "open")
-        if not placed.limit(1).count():
+    for closest in CLOSEST:
+        placed = place()
+        open_ = placed.groupBy("cluster").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("cluster")
+        # similar sets are of one size band or of neighbouring ones: a band is held against itself and the band above
+        placed = placed.join(open_, "cluster").withColumn("low", F.explode(F.array("band", F.col("band") - 1)))
+        blocks = placed.groupBy("cluster", "low").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("band").alias("least"), (F.min("root") != F.max("root")).alias("open"))
+        placed = cut(placed.join(blocks.filter("open and least = low").drop("open", "least"), ["cluster", "low"]).coalesce(tasks), "open")
+        n = placed.count()
+        if not n:
             break
         if drawn is None:
-            ids = placed.select("node").join(reps, "node")
-            drawn = cut(sketches(_texts(docs, ids.select("doc_id").distinct()).join(ids, "doc_id")).dropDuplicates(["node"]), "sketches")
-        rows = placed.join(drawn, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            drawn = cut(sketches(_texts(docs, placed.select("rid").distinct(), n)), "sketches")
+        rows = placed.join(drawn, "rid").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root", "sketch")
-        near = cut(rows.groupBy("cluster", "i", "j").applyInPandas(_near_blocks(numerator, denominator, closest), "a long, b long").distinct(), "pairs")
-        new = cut(verify(docs, reps, near, numerator, denominator), "links")
+        rows = rows.select("cluster", "low", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "rid", "root", (F.col("band") > F.col("low")).alias("above"), "sketch")
+        near = cut(rows.groupBy("cluster", "low", "i", "j").applyInPandas(_near_blocks(numerator, denominator, closest), "a long, b long").distinct(), "pairs")
+        new = cut(verify(docs, near, numerator, denominator), "links")
         links = links.unionByName(new)
-        roots = cut(components(links), "roots")
-    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.filter("node <> 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    out = placed.join(least, "root", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+        roots = components(links)
+    return _placed(nodes, reps, roots, docs)
+
+
+def _placed(nodes: DataFrame, reps: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """rid, n_shingles, root of every row; the sets' roots are looked up per set first, so that rows are joined once."""
+    sets = reps.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("node", "second", F.coalesce("root", "rid").alias("root"))
+    out = nodes.join(sets, ["node", "second"], "left").select("rid", _size("node").alias("n_shingles"), "root")
+
+    def each(part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column("rid"), pa.array(np.diff(shingles_of(strings(part, "text"), WIDTH)[0]))], ["rid", "true_size"])
+
+    if not nodes.filter(_size("node") == MOST).limit(1).count():
+        return out
+    sizes = docs.join(nodes.filter(_size("node") == MOST).select("rid"), "rid", "left_semi").mapInArrow(by_slice("text", each), "rid long, true_size long")
+    return out.join(sizes, "rid", "left").select("rid", F.coalesce("true_size", "n_shingles").alias("n_shingles"), "root")
+
+
+def jaccard_components(docs: DataFrame, numerator: int = 3, denominator: int = 4) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id; sets link when intersection / union >= numerator / denominator."""
+    rows = numbered(docs.select("doc_id", "text"), "rid")
+    classes = cut(jaccard_classes(rows, numerator, denominator).join(rows.select("rid", "doc_id"), "rid"), "classes")
+    least = classes.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return classes.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, numerator: int = 3, denominator: int = 4) -> DataFrame:
-    """docs with the smallest doc_id of each component, all columns as they were; documents with the empty set stay."""
-    found = jaccard_components(docs, numerator, denominator)
-    dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    """docs with one row of each component, that with the smallest doc_id (null last; of equal ones the first read), all columns as they were; rows with the empty set stay."""
+    name = free_name(docs.columns, "rid")
+    rows = numbered(docs, name)
+    ids = rows.select(F.col(name).alias("rid"), F.col("doc_id").alias("doc"))
+    classes = cut(jaccard_classes(rows.select(F.col(name).alias("rid"), "text"), numerator, denominator).filter("root is not null").join(ids, "rid"), "classes")
+    kept = classes.groupBy("root").agg(F.min_by("rid", F.struct(F.col("doc").isNull(), "doc", "rid")).alias("kept"), F.count("*").alias("n")).filter("n > 1")
+    dropped = classes.join(kept, "root").filter("rid <> kept").select(F.col("rid").alias(name))
+    return rows.join(dropped, name, "left_anti").drop(name)

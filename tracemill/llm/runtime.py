@@ -34,6 +34,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that is not among ``columns``, whatever the case of its letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a unique row number as ``name``, written as a table, so that every job sees the same numbers.
+
+    Rows are told apart by it where doc_id is null or repeated.
+    """
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def ascii_lower(col):
     """Lower-case A-Z only.
 
