@@ -8,7 +8,8 @@ is a complete ``.arc`` or ``.warc.gz`` file, a gzip member per WARC record.
 Defined results: null html is an empty payload; a null url becomes ``urn:page:<page_id>``; blanks and control
 characters in a url are percent-encoded, as they would break a header line; of equal payloads the record with
 the smallest page_id is the response (rows that repeat that page_id with that payload are responses too), null
-page_ids come last; an empty table gives an empty result; other columns do not matter.
+page_ids come last; one page_id with several payloads is judged by payload; a payload of any length travels whole, alone
+in its archive; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ ARC_FIELDS = {
 }
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
+REFERS_TO_PAGE = "X-Refers-To-Page-Id"
 RECORD = "page_id long, url string, date string, ip string, payload_bytes long, payload_digest string"
 
 
@@ -95,8 +97,11 @@ def record_id(url: str, date: str, page_id, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{url} {date} {page_id} {digest}')}>"
 
 
-def warc_record(arc: dict, refers_to: int | None = None) -> bytes:
-    """The gzip member of the WARC record equivalent to an ARC record; a revisit of page ``refers_to`` if that is given."""
+def warc_record(arc: dict, refers_to: tuple[int, str] | None = None) -> bytes:
+    """The gzip member of the WARC record equivalent to an ARC record; a revisit if the page it refers to is given (page_id, url in the archive).
+
+    That page has the same payload and date, so the identifier of its record is known here.
+    """
     head, headers, payload = http_parts(arc["block"])
     page_id, digest = headers.get("x-page-id") or None, payload_digest(payload)
     block = arc["block"] if refers_to is None else head
@@ -112,7 +117,8 @@ def warc_record(arc: dict, refers_to: int | None = None) -> bytes:
         ("Content-Length", str(len(block))),
     ]
     if refers_to is not None:
-        fields += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        page, url = refers_to
+        fields += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", record_id(url, arc["date"], str(page), digest)), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", warc_date(arc["date"])), (REFERS_TO_PAGE, str(page))]
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
     return packer.compress(text.encode("utf-8", "surrogateescape") + block + b"\r\n\r\n") + packer.flush()
@@ -133,71 +139,66 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-def _arc_chunks(part: pa.RecordBatch, date: str) -> Iterator[tuple[bytes, list]]:
-    """The rows of a slice as one ARC file, versions by the first page's id, with the rows' refers_to in order."""
+def _arc_of(part: pa.RecordBatch, date: str) -> bytes:
+    """The rows of a slice as one ARC file, of a version that follows from the first page's id."""
     rows = list(zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html"))))
-    refers = part.column("refers_to").to_pylist() if "refers_to" in part.schema.names else [None] * len(rows)
-    if rows:
-        yield arc_archive(iter(rows), 1 + (rows[0][0] or 0) % 2, "pages.arc", date), refers
+    return arc_archive(iter(rows), 1 + (rows[0][0] or 0) % 2, "pages.arc", date)
 
 
 def payload_index(pages: DataFrame, date: str) -> DataFrame:
-    """page_id, payload_bytes and payload_digest of every page, by way of its ARC record."""
+    """page_id, url, payload_bytes and payload_sha1 of every page, by way of its ARC record."""
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "html"):
                 found = []
-                for arc, _ in _arc_chunks(part, date):
-                    for record in parse_arc(arc):
-                        _, headers, payload = http_parts(record["block"])
-                        found.append((int(headers["x-page-id"]) if headers["x-page-id"] else None, len(payload), payload_digest(payload)))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.string()))], ["page_id", "payload_bytes", "payload_digest"])
+                for record in parse_arc(_arc_of(part, date)):
+                    _, headers, payload = http_parts(record["block"])
+                    found.append((int(headers["x-page-id"]) if headers["x-page-id"] else None, record["url"], len(payload), hashlib.sha1(payload).hexdigest()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.string(), pa.int64(), pa.string()))], ["page_id", "url", "payload_bytes", "payload_sha1"])
 
-    return pages.select("page_id", "html", "url").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string")
+    return pages.select("page_id", "html", "url").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_sha1 string")
 
 
 def revisits(index: DataFrame, smallest: int = 0, salts: int = 16) -> DataFrame:
-    """page_id and refers_to of the pages whose payload of at least ``smallest`` bytes a page with a smaller id has.
+    """page_id, payload_sha1, refers_to and refers_url of the pages whose payload of at least ``smallest`` bytes a page with a smaller id has.
 
     Counts are combined before the shuffle, and a payload that many pages share is looked up by salted keys.
     """
-    firsts = index.filter(F.col("payload_bytes") >= smallest).groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
-    firsts = firsts.filter("n > 1 and refers_to is not null").drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = index.select("page_id", "payload_digest", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int").alias("salt"))
-    found = rows.join(firsts, ["payload_digest", "salt"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    return found.select("page_id", "payload_digest", "refers_to").distinct()
+    firsts = index.filter(F.col("payload_bytes") >= smallest).groupBy("payload_sha1").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n"))
+    firsts = firsts.filter("n > 1 and first is not null").select("payload_sha1", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rows = index.select("page_id", "payload_sha1", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int").alias("salt"))
+    found = rows.join(firsts, ["payload_sha1", "salt"]).filter(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    return found.select("page_id", "payload_sha1", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")).distinct()
 
 
 def write_archives(pages: DataFrame, date: str = "20240101000000", smallest: int = 0) -> DataFrame:
-    """WARC archives of pages (page_id, url, html), converted from ARC: rows of name, records, content, written to the shared folder."""
-    again = revisits(cut(payload_index(pages, date), "payloads"), smallest)
+    """WARC archives of pages (page_id, url, html), converted from ARC: rows of name, records, content, written to the shared folder.
+
+    A page finds what it refers to by its id and payload together, so a page_id may have several payloads.
+    """
+    again = revisits(cut(payload_index(pages, date), "payloads"), smallest).withColumnsRenamed({"page_id": "again_id", "payload_sha1": "again_sha1"})
     rows = pages.select("page_id", "url", "html")
-    again = again.select(F.col("page_id").alias("again_id"), "payload_digest", "refers_to")
-    rows = rows.join(again, rows["page_id"].eqNullSafe(again["again_id"]), "left")
+    rows = rows.join(again, rows["page_id"].eqNullSafe(again["again_id"]) & (F.sha1(F.coalesce("html", F.lit("")).cast("binary")) == again["again_sha1"]), "left")
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "html"):
-                for arc, refers in _arc_chunks(part, date):
-                    digests = part.column("payload_digest").to_pylist()
-                    out = []
-                    for record, refer, digest in zip(parse_arc(arc), refers, digests):
-                        same = refer is not None and payload_digest(http_parts(record["block"])[2]) == digest
-                        out.append(warc_record(record, refer if same else None))
-                    content = b"".join(out)
-                    name = f"pages-{hashlib.sha1(content).hexdigest()[:16]}.warc.gz"
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(out)], pa.int64()), pa.array([content], pa.binary())], ["name", "records", "content"])
+                refers = zip(part.column("refers_to").to_pylist(), part.column("refers_url").to_pylist())
+                out = [warc_record(record, None if page is None else (page, url)) for record, (page, url) in zip(parse_arc(_arc_of(part, date)), refers)]
+                content = b"".join(out)
+                name = f"pages-{hashlib.sha1(content).hexdigest()[:16]}.warc.gz"
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(out)], pa.int64()), pa.array([content], pa.binary())], ["name", "records", "content"])
 
-    return cut(rows.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(run, "name string, records long, content binary"), "warc")
+    return cut(rows.select("page_id", "url", "html", "refers_to", "refers_url").mapInArrow(run, "name string, records long, content binary"), "warc")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """One row per record: page_id, url, warc_date, record_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """One row per record: page_id, url, warc_date, record_id, payload_bytes, payload_digest, record_type, refers_to, refers_to_record."""
 
     def run(batches):
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
-        names = ["page_id", "url", "warc_date", "record_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+        names = ["page_id", "url", "warc_date", "record_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_to_record"]
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
@@ -206,15 +207,15 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     digest, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
                     if kind == "response" and payload_digest(payload) != digest:
                         raise ValueError(f"record {fields['warc-record-id']} does not have its payload digest")
-                    refers = fields.get("warc-refers-to")
+                    page = fields.get(REFERS_TO_PAGE.lower())
                     size = len(payload) if kind == "response" else int(headers["content-length"])
-                    rows.append((int(headers["x-page-id"]) if headers["x-page-id"] else None, fields["warc-target-uri"], fields["warc-date"], fields["warc-record-id"], size, digest, kind, int(refers.removeprefix("<urn:page:").rstrip(">")) if refers else None))
+                    rows.append((int(headers["x-page-id"]) if headers["x-page-id"] else None, fields["warc-target-uri"], fields["warc-date"], fields["warc-record-id"], size, digest, kind, int(page) if page else None, fields.get("warc-refers-to")))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
 
-    return archives.select("content").mapInArrow(run, "page_id long, url string, warc_date string, record_id string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("content").mapInArrow(run, "page_id long, url string, warc_date string, record_id string, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_to_record string")
 
 
 def convert_pages(pages: DataFrame, smallest: int = 0) -> DataFrame:
     """Pages to ARC, ARC to WARC, and what is read back from the WARC archives."""
-    return read_archives(write_archives(pages, smallest=smallest)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "warc_date")
+    return read_archives(write_archives(pages, smallest=smallest)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "warc_date", "refers_to_record")
