@@ -77,8 +77,30 @@ def test_xes(spark, tmp_path):
     assert [(c.name, c.keys) for c in log.meta["classifiers"]] == [("Both", ("activity", "lifecycle")), ("Odd", ("my key", "resource"))]
     header = S.read_xes_header(spark, path)
     assert [(r["key"], r["value"]) for r in header["attributes"].collect()] == [("creator", "hand")]
+    assert [tuple(r) for r in header["globals"].collect()] == [("event", "concept:name", "name")]
     S.write_xes(log, str(tmp_path / "xes"))
-    assert as_dict(variants(S.read_xes(spark, str(tmp_path / "xes")))) == as_dict(variants(log))
+    again = S.read_xes(spark, str(tmp_path / "xes"))
+    assert as_dict(variants(again)) == as_dict(variants(log))
+    assert again.meta["classifiers"] == log.meta["classifiers"]
+    assert {r["prefix"] for r in S.read_xes_header(spark, str(tmp_path / "xes"))["extensions"].collect()} == {"concept", "lifecycle", "org", "time"}
+    attrs = lambda x: sorted(({k: v for k, v in r["attrs"].items() if k != "time:timestamp"} for r in x.events.collect()), key=str)
+    assert attrs(again) == attrs(log)
+
+
+def test_xes_traces_without_names_of_their_own(spark, tmp_path):
+    """Traces that share a name, or have none, stay apart, and keep their attributes over a round trip."""
+    trace = lambda name, *acts: f'<trace>{name}<int key="size" value="{len(acts)}"/><boolean key="odd" value="true"/>' + "".join(f'<event><string key="concept:name" value="{a}"/><float key="cost" value="1.50"/></event>' for a in acts) + "</trace>"
+    named = '<string key="concept:name" value="x"/>'
+    path = write(tmp_path, "log.xes", '<log xes.version="1.0">' + trace("", "a") + trace("", "b") + trace(named, "c") + trace(named, "d", "e") + trace('<string key="concept:name" value="y"/>', "f") + "</log>")
+    log = S.read_xes(spark, path)
+    expected = {"a": 1, "b": 1, "c": 1, "d,e": 1, "f": 1}
+    assert as_dict(variants(log)) == expected and "y" in {r["case_id"] for r in log.cases.collect()}
+    S.write_xes(log, str(tmp_path / "again"))
+    again = S.read_xes(spark, str(tmp_path / "again"))
+    assert as_dict(variants(again)) == expected
+    names = lambda x: sorted(str(sorted(r["attrs"].items())) for r in x.cases.collect())
+    assert names(again) == names(log)
+    assert {r["attrs"]["cost"] for r in again.events.collect()} == {"1.50"}
 
 
 def ocel2():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +23,16 @@ def _attributes(prefix: str = ""):
 
 
 def read_xes(spark: SparkSession, path: str) -> EventLog:
-    """cases and events of ``.xes`` or ``.xes.gz`` files; malformed values stay text in ``attrs``, events keep their file order."""
+    """cases and events of ``.xes`` or ``.xes.gz`` files; malformed values stay text in ``attrs``, events keep their file order.
+
+    A case is a trace: its id is the trace's name where no other trace has it, else the name (or nothing) with ``#`` and
+    the trace's number. The name itself stays in the case's ``attrs``.
+    """
     rows = spark.read.format("xml").option("rowTag", "trace").schema(TRACE).load(path)
     rows = rows.withColumns({"case_ix": F.monotonically_increasing_id(), "case_attrs": _attributes()})
-    rows = rows.select("case_ix", "case_attrs", "event", F.coalesce(F.try_element_at("case_attrs", F.lit("concept:name")), F.lit("")).alias("case_id"))
+    rows = rows.withColumn("name", F.coalesce(F.try_element_at("case_attrs", F.lit("concept:name")), F.lit("")))
+    shared = rows.groupBy("name").agg(F.count("*").alias("k")).filter("k > 1 or name = ''").select("name", F.lit(True).alias("shared"))
+    rows = rows.join(shared, "name", "left").withColumn("case_id", F.when(F.col("shared"), F.concat("name", F.lit("#"), "case_ix")).otherwise(F.col("name")))
     cases = rows.select("case_id", F.struct("case_ix").alias("first"), F.col("case_attrs").alias("attrs"))
     events = rows.select("case_id", F.posexplode("event").alias("pos", "e")).select("case_id", "pos", _attributes("e.").alias("attrs"))
     at = lambda k: F.try_element_at("attrs", F.lit(k))
@@ -34,14 +41,15 @@ def read_xes(spark: SparkSession, path: str) -> EventLog:
 
 
 def read_xes_header(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """classifiers, extensions and log attributes; all small."""
+    """classifiers, extensions, globals (scope, key, value) and log attributes; all small."""
     tag = lambda name, schema: spark.read.format("xml").option("rowTag", name).schema(schema).load(path)
     head = spark.read.text(path, lineSep="<trace").limit(1)
     pairs = F.regexp_extract_all(F.regexp_replace("value", r"(?s)<global.*?</global>", ""), F.lit(r'<(?:string|date|int|float|boolean|id)\s+key="([^"]*)"\s+value="([^"]*)"'), F.lit(1))
     values = F.regexp_extract_all(F.regexp_replace("value", r"(?s)<global.*?</global>", ""), F.lit(r'<(?:string|date|int|float|boolean|id)\s+key="([^"]*)"\s+value="([^"]*)"'), F.lit(2))
     return {
-        "classifiers": tag("classifier", "_name string, _keys string").select(F.col("_name").alias("name"), F.col("_keys").alias("keys")),
-        "extensions": tag("extension", "_name string, _prefix string, _uri string").select(F.col("_name").alias("name"), F.col("_prefix").alias("prefix"), F.col("_uri").alias("uri")),
+        "classifiers": tag("classifier", "_name string, _keys string").select(F.col("_name").alias("name"), F.col("_keys").alias("keys")).distinct(),
+        "extensions": tag("extension", "_name string, _prefix string, _uri string").select(F.col("_name").alias("name"), F.col("_prefix").alias("prefix"), F.col("_uri").alias("uri")).distinct(),
+        "globals": tag("global", f"_scope string, {_ATTRIBUTES}").select(F.col("_scope").alias("scope"), F.explode(_attributes())).distinct(),
         "attributes": head.select(F.explode(F.arrays_zip(pairs.alias("key"), values.alias("value"))).alias("x")).select("x.key", "x.value"),
     }
 
@@ -67,15 +75,61 @@ def available_classifiers(log: EventLog) -> list[Classifier]:
     return list(out.values())
 
 
+# The standard extensions whose keys are written.
+EXTENSIONS = {"Concept": "concept", "Lifecycle": "lifecycle", "Organizational": "org", "Time": "time"}
+STANDARD = {"activity": "concept:name", "lifecycle": "lifecycle:transition", "resource": "org:resource", "ts": "time:timestamp"}
+
+
+def _header(classifiers: list[Classifier]) -> str:
+    """The log's opening tag and header elements; every file of a log has them."""
+    plain = lambda text: text.replace("&", "&amp;").replace('"', "&quot;").replace("<", "&lt;")
+    key = lambda k: (f"'{k}'" if " " in k else k)
+    parts = ['<?xml version="1.0" encoding="UTF-8"?>', '<log xes.version="1.0">']
+    parts += [f'<extension name="{name}" prefix="{prefix}" uri="http://www.xes-standard.org/{prefix}.xesext"/>' for name, prefix in EXTENSIONS.items()]
+    parts += [f'<classifier name="{plain(c.name)}" keys="{plain(" ".join(key(STANDARD.get(k, k)) for k in c.keys))}"/>' for c in classifiers]
+    return "\n".join(parts)
+
+
+def _typed(pairs):
+    """The typed lists of an element's attributes, from an array of (_key, _value); the type follows from the value."""
+    value = lambda a: a["_value"]
+    whole, number, truth = (lambda a, p=p: F.regexp_like(value(a), F.lit(p)) for p in (r"^[+-]?[0-9]{1,18}$", r"^[+-]?[0-9]+\.[0-9]+(?:[eE][+-]?[0-9]+)?$", r"^(?:true|false)$"))
+    time = lambda a: F.regexp_like(value(a), F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]+(?:Z|[+-][0-9]{2}:[0-9]{2})$"))
+    some = F.filter(pairs, lambda a: a["_value"].isNotNull())
+    names = lambda a: a["_key"].isin("concept:name", "lifecycle:transition", "org:resource")
+    text = lambda a: names(a) | ~(whole(a) | number(a) | truth(a) | time(a))
+    kinds = {"string": text, "date": lambda a: ~names(a) & time(a), "int": lambda a: ~names(a) & whole(a), "float": lambda a: ~names(a) & number(a), "boolean": lambda a: ~names(a) & truth(a)}
+    return [F.filter(some, test).alias(kind) for kind, test in kinds.items()]
+
+
+def _pairs(df: DataFrame, known: dict[str, str], skip: tuple[str, ...]):
+    """(_key, _value) of known columns by their standard keys, of entries of ``attrs`` beyond these, and of other columns by name."""
+    pair = lambda k, v: F.struct(F.lit(k).alias("_key"), v.cast("string").alias("_value"))
+    time = lambda c: F.date_format(F.col(f"`{c}`"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    cell = lambda c: time(c) if dict(df.dtypes)[c] == "timestamp" else F.col(f"`{c}`")
+    out = F.array(*(pair(k, cell(c)) for c, k in known.items() if c in df.columns), *(pair(c, cell(c)) for c in df.columns if c not in known and c not in skip))
+    if "attrs" not in df.columns:
+        return out
+    more = F.filter(F.transform(F.map_entries(F.coalesce("attrs", F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("_key"), e["value"].alias("_value"))), lambda a: ~a["_key"].isin(*known.values()))
+    return F.concat(out, more)
+
+
 def write_xes(log: EventLog, path: str) -> None:
-    """One ``trace`` element per case, times to the millisecond; header elements are not written."""
-    pair = lambda k, v: F.struct(F.lit(k).alias("_key"), v.alias("_value"))
-    some = lambda *pairs: F.filter(F.array(*pairs), lambda a: a["_value"].isNotNull())
-    event = F.struct(
-        some(pair("concept:name", F.col("activity")), pair("lifecycle:transition", F.col("lifecycle")), pair("org:resource", F.col("resource"))).alias("string"),
-        some(pair("time:timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))).alias("date"),
-    )
-    events = log.events.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("pos", event.alias("e")))).alias("x"))
-    rows = log.cases.select("case_id").join(events, "case_id", "left")
-    rows = rows.select(F.array(pair("concept:name", F.col("case_id"))).alias("string"), F.transform("x", lambda e: e["e"]).alias("event"))
-    rows.write.format("xml").option("rowTag", "trace").option("rootTag", 'log xes.version="1.0"').save(path)
+    """One ``trace`` element per case with all attributes of cases and events, times to the millisecond; the header declares extensions and classifiers."""
+    events = log.events.select("case_id", "pos", F.struct(*_typed(_pairs(log.events, STANDARD, ("case_id", "pos", "tz_offset_min", "attrs")))).alias("e"))
+    events = events.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("pos", "e"))).alias("x"))
+    cases = log.cases
+    if "attrs" in cases.columns:  # a trace that was read keeps its own name, or none
+        cases = cases.withColumn("name_", F.try_element_at("attrs", F.lit("concept:name")))
+    else:
+        cases = cases.withColumn("name_", F.col("case_id"))
+    rows = cases.select("case_id", *_typed(_pairs(cases, {"name_": "concept:name"}, ("case_id", "first", "attrs")))).join(events, "case_id", "left")
+    rows = rows.select("string", "date", "int", "float", "boolean", F.transform("x", lambda e: e["e"]).alias("event"))
+    header = _header(log.meta.get("classifiers", []))
+
+    def whole(frames):
+        yield pd.DataFrame({"value": [header]})
+        yield from frames
+        yield pd.DataFrame({"value": ["</log>"]})
+
+    rows.select(F.to_xml(F.struct(*rows.columns), {"rowTag": "trace"}).alias("value")).mapInPandas(whole, "value string").write.text(path)
