@@ -6,22 +6,27 @@ import itertools
 import math
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..log import EventLog
 
 
+def _unit(key: Column, seed: int, k: int) -> Column:
+    """A number between 0 and 1 that follows from a key: 32 bits of its SHA-256."""
+    return (F.conv(F.substring(F.sha2(F.concat_ws("|", key, F.lit(str(seed)), F.lit(str(k))), 256), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
 def bootstrap_fitness(replayed: DataFrame, samples: int = 200, seed: int = 0) -> DataFrame:
     """One row: mean, low and high (2.5 and 97.5 %) of the replay fitness over resampled logs.
 
     A resampled count per variant is drawn from a normal approximation of the Poisson bootstrap of its cases where
     it has many, and from the Poisson distribution of that mean else; replay itself is done once.
     """
-    each = replayed.select("n", "missing", "consumed", "remaining", "produced", F.xxhash64("variant").alias("v"))
+    each = replayed.select("n", "missing", "consumed", "remaining", "produced", F.array_join("variant", ",").alias("v"))
     drawn = each.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    unit = lambda k: (F.pmod(F.xxhash64("v", "sample", F.lit(seed), F.lit(k)), F.lit(1_000_003)) + 0.5) / 1_000_003.0
+    unit = lambda k: _unit(F.concat_ws("|", "v", F.col("sample").cast("string")), seed, k)
     normal = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * math.pi * unit(2))
     steps = F.array(*(F.array(*map(F.lit, _poisson_steps(float(n), 40))) for n in range(1, 10)))
     poisson = F.size(F.filter(F.get(steps, F.col("n").cast("int") - 1), lambda t: t < unit(3))).cast("double")
@@ -118,7 +123,7 @@ def dependency_sweep(dependencies: DataFrame, grid: DataFrame) -> DataFrame:
 def add_noise(log: EventLog, probability: float, seed: int = 0) -> EventLog:
     """Cases lose one event, never the first, or have two neighbours swapped, with the given probability; ``damaged`` marks them. Draws are hashes of the case."""
     sizes = log.events.groupBy("case_id").agg(F.count("*").alias("size"))
-    unit = lambda k: (F.pmod(F.xxhash64("case_id", F.lit(seed), F.lit(k)), F.lit(1_000_003)) + 0.5) / 1_000_003.0
+    unit = lambda k: _unit(F.col("case_id"), seed, k)
     draw = sizes.withColumns({"hit": (unit(1) < probability) & (F.col("size") > 1), "drop": unit(2) < 0.5, "place": F.floor(unit(3) * (F.col("size") - 1)).cast("int")})
     rows = log.events.join(draw, "case_id")
     kept = rows.filter(~(F.col("hit") & F.col("drop") & (F.col("pos") == F.col("place") + 1)))
@@ -130,11 +135,11 @@ def add_noise(log: EventLog, probability: float, seed: int = 0) -> EventLog:
     return EventLog(cases, events, log.meta)
 
 
-def log_fingerprint(log: EventLog, buckets: int = 4096) -> DataFrame:
-    """One row: a digest of case ids, activities and times in order; built case by case, then per bucket, then in all."""
+def log_fingerprint(log: EventLog, digits: int = 3) -> DataFrame:
+    """One row: a digest of case ids, activities and times in order; built case by case, then per bucket (16^digits of them), then in all."""
     event = F.concat_ws("|", F.coalesce("activity", F.lit("")), F.coalesce(F.unix_micros("ts").cast("string"), F.lit("")))
     per_case = log.events.groupBy("case_id").agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", event.alias("e")))), lambda x: x["e"])), 256).alias("h"))
-    rows = log.cases.select("case_id").join(per_case, "case_id", "left").select(F.pmod(F.xxhash64("case_id"), F.lit(buckets)).alias("bucket"), F.concat_ws("=", "case_id", F.coalesce("h", F.lit(""))).alias("h"))
+    rows = log.cases.select("case_id").join(per_case, "case_id", "left").select(F.substring(F.sha2("case_id", 256), 1, digits).alias("bucket"), F.concat_ws("=", "case_id", F.coalesce("h", F.lit(""))).alias("h"))
     per_bucket = rows.groupBy("bucket").agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("h"))), 256).alias("h"))
     return per_bucket.agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"])), 256).alias("fingerprint"))
 

@@ -1,6 +1,6 @@
 """Registered queries of the library and their SQL."""
 
-from . import core, models  # noqa: F401
+from . import core, files, models  # noqa: F401
 from .base import QUERIES, SQL
 
 

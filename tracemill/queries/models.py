@@ -22,12 +22,23 @@ def _conversation_foot(spark, d):
     return G.footprint(g.nodes, g.edges), g
 
 
-@query()
+#: Place pairs by enumeration: sets of activities as bit masks, kept if no pair inside is ordered and all across are.
+PLACES = f"""{CONV}, {EDGES}, acts AS (SELECT activity, row_number() OVER (ORDER BY activity) - 1 AS i FROM nodes),
+rel AS (SELECT x.i AS i, y.i AS j, x.activity AS a, y.activity AS b, EXISTS (SELECT 1 FROM edges e WHERE e.a = x.activity AND e.b = y.activity) AS f, EXISTS (SELECT 1 FROM edges e WHERE e.a = y.activity AND e.b = x.activity) AS g FROM acts x, acts y),
+masks AS (SELECT unnest(range(1, 1::BIGINT << (SELECT count(*) FROM acts))) AS m),
+sets AS (SELECT m, (SELECT string_agg(activity, ',' ORDER BY activity) FROM acts WHERE (m >> i) & 1 = 1) AS names FROM masks WHERE NOT EXISTS (SELECT 1 FROM rel WHERE (f OR g) AND (m >> i) & 1 = 1 AND (m >> j) & 1 = 1)),
+xl AS (SELECT p.m AS pm, q.m AS qm, p.names AS a, q.names AS b FROM sets p, sets q WHERE NOT EXISTS (SELECT 1 FROM rel WHERE NOT (f AND NOT g) AND (p.m >> i) & 1 = 1 AND (q.m >> j) & 1 = 1)),
+pairs AS (SELECT a, b, NOT EXISTS (SELECT 1 FROM xl o WHERE (o.pm & x.pm) = x.pm AND (o.qm & x.qm) = x.qm AND (o.pm <> x.pm OR o.qm <> x.qm)) AS maximal FROM xl x)"""
+
+
+@query(f"WITH {PLACES} SELECT a, b, maximal FROM pairs")
 def d2_place_pairs(spark, d):
     return alpha.place_pairs(_conversation_foot(spark, d)[0]).select(text("a").alias("a"), text("b").alias("b"), "maximal")
 
 
-@query()
+@query(f"""WITH {PLACES}, pl AS (SELECT 'p({{' || a || '}},{{' || b || '}})' AS p, a, b FROM pairs WHERE maximal)
+SELECT 'net' AS net_id, unnest(string_split(a, ',')) AS source, p AS target, 1::INT AS weight FROM pl UNION ALL SELECT 'net', p, unnest(string_split(b, ',')), 1 FROM pl
+UNION ALL SELECT 'net', 'i_L', activity, 1 FROM nodes WHERE n_start > 0 UNION ALL SELECT 'net', activity, 'o_L', 1 FROM nodes WHERE n_end > 0""")
 def d3_alpha_net(spark, d):
     foot, g = _conversation_foot(spark, d)
     return alpha.alpha_net(alpha.task_sets(g.nodes), alpha.place_pairs(foot)).tables(spark)[2]
@@ -39,7 +50,8 @@ def d4_loop_warnings(spark, d):
     return alpha.loop_warnings(variants(conversations(spark, d)))
 
 
-@query()
+@query(f"""WITH {PLACES} SELECT r.a, r.b, CASE WHEN p.maximal THEN 'yes' WHEN NOT p.maximal THEN 'not maximal' ELSE 'a relation forbids it' END AS answer
+FROM rel r LEFT JOIN pairs p ON p.a = r.a AND p.b = r.b WHERE r.a <> r.b""")
 def d5_judge_place(spark, d):
     foot, _ = _conversation_foot(spark, d)
     pairs = alpha.place_pairs(foot)
@@ -160,43 +172,76 @@ def _conversation_net():
     return net
 
 
+#: Replay of each variant on the fixed conversation net, event by event: tokens in its three places (s, q, a) and the counts so far.
+REPLAY = f"""{CONV}, st(variant, n, acts, k, s, q, a, missing, produced, consumed, ask, answer, again, f_ask, f_answer, unknown) AS (
+SELECT variant, n, string_split(variant, ','), 0::BIGINT, 1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM var
+UNION ALL SELECT variant, n, acts, k + 1, s - (u AND s > 0)::BIGINT, q + u::BIGINT - (w AND q > 0)::BIGINT, a - (u AND s = 0 AND a > 0)::BIGINT + w::BIGINT,
+missing + (u AND s = 0 AND a = 0)::BIGINT + (w AND q = 0)::BIGINT, produced + (u OR w)::BIGINT + (u AND s = 0 AND a > 0)::BIGINT, consumed + (u OR w)::BIGINT + (u AND s = 0 AND a > 0)::BIGINT,
+ask + u::BIGINT, answer + w::BIGINT, again + (u AND s = 0 AND a > 0)::BIGINT, f_ask + (u AND s = 0 AND a = 0)::BIGINT, f_answer + (w AND q = 0)::BIGINT, unknown + (NOT u AND NOT w)::BIGINT
+FROM (SELECT *, acts[k + 1] = 'user' AS u, acts[k + 1] = 'assistant' AS w FROM st WHERE k < len(acts))),
+rp AS (SELECT variant, n, produced, consumed + 1 AS consumed, missing + (a = 0)::BIGINT AS missing, s + q + greatest(a - 1, 0) AS remaining, ask, answer, again, f_ask, f_answer, unknown FROM st WHERE k = len(acts)),
+fi AS (SELECT 'ask' AS transition, sum(n * ask) AS fired, sum(n * f_ask) AS forced FROM rp UNION ALL SELECT 'answer', sum(n * answer), sum(n * f_answer) FROM rp UNION ALL SELECT 'again', sum(n * again), 0 FROM rp)"""
+#: Least deviations of each variant from the net's runs, event by event, for the states before the first question, asked and answered.
+ALIGN = f"""{CONV}, al(variant, n, acts, k, cs, cq, ca) AS (SELECT variant, n, string_split(variant, ','), 0::BIGINT, 0::BIGINT, 1::BIGINT, 2::BIGINT FROM var
+UNION ALL SELECT variant, n, acts, k + 1, least(xs, xa, xq + 1, xs + 2), least(xq, xs + 1, xa + 1), least(xa, xq + 1, xs + 2)
+FROM (SELECT variant, n, acts, k, cs + 1 AS xs, CASE WHEN acts[k + 1] = 'user' THEN least(cq + 1, cs, ca) ELSE cq + 1 END AS xq, CASE WHEN acts[k + 1] = 'assistant' THEN least(ca + 1, cq) ELSE ca + 1 END AS xa FROM al WHERE k < len(acts))),
+ac AS (SELECT variant, n, ca AS cost, len(acts) + 2 AS worst, 1 - ca / (len(acts) + 2) AS fitness FROM al WHERE k = len(acts)),
+af AS (SELECT sum(fitness * n) / sum(n) AS average_fitness, 1 - sum(cost * n) / sum(worst * n) AS log_fitness, sum(n) AS cases, coalesce(sum(n) FILTER (WHERE cost = 0), 0) AS fitting FROM ac)"""
+#: Of the prefixes that the net can follow (they alternate), how many cases go on otherwise only.
+PRECISE = """w AS (SELECT case_id, pos, activity, CASE WHEN pos % 2 = 0 THEN 'user' ELSE 'assistant' END AS may FROM e),
+ok AS (SELECT *, coalesce(bool_and(activity = may) OVER (PARTITION BY case_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS follows FROM w),
+pe AS (SELECT 1 - sum(CASE WHEN seen THEN 0 ELSE n END) / sum(n) AS precision FROM (SELECT pos, count(*) AS n, bool_or(activity = may) AS seen FROM ok WHERE follows GROUP BY pos))"""
+FIT = "0.5 * (1 - sum(n * missing) / sum(n * consumed)) + 0.5 * (1 - sum(n * remaining) / sum(n * produced))"
+GENERAL = "(SELECT 1 - avg(CASE WHEN fired > 0 THEN 1 / sqrt(fired) ELSE 1.0 END) FROM fi)"
+
+
 @query()
 def c1_token_replay(spark, d):
     return conformance.token_replay(*_mined(spark, d)).select(text("variant").alias("variant"), "n", "produced", "consumed", "missing", "remaining", "fits")
 
 
+@query(f"WITH RECURSIVE {REPLAY} SELECT variant, n, produced, consumed, missing, remaining, missing = 0 AND remaining = 0 AND unknown = 0 AS fits FROM rp")
+def c1_replay_of_conversations(spark, d):
+    return conformance.token_replay(variants(conversations(spark, d)), _conversation_net()).select(text("variant").alias("variant"), "n", "produced", "consumed", "missing", "remaining", "fits")
+
+
 @query()
 def c2_replay_fitness(spark, d):
     return rounded(conformance.replay_fitness(conformance.token_replay(*_mined(spark, d))))
 
 
-@query()
+@query(f"WITH RECURSIVE {REPLAY} SELECT round({FIT}, 6) AS fitness, sum(n)::BIGINT AS cases, coalesce(sum(n) FILTER (WHERE missing = 0 AND remaining = 0 AND unknown = 0), 0)::BIGINT AS fitting FROM rp")
+def c2_fitness_of_conversations(spark, d):
+    return rounded(conformance.replay_fitness(conformance.token_replay(variants(conversations(spark, d)), _conversation_net())))
+
+
+@query(f"WITH RECURSIVE {REPLAY} SELECT transition, fired::BIGINT AS fired, forced::BIGINT AS forced FROM fi WHERE fired > 0")
 def c3_replay_totals(spark, d):
     return conformance.replay_totals(conformance.token_replay(variants(conversations(spark, d)), _conversation_net()))[1]
 
 
-@query()
+@query(f"WITH RECURSIVE {ALIGN} SELECT variant, n, cost, round(fitness, 6) AS fitness FROM ac")
 def c4_align(spark, d):
     return rounded(conformance.align(variants(conversations(spark, d)), _conversation_net()).select(text("variant").alias("variant"), "n", "cost", "fitness"))
 
 
-@query()
+@query(f"WITH RECURSIVE {ALIGN} SELECT round(average_fitness, 6) AS average_fitness, round(log_fitness, 6) AS log_fitness, cases::BIGINT AS cases, fitting::BIGINT AS fitting FROM af")
 def c5_alignment_fitness(spark, d):
     return rounded(conformance.alignment_fitness(conformance.align(variants(conversations(spark, d)), _conversation_net()), 2))
 
 
-@query()
+@query(f"WITH {CONV}, {PRECISE} SELECT round(precision, 6) AS precision FROM pe")
 def c6_precision(spark, d):
     return rounded(conformance.precision(variants(conversations(spark, d)), _conversation_net()))
 
 
-@query()
+@query(f"WITH RECURSIVE {REPLAY} SELECT round({GENERAL}, 6) AS generalisation")
 def c7_generalisation(spark, d):
     net = _conversation_net()
     return rounded(conformance.generalisation(conformance.token_replay(variants(conversations(spark, d)), net), net))
 
 
-@query()
+@query(f"WITH RECURSIVE {REPLAY}, {ALIGN.removeprefix(CONV)[2:]}, {PRECISE} SELECT round((SELECT average_fitness FROM af), 6) AS fitness, round((SELECT precision FROM pe), 6) AS precision, round({GENERAL}, 6) AS generalisation, 1.0::DOUBLE AS simplicity")
 def c9_check_fit(spark, d):
     return rounded(check_fit(variants(conversations(spark, d)), _conversation_net(), alignments=True))
 
@@ -275,7 +320,19 @@ def p8_evaluate(spark, d):
     return rounded(prediction.evaluate(prediction.predict_frequency(rows, model, "last"), "next_activity"))
 
 
-@query()
+def _unit(key: str, seed: int, k: int) -> str:
+    """The SQL of a number between 0 and 1 that follows from a key."""
+    return f"((('0x' || substr(sha256(concat_ws('|', {key}, '{seed}', '{k}')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)"
+
+
+POISSON = "len(list_filter(list_transform(range(0, 40), lambda i: list_sum(list_transform(range(0, i + 1), lambda j: exp(-n) * pow(n, j) / gamma(j + 1)))), lambda t: t < {u}))"
+
+
+@query(f"""WITH RECURSIVE {REPLAY}, d AS (SELECT *, unnest(range(1, 201)) AS sample FROM rp),
+u AS (SELECT *, {_unit("variant, sample", 3, 1)} AS u1, {_unit("variant, sample", 3, 2)} AS u2, {_unit("variant, sample", 3, 3)} AS u3 FROM d),
+w AS (SELECT *, CASE WHEN n >= 10 THEN greatest(round(n + sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) * sqrt(n)), 0) ELSE {POISSON.format(u="u3")} END AS w FROM u),
+f AS (SELECT sample, 0.5 * (CASE WHEN sum(w * consumed) = 0 THEN 1 ELSE 1 - sum(w * missing) / sum(w * consumed) END) + 0.5 * (CASE WHEN sum(w * produced) = 0 THEN 1 ELSE 1 - sum(w * remaining) / sum(w * produced) END) AS f FROM w GROUP BY sample)
+SELECT round(avg(f), 6) AS mean, round(quantile_cont(f, 0.025), 6) AS low, round(quantile_cont(f, 0.975), 6) AS high FROM f""")
 def e1_bootstrap(spark, d):
     replayed = conformance.token_replay(variants(conversations(spark, d)), _conversation_net())
     return rounded(experiments.bootstrap_fitness(replayed, 200, 3))
@@ -301,13 +358,16 @@ def e3_sweep(spark, d):
     return experiments.dependency_sweep(heuristics.dependencies(G.discover_dfg(order_lines(spark, d)).edges), grid)
 
 
-@query()
+@query(f"""WITH {USERDAY}, n AS (SELECT case_id, len, {_unit("case_id", 5, 1)} < 0.3 AND len > 1 AS damaged, {_unit("case_id", 5, 2)} < 0.5 AS lost FROM seq)
+SELECT count(*) AS cases, count(*) FILTER (WHERE damaged) AS damaged, (sum(len) - count(*) FILTER (WHERE damaged AND lost))::BIGINT AS events FROM n""")
 def e4_noise(spark, d):
     log = experiments.add_noise(user_days(spark, d), 0.3, 5)
     return log.cases.agg(F.count("*").alias("cases"), F.count_if("damaged").alias("damaged")).crossJoin(log.events.agg(F.count("*").alias("events")))
 
 
-@query()
+@query(f"""WITH {USERDAY}, c AS (SELECT case_id, case_id || '=' || sha256(string_agg(activity || '|' || epoch_us(ts), chr(10) ORDER BY pos)) AS h FROM e GROUP BY case_id),
+b AS (SELECT substr(sha256(case_id), 1, 3) AS bucket, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM c GROUP BY 1)
+SELECT sha256(string_agg(h, chr(10) ORDER BY bucket)) AS fingerprint FROM b""")
 def e5_fingerprint(spark, d):
     return experiments.log_fingerprint(user_days(spark, d))
 
