@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..log import EventLog
+from .ranges import with_sum_before
 
 
 def _unit(key: Column, seed: int, k: int) -> Column:
@@ -71,8 +72,7 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     names = F.array_sort(F.collect_set(group))
     first = df.agg(names[0].alias("g0"))
     counted = df.crossJoin(F.broadcast(first)).groupBy(value).agg(F.count("*").alias("t"), F.count_if(F.col(group) == F.col("g0")).alias("k"))
-    below = W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranked = counted.withColumn("rank", F.coalesce(F.sum("t").over(below), F.lit(0)) + (F.col("t") + 1) / 2)
+    ranked = with_sum_before(counted, [F.col(value)], "t", "below").withColumn("rank", F.col("below") + (F.col("t") + 1) / 2)
     one = ranked.agg(F.sum(F.col("rank") * F.col("k")).alias("r"), F.sum("k").alias("n1"), (F.sum("t") - F.sum("k")).alias("n2"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
     n = F.col("n1") + F.col("n2")
     u = F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2

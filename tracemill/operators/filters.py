@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..log import BY_NAME, Classifier, EventLog
+from .ranges import with_sum_before
 from .variants import sequences
 
 
@@ -62,19 +63,14 @@ def case_length(log: EventLog, least: int = 0, most: int | None = None, classifi
 def top_variants(table: DataFrame, count: int | None = None, coverage: float | None = None) -> DataFrame:
     """The most frequent variants, ties by first appearance: ``count`` of them, or the fewest that cover ``coverage`` per cent of the cases (one at least).
 
-    Coverage sums the cases per frequency class first, so that only the class where it is crossed is ordered.
+    Cases are summed over ranges of the ordered table, so that no task holds all variants.
     """
     if count is not None:
         return table.orderBy(F.desc("n"), "first").limit(max(0, count))
     needed = F.lit(min(100.0, max(0.0, coverage)) / 100)
-    classes = table.groupBy("n").agg(F.sum("n").alias("cases"))
-    before = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)  # one row per distinct count
-    classes = classes.withColumn("covered", F.coalesce(F.sum("cases").over(before), F.lit(0))).withColumn("total", F.sum("cases").over(W.partitionBy()))
-    inside = table.join(F.broadcast(classes.drop("cases")), "n")
-    own = W.partitionBy("n").orderBy("first", "variant").rowsBetween(W.unboundedPreceding, -1)
-    open_ = inside.filter((F.col("covered") < needed * F.col("total")) | (F.col("covered") == 0))
-    placed = open_.withColumn("covered", F.col("covered") + F.coalesce(F.sum("n").over(own), F.lit(0)))
-    return placed.filter((F.col("covered") < needed * F.col("total")) | (F.col("covered") == 0)).select(table.columns)
+    total = table.agg(F.sum("n").alias("total_"))
+    placed = with_sum_before(table, [F.desc("n"), F.col("first"), F.col("variant")], "n", "covered_").crossJoin(F.broadcast(total))  # one row
+    return placed.filter((F.col("covered_") < needed * F.col("total_")) | (F.col("covered_") == 0)).select(table.columns)
 
 
 def filter_variants(log: EventLog, count: int | None = None, coverage: float | None = None, classifier: Classifier = BY_NAME) -> EventLog:

@@ -53,8 +53,9 @@ def dependency_graph(table: DataFrame, dependency_threshold: float = 0.9, min_ob
 def bindings(table: DataFrame, graph: DataFrame) -> DataFrame:
     """side ('out' or 'in'), activity, binding (sorted), n.
 
-    b is in the output binding of a at a place if it comes after it and before the next a; inputs mirror that. The
-    self-join of places is by variant and activity, pruned by the graph's edges first.
+    b is in the output binding of a at a place if it comes after it and before the next a; inputs mirror that. Only the
+    nearest place of the other activity decides, so the places of both ends of an edge are put in order per variant and
+    edge: rows grow with the places and the graph's degree, not with pairs of places.
     """
     rows = table.select("variant", "n", F.xxhash64("variant").alias("v"), F.size("variant").alias("size"))
     empty = rows.filter("size = 0").select("n")
@@ -66,20 +67,23 @@ def bindings(table: DataFrame, graph: DataFrame) -> DataFrame:
     places = rows.select("v", "n", "size", F.posexplode("variant").alias("i", "a"))
     own = W.partitionBy("v", "a").orderBy("i")
     places = places.withColumns({"next": F.coalesce(F.lead("i").over(own), F.col("size")), "prev": F.coalesce(F.lag("i").over(own), F.lit(-1))})
-    partner = places.select("v", F.col("i").alias("j"), F.col("a").alias("b"))
-    edges = F.broadcast(graph.select("a", "b"))
+    edges = F.broadcast(graph.filter("a <> b").select(F.col("a").alias("ea"), F.col("b").alias("eb")))
     base = places.select("v", "n", "size", "i", "a", "next", "prev")
-
-    def side(name: str, pairs: DataFrame, inside, loop, edge_test, virtual_name: str) -> DataFrame:
-        seen = pairs.join(partner, ["v", "b"]).filter((F.col("b") != F.col("a")) & inside).select("v", "i", "b").distinct()
-        loops = pairs.filter((F.col("b") == F.col("a")) & loop).select("v", "i", "b")
+    tails = places.join(edges, F.col("a") == F.col("ea")).select("v", "ea", "eb", "i", F.lit(True).alias("tail"), F.col("next").alias("bound"))
+    heads = places.join(edges, F.col("a") == F.col("eb")).select("v", "ea", "eb", "i", F.lit(False).alias("tail"), F.col("prev").alias("bound"))
+    edge = W.partitionBy("v", "ea", "eb")
+    seen = lambda order, tail: F.last(F.when(F.col("tail") == tail, F.col("i")), ignorenulls=True).over(edge.orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    meet = tails.unionByName(heads).withColumns({"after": seen(F.desc("i"), False), "before": seen(F.asc("i"), True)})
+    loops = F.broadcast(graph.filter("a = b").select("a"))
+
+    def side(name: str, found: DataFrame, loop, edge_test, virtual_name: str) -> DataFrame:
+        again = base.join(loops, "a").filter(loop).select("v", "i", F.col("a").alias("b"))
         border = base.filter(edge_test).select("v", "i", F.lit(virtual_name).alias("b"))
-        grouped = seen.unionByName(loops).unionByName(border).groupBy("v", "i").agg(F.array_sort(F.collect_set("b")).alias("binding"))
+        grouped = found.unionByName(again).unionByName(border).groupBy("v", "i").agg(F.array_sort(F.collect_set("b")).alias("binding"))
         return grouped.join(base.select("v", "i", "a", "n"), ["v", "i"]).select(F.lit(name).alias("side"), F.col("a").alias("activity"), "binding", "n")
 
-    out = side("out", base.join(edges, "a"), (F.col("j") > F.col("i")) & (F.col("j") < F.col("next")), F.col("next") == F.col("i") + 1, (F.col("i") == F.col("size") - 1), END)
-    back = F.broadcast(graph.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    into = side("in", base.join(back, "a"), (F.col("j") < F.col("i")) & (F.col("j") > F.col("prev")), F.col("prev") == F.col("i") - 1, F.col("i") == 0, START)
+    out = side("out", meet.filter("tail and after < bound").select("v", "i", F.col("eb").alias("b")), F.col("next") == F.col("i") + 1, F.col("i") == F.col("size") - 1, END)
+    into = side("in", meet.filter("not tail and before > bound").select("v", "i", F.col("ea").alias("b")), F.col("prev") == F.col("i") - 1, F.col("i") == 0, START)
     return virtual.unionByName(out).unionByName(into).groupBy("side", "activity", "binding").agg(F.sum("n").alias("n"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..log import BY_NAME, Classifier, EventLog, seconds
+from .ranges import with_sum_before
 from .variants import labelled
 
 NO_MORE = "⟂"
@@ -20,12 +21,16 @@ def prefix_rows(log: EventLog, min_prefix: int = 1, max_prefix: int = 20, classi
         "case_id",
         F.first("ts").over(whole).alias("case_start"),
         (F.col("at") + 1).alias("prefix_length"),
-        F.collect_list("label").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("prefix"),
+        "label",
         F.coalesce(F.lead("label").over(own), F.lit(NO_MORE)).alias("next_activity"),
         F.last("label").over(whole).alias("outcome"),
         (seconds(F.col("ts"), F.last("ts").over(whole)) / 3600).alias("remaining_hours"),
     )
-    return rows.filter(F.col("prefix_length").between(min_prefix, max_prefix))
+    # prefixes are gathered from the rows that are asked for only
+    rows = rows.filter(F.col("prefix_length") <= max_prefix)
+    prefix = F.collect_list("label").over(W.partitionBy("case_id").orderBy("prefix_length").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.select("case_id", "case_start", "prefix_length", prefix.alias("prefix"), "next_activity", "outcome", "remaining_hours")
+    return rows.filter(F.col("prefix_length") >= min_prefix)
 
 
 def next_steps(log: EventLog, classifier: Classifier = BY_NAME) -> DataFrame:
@@ -67,12 +72,7 @@ def split_by_time(rows: DataFrame, train_fraction: float = 0.7) -> tuple[DataFra
     cases = rows.select("case_id", "case_start").distinct()
     late = F.coalesce(F.unix_micros("case_start"), F.lit((1 << 63) - 1))
     starts = cases.groupBy(late.alias("t")).agg(F.count("*").alias("n"))
-    dealt = starts.repartitionByRange("t").sortWithinPartitions("t").withColumn("part", F.spark_partition_id())
-    parts = dealt.groupBy("part").agg(F.sum("n").alias("size"))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
-    inside = W.partitionBy("part").orderBy("t").rowsBetween(W.unboundedPreceding, -1)
-    placed = dealt.join(F.broadcast(parts), "part").withColumn("above", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).select("t", "above")
+    placed = with_sum_before(starts, [F.col("t")], "n", "above").select("t", "above")
     total = cases.agg(F.greatest(F.bround(F.count("*") * F.lit(train_fraction), 0), F.lit(1)).alias("cut"))
     tie = W.partitionBy("t").orderBy("case_id")
     ranked = cases.withColumn("t", late).join(placed, "t").withColumn("rank", F.col("above") + F.row_number().over(tie)).crossJoin(F.broadcast(total))

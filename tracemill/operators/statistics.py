@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import relative_difference
 from ..log import BY_NAME, Classifier, EventLog, seconds
+from .ranges import quantiles
 from .variants import labelled, ranked_variants, sequences, variants
 
 
@@ -58,7 +59,10 @@ def case_spans(log: EventLog) -> DataFrame:
 
 
 def duration_statistics(log: EventLog) -> DataFrame:
-    return case_spans(log).agg(F.count("duration").alias("cases"), F.avg("duration").alias("mean"), F.median("duration").alias("median"), F.min("duration").alias("shortest"), F.max("duration").alias("longest"))
+    spans = case_spans(log)
+    one = spans.agg(F.count("duration").alias("cases"), F.avg("duration").alias("mean"), F.min("duration").alias("shortest"), F.max("duration").alias("longest"))
+    middle = quantiles(spans, [], "duration", {"median": 0.5}).agg(F.max("median").alias("median"))
+    return one.crossJoin(F.broadcast(middle)).select("cases", "mean", "median", "shortest", "longest")  # one row each
 
 
 def case_table(log: EventLog, classifier: Classifier = BY_NAME) -> DataFrame:
@@ -119,9 +123,9 @@ def describe_log(log: EventLog) -> DataFrame:
     """measure, count, mean, std, min, quartiles and max of events per case and of durations in hours."""
     spans = case_spans(log).select(F.col("events").cast("double").alias("events per case"), (F.col("duration") / 3600).alias("duration (h)"))
     rows = spans.unpivot([], ["`events per case`", "`duration (h)`"], "measure", "x")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy("measure").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"))
-    return out.select("measure", "count", "mean", "std", "min", *(F.col("q")[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))), "max")
+    q = quantiles(rows, ["measure"], "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    out = rows.groupBy("measure").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return out.join(F.broadcast(q), "measure", "left").select("measure", "count", "mean", "std", "min", "q25", "q50", "q75", "max")  # two rows
 
 
 def correlate(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import natural_order
 from ..log import BY_NAME, Classifier, EventLog, seconds
+from .ranges import with_rank, with_sum_before
 from .variants import labelled
 
 # Seconds of the units of a time axis; months have 30 days, years 365.
@@ -29,18 +30,9 @@ def case_time(log: EventLog, relative: bool = False, classifier: Classifier = BY
 
 
 def global_order(log: EventLog) -> DataFrame:
-    """x: rank in the whole log by (time, case, position), undated events first.
-
-    Rows are dealt by range and numbered inside partitions; the partitions' counts, one row each, give the offsets.
-    """
+    """x: rank in the whole log by (time, case, position), undated events first."""
     ordered = log.events.join(log.cases.select("case_id", "first"), "case_id")
-    keys = [F.col("ts").asc_nulls_first(), F.col("first"), F.col("case_id"), F.col("pos")]
-    dealt = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"part_": F.spark_partition_id(), "at_": F.monotonically_increasing_id()})
-    dealt = dealt.persist()
-    sizes = dealt.groupBy("part_").agg(F.count("*").alias("n_"), F.min("at_").alias("low_"))
-    before = W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.withColumn("base_", F.coalesce(F.sum("n_").over(before), F.lit(0)) - F.col("low_")).select("part_", "base_")
-    return dealt.join(F.broadcast(sizes), "part_").withColumn("x", F.col("at_") + F.col("base_")).drop("part_", "at_", "base_", "first")
+    return with_rank(ordered, [F.col("ts").asc_nulls_first(), F.col("first"), F.col("case_id"), F.col("pos")], "x").drop("first")
 
 
 def case_position(log: EventLog, classifier: Classifier = BY_NAME) -> DataFrame:
@@ -54,8 +46,7 @@ def ranked_rows(log: EventLog, by: str, sort: str = "first", descending: bool =
     rows = rows.withColumn("duration", seconds("first", "last"))
     keys = natural_order(F.col("row")) if sort == "name" else [F.col(sort)]
     keys = [k.desc() if descending else k.asc() for k in keys]
-    # one row per value of an attribute; a global order over it is what is asked for
-    return rows.withColumn("place", F.row_number().over(W.orderBy(*keys, *natural_order(F.col("row")))) - 1)
+    return with_rank(rows, [*keys, *natural_order(F.col("row"))], "place")
 
 
 def frequency_ranks(logs: dict[str, EventLog], column: str = "activity", distinct: int = 8) -> DataFrame:
@@ -65,7 +56,7 @@ def frequency_ranks(logs: dict[str, EventLog], column: str = "activity", distinc
         one = log.events.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("value")).agg(F.count("*").alias("n"))
         counts = one if counts is None else counts.unionByName(one)
     total = counts.groupBy("value").agg(F.sum("n").alias("n"))
-    ranked = total.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "value")))
+    ranked = with_rank(total, [F.desc("n"), F.col("value")], "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
     return ranked.withColumn("slot", F.least("rank", F.lit(distinct + 1)))
 
 
@@ -74,8 +65,8 @@ def timeline_statistics(log: EventLog) -> DataFrame:
     spans = log.events.groupBy("case_id").agg(F.count("*").alias("events"), F.count("ts").alias("timed"), seconds(F.min("ts"), F.max("ts")).alias("d"))
     timed = spans.filter("timed > 1")
     middle = timed.agg(F.count("*").alias("m"))
-    ranked = timed.groupBy("d").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(W.orderBy("d")))
-    median = ranked.crossJoin(F.broadcast(middle)).filter("upto > m div 2").agg(F.min("d").alias("median_duration"))
+    ranked = with_sum_before(timed.groupBy("d").agg(F.count("*").alias("k")), [F.col("d")], "k", "above")
+    median = ranked.crossJoin(F.broadcast(middle)).filter("above + k > m div 2").agg(F.min("d").alias("median_duration"))
     return spans.agg(F.sum("events").alias("events"), F.count("*").alias("cases")).crossJoin(timed.agg(F.avg("d").alias("mean_duration"), F.min("d").alias("shortest"), F.max("d").alias("longest"))).crossJoin(median)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..log import BY_NAME, BY_NAME_COMPLETE, Classifier, EventLog
+from .ranges import with_rank, with_sum_before
 
 
 def has_lifecycle_pairs(log: EventLog) -> bool:
@@ -39,26 +40,17 @@ def variants(log: EventLog, classifier: Classifier = BY_NAME) -> DataFrame:
 
 
 def ranked_variants(table: DataFrame) -> DataFrame:
-    """Adds rank (by falling count, then sequence), share and length.
-
-    Ranks are offsets of frequency classes plus the place inside a class, so that no window covers all variants.
-    """
-    classes = table.groupBy("n").agg(F.count("*").alias("size"), F.sum("n").alias("cases"))
-    before = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)  # one row per distinct count
-    classes = classes.select("n", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("above"))
+    """Adds rank (by falling count, then sequence), share and length."""
     total = table.agg(F.sum("n").alias("total"))
-    own = W.partitionBy("n").orderBy("variant")
-    out = table.join(F.broadcast(classes), "n").withColumn("rank", F.col("above") + F.row_number().over(own)).drop("above")
-    return out.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total")).withColumn("length", F.size("variant")).drop("total")
+    out = with_rank(table, [F.desc("n"), F.col("variant")], "rank").withColumn("rank", F.col("rank") + 1)
+    return out.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total")).withColumn("length", F.size("variant")).drop("total")  # one row
 
 
 def expand(table: DataFrame) -> EventLog:
     """A log with n cases per variant, named 'case 1', 'case 2', ... by variant."""
-    copies = table.select("variant", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).filter("copy > 0")
-    places = table.select("variant", "n")
-    base = W.orderBy("variant").rowsBetween(W.unboundedPreceding, -1)
-    places = places.withColumn("base", F.coalesce(F.sum("n").over(base), F.lit(0))).drop("n")
-    cases = copies.join(places, "variant").withColumn("number", F.col("base") + F.col("copy"))
+    places = with_sum_before(table.select("variant", "n"), [F.col("variant")], "n", "base")
+    copies = places.select("variant", "base", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).filter("copy > 0")
+    cases = copies.withColumn("number", F.col("base") + F.col("copy"))
     cases = cases.select(F.concat(F.lit("case "), "number").alias("case_id"), F.struct("number").alias("first"), "variant")
     events = cases.select("case_id", F.posexplode("variant").alias("pos", "activity"))
     none = F.lit(None)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..nets import Net
 from ..operators import conformance as C
+from ..runtime import cut
 
 
 def check_fit(table: DataFrame, net: Net, alignments: bool = False) -> DataFrame:
     """table: variants; fitness by replay, or the average alignment fitness."""
-    replayed = C.token_replay(table, net).persist()
+    replayed = cut(C.token_replay(table, net), "replayed")
     if alignments:
         shortest = net.shortest_run()
         fitness = C.alignment_fitness(C.align(table, net), shortest).select(F.col("average_fitness").alias("fitness"))
