@@ -112,7 +112,7 @@ def test_jaccard_large_group(spark):
     same(jaccard_join.jaccard_components(make(spark, texts)), expected)
 
 
-def brute_components(texts):
+def brute_classes(texts):
     sets = []
     for t in texts:
         w = WORD.findall((t or "").translate(LOW))
@@ -139,7 +139,7 @@ def test_jaccard_rows_not_ids(spark):
     a, b = " ".join(words[:30]), " ".join(words[30:])
     texts = [a, b, b + " more", a + " more", "x y z", a]
     ids = [1, 1, 2, None, None, 1]
-    root, sizes = brute_components(texts)
+    root, sizes = brute_classes(texts)
     least = {r: min((ids[k] for k in range(6) if root[k] == r and ids[k] is not None), default=None) for r in set(root)}
     expected = Counter((ids[k], sizes[k], least[root[k]] if least[root[k]] is not None else ids[k]) for k in range(6))
     assert Counter(tuple(r) for r in jaccard_join.jaccard_components(make(spark, texts, ids)).collect()) == expected
@@ -160,7 +160,7 @@ def test_jaccard_very_long_sets(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"c{k}"
         texts.append(" ".join(w))
     texts += [" ".join(base[:150]), " ".join(base[:210])]
-    root, sizes = brute_components(texts)
+    root, sizes = brute_classes(texts)
     # tasks of this session import the module anew: what is checked here is the driver's side, sizes come from whole texts
     same(jaccard_join.jaccard_components(make(spark, texts)), [(k, sizes[k], root[k]) for k in range(len(texts))])
 
@@ -168,7 +168,7 @@ def test_jaccard_very_long_sets(spark, monkeypatch):
 def test_jaccard_colliding_hashes(spark, monkeypatch):
     """Different sets of one size under one node are told apart by their second hashes and verified."""
     nodes = spark.createDataFrame([(10, 5 << jaccard_join.SIZE_SHIFT, 1), (11, 5 << jaccard_join.SIZE_SHIFT, 2), (12, 5 << jaccard_join.SIZE_SHIFT, 1)], "rid long, node long, second long")
-    reps = nodes.groupBy("node", "second").agg(F.min("rid").alias("rid"))
+    reps = nodes.groupBy("node", "second").agg(F.min("rid").alias("rid"), F.count("*").alias("k"))
     docs = spark.createDataFrame([(10, "a"), (11, "b"), (12, "a")], "rid long, text string")
     roots = spark.createDataFrame([], "node long, root long")
     same(jaccard_join._placed(nodes, reps, roots, docs), [(10, 5, 10), (11, 5, 11), (12, 5, 10)])

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import bounded_sample, cut, free_name, numbered
+from .runtime import bounded_sample, cut, free_name, look_up, numbered
 from .text import MIX, by_slice, mixed, shingles_of, strings
 
 WIDTH = 5
@@ -53,6 +53,8 @@ SINGLE = 63  # the level of single shingles
 SAMPLE_DOCS, EXPENSIVE = 2000, 4
 SEEN = 200_000  # nodes a task remembers so as to index a copy once
 GROUP = 8  # groups of more sets than that are large
+HOT = 10_000  # sets: groups that are known to hold more are dealt over all tasks, as nothing is paired inside a large group
+SPREAD = -1  # marks the rows of such groups
 ROUNDS = 1  # of links to leaders
 ROWS, TEXTS = 200_000, 5_000  # pairs, and texts to compare, for each task
 CLOSEST = (2, 2, None)  # candidates for each set and block, in turn; the last turn takes all
@@ -183,7 +185,10 @@ def _expensive(docs: DataFrame, numerator: int, denominator: int) -> np.ndarray:
 
 
 def index_rows(docs: DataFrame, expensive: np.ndarray, numerator: int, denominator: int) -> DataFrame:
-    """Signature rows (sig, node), and one row per row of docs (rid, text) with rid as sig, -1 - node as node, and the second hash."""
+    """Signature rows (sig, node), and one row per row of docs (rid, text) with rid as sig, -1 - node as node, and the second hash.
+
+    Expensive signatures are marked by SPREAD in place of the second hash: their groups are taken as large unread.
+    """
 
     def run(batches):
         seen: dict[tuple[int, int], None] = {}
@@ -200,8 +205,9 @@ def index_rows(docs: DataFrame, expensive: np.ndarray, numerator: int, denominat
             while len(seen) > SEEN:
                 del seen[next(iter(seen))]
             kept = fresh[of]
+            mark = np.where(np.isin(sig[kept], expensive), SPREAD, 0) if len(expensive) else np.zeros(int(kept.sum()), np.int64)
             sig, of = sig[kept].view(np.int64), of[kept]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(sig), part.column("rid")]), pa.array(np.concatenate([nodes[of], -1 - nodes])), pa.array(np.concatenate([np.zeros(len(sig), np.int64), second]))], ["sig", "node", "second"])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(sig), part.column("rid")]), pa.array(np.concatenate([nodes[of], -1 - nodes])), pa.array(np.concatenate([mark, second]))], ["sig", "node", "second"])
 
         yield from by_slice("text", each)(batches)
 
@@ -229,7 +235,8 @@ def _group_starts(*columns: np.ndarray) -> np.ndarray:
 
 def _read_groups(numerator: int, denominator: int):
     """Over rows sorted by (sig, node): kind 0, documents (a = node, b = rid, n = second hash); kind 1, pairs of small groups
-    with how many signatures they share here as n; kind 2, rows of large groups (a = node, b = sig). Only the last small group is held back."""
+    with how many signatures they share here as n; kind 2, rows of large groups (a = node, b = sig). Only the last small group is held back.
+    Rows that SPREAD marks come out as rows of large groups at once."""
 
     def made(kind: int, a, b, n) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(n.astype(np.int64))], ["kind", "a", "b", "n"])
@@ -264,7 +271,11 @@ def _read_groups(numerator: int, denominator: int):
             if is_doc.any():
                 docs = batch.filter(pa.array(is_doc))
                 yield made(0, -1 - docs.column("node").to_numpy(), docs.column("sig").to_numpy(), docs.column("second").to_numpy())
-            sig, node = batch.column("sig").to_numpy(zero_copy_only=False)[~is_doc].astype(np.int64), node[~is_doc]
+            hot = ~is_doc & (batch.column("second").to_numpy() == SPREAD)
+            if hot.any():
+                yield made(2, node[hot], batch.column("sig").to_numpy()[hot], np.ones(int(hot.sum())))
+            rest = ~is_doc & ~hot
+            sig, node = batch.column("sig").to_numpy()[rest], node[rest]
             sig, node = np.concatenate([held_sig, sig]), np.concatenate([held_node, node])
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
@@ -370,7 +381,7 @@ def components(edges: DataFrame) -> DataFrame:
     tasks, state = 1 + edges.count() // ROWS, None
     if tasks == 1:
         return cut(edges.coalesce(1).mapInArrow(_stars, "a long, b long").withColumnsRenamed({"a": "node", "b": "root"}), "roots")
-    edges = cut(edges.repartition(tasks, "b").mapInArrow(_stars, "a long, b long").distinct(), "edges")
+    edges = cut(edges.repartition(tasks, "a").mapInArrow(_stars, "a long, b long").distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(tasks)
@@ -454,7 +465,8 @@ def jaccard_classes(docs: DataFrame, numerator: int = 3, denominator: int = 4) -
     """Per row of docs (rid, unique, and text): rid, n_shingles, and root, the same for all rows of a component; null for the empty set."""
     differ = lambda r, s: F.floor((denominator - numerator) * (r + s) / (denominator + numerator))
     must = lambda r, s: target(r, numerator, denominator) - differ(r, s)
-    grouped = lambda rows: rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_read_groups(numerator, denominator), "kind byte, a long, b long, n long")
+    dealt = F.when((F.col("second") == SPREAD) & (F.col("node") >= 0), F.xxhash64("sig", "node")).otherwise(F.col("sig"))
+    grouped = lambda rows: rows.repartition(dealt).sortWithinPartitions("sig", "node").mapInArrow(_read_groups(numerator, denominator), "kind byte, a long, b long, n long")
     in_large = lambda rows: rows.filter("kind = 2").select(F.col("b").alias("sig"), F.col("a").alias("node"))
     size, small, big = _size("node"), F.least(_size("a"), _size("b")), F.greatest(_size("a"), _size("b"))
     upper, lower = F.floor(size * denominator / numerator), F.ceil(size * numerator / denominator)
@@ -463,10 +475,11 @@ def jaccard_classes(docs: DataFrame, numerator: int = 3, denominator: int = 4) -
     # all sets, by as many segments as their sizes need
     found = cut(grouped(index_rows(docs, _expensive(docs, numerator, denominator), numerator, denominator)), "jaccard")
     nodes = found.filter("kind = 0").select(F.col("b").alias("rid"), F.col("a").alias("node"), F.col("n").alias("second"))
-    reps = cut(nodes.filter("node <> 0").groupBy("node", "second").agg(F.min("rid").alias("rid")), "reps")
-    n_sets = reps.count()
+    sets = cut(nodes.filter("node <> 0").groupBy("node", "second").agg(F.min("rid").alias("rid"), F.count("*").alias("k")), "reps")
+    n_sets = sets.count()
     tasks = 1 + n_sets // ROWS
-    reps = reps.coalesce(tasks)
+    sets = sets.coalesce(tasks)
+    reps = sets.drop("k")
     large = cut(in_large(found).groupBy("node").agg(F.count("*").alias("n")).coalesce(tasks), "large")
     unsafe = large.filter(_is_poor("node") | (F.col("n") >= F.least(must(size, upper), must(lower, size))) | (size == MOST)).select("node")
     pairs = _sharing(found.filter("kind = 1").select("a", "b", "n"), large, F.when(_is_poor("a") & _is_poor("b"), 1).otherwise(must(small, big)), numerator, denominator)
@@ -479,7 +492,7 @@ def jaccard_classes(docs: DataFrame, numerator: int = 3, denominator: int = 4) -
     counts = tokens.groupBy("sig").agg(F.count("*").alias("n"))
     order = W.partitionBy("rid", "turn").orderBy("n", "sig")  # a set's own segments of one level
     own, most = F.col("size"), differ(F.col("size"), F.floor(F.col("size") * denominator / numerator))
-    rare = tokens.join(counts, "sig").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most + 1).select("sig", "node")
+    rare = tokens.join(counts, "sig").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most + 1).select("sig", "node", F.when(F.col("n") > HOT, SPREAD).otherwise(0).cast("long").alias("second"))
     found_again = cut(grouped(rare), "jaccard-rare")
     pairs = pairs.unionByName(found_again.filter("kind = 1").select("a", "b")).distinct()
 
@@ -500,7 +513,7 @@ def jaccard_classes(docs: DataFrame, numerator: int = 3, denominator: int = 4) -
     clusters = cut(clusters.join(reps, "node").select("rid", "node", "cluster", band.alias("band")).coalesce(tasks), "clusters")
     roots = components(links)
     if not clusters.limit(1).count():
-        return _placed(nodes, reps, roots, docs)
+        return _placed(nodes, sets, roots, docs)
     place = lambda: clusters.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     for turn in range(ROUNDS):
         placed = place()
@@ -530,13 +543,18 @@ def jaccard_classes(docs: DataFrame, numerator: int = 3, denominator: int = 4) -
         new = cut(verify(docs, near, numerator, denominator), "links")
         links = links.unionByName(new)
         roots = components(links)
-    return _placed(nodes, reps, roots, docs)
+    return _placed(nodes, sets, roots, docs)
 
 
-def _placed(nodes: DataFrame, reps: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
-    """rid, n_shingles, root of every row; the sets' roots are looked up per set first, so that rows are joined once."""
-    sets = reps.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("node", "second", F.coalesce("root", "rid").alias("root"))
-    out = nodes.join(sets, ["node", "second"], "left").select("rid", _size("node").alias("n_shingles"), "root")
+def _placed(nodes: DataFrame, sets: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """rid, n_shingles, root of every row.
+
+    Only sets that have several rows or another root than their representative are looked up; sets that one row alone
+    holds and nothing links are their own root. A set that very many rows hold is looked up by salted keys.
+    """
+    sets = sets.join(roots.withColumnRenamed("node", "rid"), "rid", "left").filter("k > 1 or root is not null").select("node", "second", F.coalesce("root", "rid").alias("root"))
+    out = look_up(nodes, cut(sets, "sets"), ["node", "second"], "left")
+    out = out.select("rid", _size("node").alias("n_shingles"), F.when(F.col("node") != 0, F.coalesce("root", "rid")).alias("root"))
 
     def each(part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column("rid"), pa.array(np.diff(shingles_of(strings(part, "text"), WIDTH)[0]))], ["rid", "true_size"])
@@ -552,7 +570,7 @@ def jaccard_components(docs: DataFrame, numerator: int = 3, denominator: int = 4
     rows = numbered(docs.select("doc_id", "text"), "rid")
     classes = cut(jaccard_classes(rows, numerator, denominator).join(rows.select("rid", "doc_id"), "rid"), "classes")
     least = classes.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return classes.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return look_up(classes, cut(least, "least"), "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, numerator: int = 3, denominator: int = 4) -> DataFrame:
@@ -562,5 +580,5 @@ def keep_one(docs: DataFrame, numerator: int = 3, denominator: int = 4) -> DataF
     ids = rows.select(F.col(name).alias("rid"), F.col("doc_id").alias("doc"))
     classes = cut(jaccard_classes(rows.select(F.col(name).alias("rid"), "text"), numerator, denominator).filter("root is not null").join(ids, "rid"), "classes")
     kept = classes.groupBy("root").agg(F.min_by("rid", F.struct(F.col("doc").isNull(), "doc", "rid")).alias("kept"), F.count("*").alias("n")).filter("n > 1")
-    dropped = classes.join(kept, "root").filter("rid <> kept").select(F.col("rid").alias(name))
+    dropped = look_up(classes, cut(kept, "kept"), "root").filter("rid <> kept").select(F.col("rid").alias(name))
     return rows.join(dropped, name, "left_anti").drop(name)

@@ -15,13 +15,15 @@ VOCABULARY = "byte_bpe_50k.json"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir of the session.
 
-    Where that is unset (tests on one machine), a temporary folder is made and kept in the
-    session under ``tracemill.shared.dir``.
+    Where that is unset, a temporary folder of this machine serves a local master; on a cluster executors could not
+    see it, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("tracemill.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("tracemill.shared.dir", found)
     return found.rstrip("/")
@@ -68,7 +70,7 @@ def vocabulary_path(path: str | None = None) -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def look_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", most: int = 20_000, salts: int = 16) -> DataFrame:
+def look_up(rows: DataFrame, table: DataFrame, key: str | list[str], how: str = "inner", most: int = 20_000, salts: int = 16) -> DataFrame:
     """rows joined with a table that has one row per key, whatever share of the rows one key holds.
 
     A table of at most ``most`` rows is broadcast; a larger one is repeated over ``salts`` salts, and the rows of
@@ -77,7 +79,8 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", mos
     if table.limit(most + 1).count() <= most:
         return rows.join(F.broadcast(table), key, how)
     salted = rows.withColumn("salt_", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    return salted.join(table.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "salt_"], how).drop("salt_")
+    keys = [key] if isinstance(key, str) else key
+    return salted.join(table.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "salt_"], how).drop("salt_")
 
 
 def bounded_sample(df: DataFrame, key: list, rows: int, seed: int) -> DataFrame:
