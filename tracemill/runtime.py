@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir of the session; a temporary one only where that is unset."""
+    """The folder all executors see: spark.checkpoint.dir of the session; with a local master a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("tracemill.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("tracemill.shared.dir", found)
     return found.rstrip("/")
