@@ -224,6 +224,21 @@ def test_bpe_against_the_library(spark, texts):
     same(back, [(i, x or "") for i, x in enumerate(odd)])
 
 
+def test_long_texts_in_blocks(monkeypatch):
+    """Block borders anywhere change no id: inside words, white space, contractions and numbers."""
+    from tokenizers import Tokenizer
+
+    library, vocab = Tokenizer.from_file(vocabulary_path()), bpe.vocabulary(vocabulary_path())
+    rng = random.Random(4)
+    parts = ["don't", "we'll", "  ", " ", "\n\n", "12345", "é", "word", "!!!", "'s", "'", "\t x", "日本", "it'", "re"]
+    for size in (7, 16, 33):
+        monkeypatch.setattr(bpe, "BLOCK", size)
+        monkeypatch.setattr(bpe.blocks, "__defaults__", (size,))
+        for _ in range(60):
+            text = "".join(rng.choice(parts) for _ in range(rng.randint(20, 60)))
+            assert bpe.encode_texts([text], vocab)[0].tolist() == library.encode(text, add_special_tokens=False).ids, (size, text)
+
+
 def test_long_pieces_stream_with_bounded_memory():
     from tokenizers import Tokenizer
 

@@ -8,7 +8,9 @@ lookahead of the merge list, so whatever all prefixes in that window agree on is
 Memory stays at the window plus the tokens not yet agreed on.
 
 Defined results: null and empty texts have no tokens; the special token's text in a document becomes its id,
-as the vocabulary file asks; decoding bytes that are no UTF-8 gives U+FFFD per maximal bad part.
+as the vocabulary file asks; decoding bytes that are no UTF-8 gives U+FFFD per maximal bad part; of merges of one rank the
+leftmost goes first; repeated rows are encoded each; a very long text is encoded whole, in blocks of BLOCK characters; an
+empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import functools
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,9 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 SPACE, LETTER, NUMBER, OTHER, BREAK = range(5)
 SHORT = 64
+#: Characters of a text that are cut into pre-tokens at a time, and pre-tokens at a block's end that wait for what follows:
+#: the text behind them can change the last one and, by a contraction, the one before it.
+BLOCK, WAITING = 1 << 18, 3
 NEVER = 1 << 40
 SLOT_BITS, SPREAD = 20, 0x9E3779B1
 
@@ -322,11 +328,41 @@ def pre_tokens(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
     return np.append(counts, kept[-1]), pieces.filter(pa.array(keep))
 
 
+def blocks(text: str, size: int = BLOCK) -> Iterator[pa.Array]:
+    """The pre-tokens of a long text, block by block; only the text, one block's arrays, and the pre-tokens that wait are held."""
+    rest = ""
+    for at in range(0, len(text), size):
+        part = rest + text[at : at + size]
+        _, pieces = pre_tokens([part])
+        if at + size >= len(text):
+            yield pieces
+            return
+        waits = max(0, len(pieces) - WAITING)
+        tail = b"".join(pieces.slice(waits).to_pylist())
+        rest = tail.decode()
+        if waits:
+            yield pieces.slice(0, waits)
+
+
+def encode_long(text: str, vocab: Vocabulary) -> np.ndarray:
+    """Ids of one long text without special tokens."""
+    out = []
+    for pieces in blocks(text):
+        coded = pieces.dictionary_encode()
+        flat, lengths = vocab.pieces(coded.dictionary)
+        which = np.asarray(coded.indices, dtype=np.int64)
+        out.append(flat[ragged((np.cumsum(lengths) - lengths)[which], lengths[which])])
+    return np.concatenate(out) if out else np.empty(0, np.uint32)
+
+
 def encode_texts(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and the offsets at which each text's ids begin."""
     special = [s for s in vocab.specials if any(s in t for t in texts)]
     if special:
         return _with_specials(texts, vocab)
+    if any(len(t) > BLOCK for t in texts):
+        parts = [encode_long(t, vocab) if len(t) > BLOCK else encode_texts([t], vocab)[0] for t in texts]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     counts, pieces = pre_tokens(texts)
     coded = pieces.dictionary_encode()
     flat, lengths = vocab.pieces(coded.dictionary)

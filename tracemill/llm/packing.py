@@ -7,7 +7,9 @@ the total exceeds the bound over all pieces, buckets with a gap and bins with ro
 are dealt anew and packed again; the outcome is kept if it needs fewer bins.
 
 Defined results: a null or empty text is one piece that holds the end id alone; repeated rows are packed as
-often as they come; an empty table gives an empty result; other columns do not matter.
+often as they come, told apart by a row number; of pieces of one length the one with the smaller row number is placed
+first, of bins with one room any; a very long text is cut into as many pieces as it takes; an empty table gives an empty
+result; other columns do not matter.
 """
 
 from __future__ import annotations

@@ -6,12 +6,15 @@ gap costing a factor; word borders count as characters. So inserted characters a
 of breaking the match. Landmarks are units of the training sentences; in their Nyström space a linear machine with
 squared hinge loss is trained on units that take the labels of the sentences they stand in. As the kernel is an
 inner product of hashed subsequence vectors, the trained machine folds into one table of weights, and a unit's
-value costs a few look-ups. A sentence has the value of its strongest unit; a document's score is a calibrated
+value costs a few look-ups. Labels are those of documents, as no sentence has one: the kernel compares units and not
+whole sentences, in which one insult is a small share of the subsequences. A sentence has the value of its strongest unit; a document's score is a calibrated
 function of its strongest sentences and of how dense strong units are. Labels are read for training only; lang, source and doc_id never enter.
 
 Defined results: null and empty texts get the score of a document without any sign of toxicity; without both
 classes in the training rows the score is the share of toxic training rows (0 without any); repeated rows are
-scored each; an empty table gives an empty result; other columns do not matter.
+scored each; a very long text is read whole, in training too, alone in its slice; of units that tie at the sample's bound
+the hash decides, and of equally strong sentences any one counts; an empty table gives an empty result; other columns do
+not matter.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ LONGEST, STRIDE = 32, 24  # a longer word is read in overlapping pieces
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 OFFSETS = [(a, b, c) for a, b, c in combinations(range(1, SPAN + 1), 3)]
 FLOOR = -3.0  # value of a document without units
-#: Bounds of the training sample: documents of either class, words of each, distinct units, landmarks.
-TOXIC_DOCS, CLEAN_DOCS, DOC_WORDS, UNITS, LANDMARKS = 2000, 4000, 3000, 30_000, 512
+#: Bounds of the training sample: documents of either class, distinct units of their whole texts, landmarks.
+TOXIC_DOCS, CLEAN_DOCS, UNITS, LANDMARKS = 2000, 4000, 30_000, 512
 THRESHOLD = 0.7
 
 
@@ -64,14 +67,14 @@ def units_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.nda
                 extra_codes.append(len(units) + extra.setdefault(word, len(extra)))
                 extra_owner.append(owner[chain[0]])
                 extra_sentence.append(sentence[chain[0]])
-    for k in np.flatnonzero(sizes > LONGEST):  # further pieces of long words
-        word, parts = units[k], []
-        for at in range(0, len(word), STRIDE):
-            parts.append(len(units) + extra.setdefault(word[at : at + LONGEST], len(extra)))
-        for i in np.flatnonzero(codes == k):
-            extra_codes += parts
-            extra_owner += [owner[i]] * len(parts)
-            extra_sentence += [sentence[i]] * len(parts)
+    pieces: dict[int, list[int]] = {}
+    for i in np.flatnonzero(sizes[codes] > LONGEST) if len(codes) else ():  # further pieces of long words
+        if (parts := pieces.get(codes[i])) is None:
+            word = units[codes[i]]
+            parts = pieces[codes[i]] = [len(units) + extra.setdefault(word[at : at + LONGEST], len(extra)) for at in range(0, len(word), STRIDE)]
+        extra_codes += parts
+        extra_owner += [owner[i]] * len(parts)
+        extra_sentence += [sentence[i]] * len(parts)
     if extra:
         units = [u if s <= LONGEST else "" for u, s in zip(units, sizes)] + list(extra)
         codes, owner, sentence = np.append(codes, extra_codes), np.append(owner, extra_owner), np.append(sentence, extra_sentence)
@@ -258,16 +261,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DO
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")  # a bounded number of ids
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS, doc_words: int = DOC_WORDS, max_units: int = UNITS, landmarks: int = LANDMARKS) -> Model:
-    """Trains on at most toxic_docs + clean_docs labelled documents, the first ``doc_words`` words of each, and ``max_units`` distinct units."""
+def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS, max_units: int = UNITS, landmarks: int = LANDMARKS) -> Model:
+    """Trains on about toxic_docs + clean_docs labelled documents at most, their whole texts, and ``max_units`` distinct units."""
     sample = cut(training_rows(docs, labels, toxic_docs, clean_docs), "toxic-sample")
 
     def each(part: pa.RecordBatch) -> pa.RecordBatch:
         offsets, codes, units, _ = units_of(strings(part, "text"))
-        n = np.minimum(np.diff(offsets), doc_words)
-        owner = np.repeat(np.arange(len(n)), np.diff(offsets))
-        seen = np.arange(len(codes)) - offsets[:-1][owner] < n[owner]
-        pairs = np.unique(owner[seen] * (len(units) + 1) + codes[seen])
+        owner = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+        pairs = np.unique(owner * (len(units) + 1) + codes)
         o, c = pairs // (len(units) + 1), pairs % (len(units) + 1)
         toxic = np.asarray(part.column("toxic"), dtype=np.int64)
         return pa.RecordBatch.from_arrays([pa.array(units, pa.string()).take(pa.array(c)), pa.array(toxic[o])], ["unit", "toxic"])
