@@ -109,16 +109,17 @@ def _pack(rows: DataFrame, size: int, buckets: int, seed: int) -> DataFrame:
 
 
 def pack_pieces(pieces: DataFrame, size: int = 1024, bucket_rows: int = 50_000, rounds: int = 3) -> DataFrame:
-    """pieces (with a unique rid and a length of at most size) with ``sequence_id`` and ``offset``.
+    """pieces (with a unique rid and a length of at most size) with ``sequence_id``, ``offset`` and ``least_sequences``, the bound on the number of sequences of any packing.
 
     A bucket holds about ``bucket_rows`` pieces however large the table is.
     """
     spark = pieces.sparkSession
-    counts = {r["length"]: r["n"] for r in pieces.filter(F.col("length") < size).groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most size - 1 rows
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most size rows
+    n_full = counts.pop(size, 0)
     total = sum(counts.values())
     full = pieces.filter(F.col("length") == size).withColumns({"sequence_id": F.col("rid") * 2 + 1, "offset": F.lit(0).cast("long")})
     if not total:
-        return full
+        return full.withColumn("least_sequences", F.lit(n_full).cast("long"))
     bound = lower_bound(np.array([counts.get(x, 0) for x in range(size + 1)]), size)
     small = pieces.filter(F.col("length") < size).select("rid", "length")
     placed = cut(_pack(small, size, -(-total // bucket_rows), 0), "packed")
@@ -140,10 +141,10 @@ def pack_pieces(pieces: DataFrame, size: int = 1024, bucket_rows: int = 50_000,
         placed = cut(placed.join(loose.select("bin"), "bin", "left_anti").select(again.columns).unionByName(again), "packed")
         have += need - before["bins"]
     packed = pieces.join(placed.select("rid", (F.col("bin") * 2).alias("sequence_id"), "offset"), "rid")
-    return full.unionByName(packed)
+    return full.unionByName(packed).withColumn("least_sequences", F.lit(n_full + bound).cast("long"))
 
 
 def pack_documents(docs: DataFrame, size: int = 1024, end_id: int = 2, path: str | None = None, bucket_rows: int = 50_000) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the certified bound least_sequences."""
     pieces = cut(document_pieces(docs, size, end_id, path).withColumn("rid", F.monotonically_increasing_id()), "pieces")
-    return pack_pieces(pieces, size, bucket_rows).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack_pieces(pieces, size, bucket_rows).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "least_sequences")
