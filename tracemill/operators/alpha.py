@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..nets import Net
-from ..runtime import cut
+from ..runtime import cut, rows_of
 
 
 def task_sets(nodes: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def alpha_net(tasks: DataFrame, pairs: DataFrame) -> Net:
         net.arcs["i_L", t] = 1
     for t in one["t_o"]:
         net.arcs[t, "o_L"] = 1
-    for r in pairs.filter("maximal").orderBy(F.size("a") + F.size("b"), "a", "b").collect():
+    for r in rows_of(pairs.filter("maximal").orderBy(F.size("a") + F.size("b"), "a", "b")):
         p = net.place(f"p({{{','.join(r['a'])}}},{{{','.join(r['b'])}}})")
         for a in r["a"]:
             net.arcs[a, p] = 1

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..nets import Net
+from ..runtime import rows_of
 from .dfg import edges_of_variants, nodes_of_variants
 
 START, END = "▶ start", "■ end"
@@ -89,7 +90,7 @@ def bindings(table: DataFrame, graph: DataFrame) -> DataFrame:
 
 def heuristics_net(found: DataFrame) -> Net:
     """The net of bindings (a table of the alphabet's size): a place per used arc, a silent transition per binding where an activity has several."""
-    rows = found.collect()
+    rows = rows_of(found)
     net = Net()
     net.place("start", first=1)
     net.place("end", last=1)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..nets import Net
-from ..runtime import cut
+from ..runtime import cut, rows_of
 
 XOR, SEQUENCE, PARALLEL, LOOP, LEAF = "×", "→", "∧", "↺", ""
 TAU = "τ"
@@ -158,33 +158,38 @@ def sequence_cut(g: Graph) -> list[list[str]] | None:
 
 
 def parallel_cut(g: Graph) -> list[list[str]] | None:
-    both = lambda a, b: (a, b) in g.edges and (b, a) in g.edges
-    groups = _components(g.activities, lambda a, b: not both(a, b))
-    whole = lambda x: any(a in g.starts for a in x) and any(a in g.ends for a in x)
-    good = [x for x in groups if whole(x)]
-    if not good:
+    """Groups between which every activity follows every other both ways, each with a start and an end of its own.
+
+    Activities that do not follow each other both ways belong together, so the groups are the components of that
+    relation. Groups without a start or an end are joined to the first complete one, which the definition leaves open.
+    """
+    groups = _components(g.activities, lambda a, b: not {(a, b), (b, a)} <= g.edges.keys())
+    complete = [x for x in groups if not g.starts.keys().isdisjoint(x) and not g.ends.keys().isdisjoint(x)]
+    if len(complete) < 2:
         return None
-    good[0] = sorted(good[0] + [a for x in groups if not whole(x) for a in x])
-    if len(good) < 2 or not all(both(a, b) for i, x in enumerate(good) for y in good[i + 1 :] for a in x for b in y):
-        return None
-    return good
+    others = [a for x in groups if x not in complete for a in x]
+    return [sorted(complete[0] + others), *complete[1:]]
 
 
 def loop_cut(g: Graph) -> list[list[str]] | None:
+    """A body with all starts and ends, and redo parts that are entered from all ends and left to all starts only.
+
+    Redo parts are components of what is neither start nor end; a component that is entered or left otherwise belongs to
+    the body.
+    """
     starts, ends = set(g.starts), set(g.ends)
-    body = starts | ends
-    rest = [a for a in g.activities if a not in body]
     redo = []
-    for group in _components(rest, lambda a, b: (a, b) in g.edges or (b, a) in g.edges):
-        entered = {(e, a) for a in group for e in ends if (e, a) in g.edges}
-        left = {(a, s) for a in group for s in starts if (a, s) in g.edges}
-        inner = any((s, a) in g.edges for a in group for s in starts - ends) or any((a, e) in g.edges for a in group for e in ends - starts)
-        partial = any(0 < sum((e, a) in entered for e in ends) < len(ends) or 0 < sum((a, s) in left for s in starts) < len(starts) for a in group)
-        if not inner and not partial and entered and left:
-            redo.append(group)
-    if not redo:
-        return None
-    return [sorted(set(g.activities) - {a for x in redo for a in x}), *redo]
+    for part in _components([a for a in g.activities if a not in starts | ends], lambda a, b: (a, b) in g.edges or (b, a) in g.edges):
+        entries: dict[str, set[str]] = {}
+        exits: dict[str, set[str]] = {}
+        for a, b in g.edges:
+            if b in part and a not in part:
+                entries.setdefault(b, set()).add(a)
+            elif a in part and b not in part:
+                exits.setdefault(a, set()).add(b)
+        if entries and exits and all(x == ends for x in entries.values()) and all(x == starts for x in exits.values()):
+            redo.append(part)
+    return [sorted(set(g.activities).difference(*redo)), *redo] if redo else None
 
 
 CUTS = ((XOR, exclusive_cut), (SEQUENCE, sequence_cut), (PARALLEL, parallel_cut), (LOOP, loop_cut))
@@ -211,15 +216,15 @@ def _graphs(logs: DataFrame) -> dict[str, dict]:
     at = F.sequence(F.lit(0), size - 2)
     pairs = logs.filter(size > 1).select("node", "n", F.explode(F.transform(at, lambda i: F.struct(F.get("variant", i).alias("a"), F.get("variant", i + 1).alias("b")))).alias("p"))
     pairs = pairs.groupBy("node", "p.a", "p.b").agg(F.sum("n").alias("n"))
-    out = {r["node"]: {"total": r["total"], "empty": r["empty"], "longest": r["longest"], "graph": Graph([], {}, {}, {}), "once": {}} for r in totals.collect()}
-    for r in sorted(acts.collect(), key=lambda r: (r["node"], r["a"])):
+    out = {r["node"]: {"total": r["total"], "empty": r["empty"], "longest": r["longest"], "graph": Graph([], {}, {}, {}), "once": {}} for r in rows_of(totals)}
+    for r in sorted(rows_of(acts), key=lambda r: (r["node"], r["a"])):
         one = out[r["node"]]
         one["graph"].activities.append(r["a"])
         one["once"][r["a"]] = r["once"]
         for name in ("start", "end"):
             if r[name]:
                 getattr(one["graph"], name + "s")[r["a"]] = r[name]
-    for r in pairs.collect():
+    for r in rows_of(pairs):
         out[r["node"]]["graph"].edges[r["a"], r["b"]] = r["n"]
     return out
 

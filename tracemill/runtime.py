@@ -24,3 +24,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tracemill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def rows_of(df: DataFrame, most: int = 200_000) -> list:
+    """The rows of a table of a model's size; more than ``most`` are an error, as with an activity that is no activity but an id."""
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a model of over {most} rows: are the activities labels of a bounded alphabet?")
+    return found

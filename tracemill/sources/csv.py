@@ -17,6 +17,9 @@ ROLES = {
     "resource": ("org:resource", "resource", "user", "role"),
     "lifecycle": ("lifecycle:transition", "lifecycle", "transition"),
 }
+# Bytes 0x80 to 0x9F as Latin-1 and as windows-1252 reads them; five of them have no letter there.
+CP1252 = tuple(zip(*((chr(b), c) for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore")))))
+CP1252 = ("".join(CP1252[0]), "".join(CP1252[1]))
 DELIMITERS = (",", ";", "\t", "|")
 
 
@@ -38,14 +41,15 @@ def read_csv(spark: SparkSession, path: str, mapping: dict[str, str] | None = No
     """A log from delimited text with a header.
 
     Rows without a case id are dropped. A case is sorted by time if all its events have one, else it stays in file
-    order. Windows-1252 needs ``spark.sql.legacy.javaCharsets``, which is set for the read where it is found.
+    order. Windows-1252 is read as Latin-1, and the letters in which the two differ are replaced.
     """
     if delimiter is None or encoding is None:
         found = sniff(spark, path)
         delimiter, encoding = delimiter or found["delimiter"], encoding or found["encoding"]
-    if encoding != "UTF-8":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    raw = spark.read.csv(path, header=True, sep=delimiter, encoding=encoding)
+    western = encoding.lower() in ("windows-1252", "cp1252")
+    raw = spark.read.csv(path, header=True, sep=delimiter, encoding="ISO-8859-1" if western else encoding)
+    if western:
+        raw = raw.select(*(F.translate(F.col(f"`{c}`"), *CP1252).alias(c.translate(str.maketrans(*CP1252))) for c in raw.columns))
     raw = raw.toDF(*(c.lstrip("\ufeff") for c in raw.columns))
     roles = mapping or guess_mapping(raw.columns)
     if "case" not in roles or "activity" not in roles:
