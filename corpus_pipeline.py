@@ -2,6 +2,10 @@
 
 quality rules -> exact dedup -> n-gram Jaccard join -> personal data -> best-fit packing. All but the last return
 the columns of documents; the last returns the packed pieces.
+
+Defined results, for every stage: an empty table gives an empty one; columns beyond those of documents pass through
+(the last stage drops them), whatever their names; doc_id may be null or repeat, rows are judged by what they hold;
+very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -13,27 +17,38 @@ from tracemill.llm.runtime import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the base rules or the outlier test reject."""
+    """Drops the documents that the base rules or the outlier test reject.
+
+    Null, empty and short texts fail the base rules; repeated rows share their verdict; null lang and source are groups.
+    """
     return quality.keep_good(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the largest doc_id, of each group of equal texts."""
+    """Keeps one document, that with the largest doc_id, of each group of equal texts.
+
+    Null counts as the empty text; a null doc_id stays only if no other is there; rows that repeat the kept doc_id and
+    text stay each (the next stage leaves one of them).
+    """
     return dedup.drop_copies(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest doc_id, of each group of linked documents."""
+    """Keeps one document, that with the smallest doc_id, of each group of linked documents.
+
+    Null and empty texts are linked with nothing and stay; a null doc_id comes last; of rows with one doc_id the first
+    read stays.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts."""
+    """Replaces personal data in the texts; a null text stays null, and where spans overlap the first one's kind is named."""
     return pii.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of at most 1024 tokens."""
+    """Packs the documents into sequences of at most 1024 tokens; a null or empty text is its end token, repeated rows are packed each."""
     return packing.pack_documents(docs)
 
 
