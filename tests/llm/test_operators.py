@@ -224,6 +224,31 @@ def test_bpe_against_the_library(spark, texts):
     same(back, [(i, x or "") for i, x in enumerate(odd)])
 
 
+def test_transducer_in_step(monkeypatch):
+    """Byte by byte, by rank, one by one and the library: the same ids."""
+    from tokenizers import Tokenizer
+
+    library, vocab = Tokenizer.from_file(vocabulary_path()), bpe.vocabulary(vocabulary_path())
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aaabcdeéß日 ''stlrevm!?12\n\t") for _ in range(rng.randint(0, 120))) for _ in range(400)]
+    texts += ["", "z" * 900, "ab" * 400, " " * 300, "\U0001f600" * 50, "the internationalisation of tokenization"]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    cut = lambda found: [found[0][a:b].tolist() for a, b in zip(found[1][:-1], found[1][1:])]
+    assert cut(bpe.encode_texts(texts, vocab, True)) == cut(bpe.encode_texts(texts, vocab)) == expected
+    monkeypatch.setattr(bpe, "STREAMED", 5)
+    assert cut(bpe.encode_texts(texts, vocab, True)) == expected
+
+
+def test_border_of_tokens():
+    """Whether a token can follow another, by undoing merges, against merging both."""
+    vocab = bpe.vocabulary(vocabulary_path())
+    rng = np.random.default_rng(1)
+    ids = np.array([i for t, i in vocab.ids.items() if len(t) < 9])
+    a, b = rng.choice(ids, 4000), rng.choice(ids, 4000)
+    b[:2000] = a[:2000]
+    assert vocab.fits(a, b).tolist() == [vocab.follows(vocab.token_bytes[x], vocab.token_bytes[y]) for x, y in zip(a, b)]
+
+
 def test_long_texts_in_blocks(monkeypatch):
     """Block borders anywhere change no id: inside words, white space, contractions and numbers."""
     from tokenizers import Tokenizer
@@ -528,7 +553,7 @@ def test_language_model_fits_weights_to_whole_texts(spark):
 def test_language_model_successors():
     """What follows a context most often, with and without a position's own occurrence, against counting."""
     rng = random.Random(3)
-    context, token = np.array([rng.randrange(40) for _ in range(3000)], np.uint64), np.array([int(rng.paretovariate(1)) % 50 for _ in range(3000)], np.uint64)
+    context, token = np.array([rng.randrange(40) for _ in range(3000)], np.uint64), np.array([int(rng.paretovariate(1)) % 50 for _ in range(3000)], np.int64)
     trained = np.array([rng.random() < 0.7 for _ in range(3000)])
     counts = {}
     for c, t, train in zip(context.tolist(), token.tolist(), trained):

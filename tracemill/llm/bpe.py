@@ -1,11 +1,14 @@
 """Byte-pair encoding as a bounded-lookahead streaming transducer, and incremental decoding.
 
-Text is cut into pre-tokens with array operations, and each distinct pre-token of a slice is encoded once.
-Short pre-tokens fit in the lookahead, and merging them by rank is the whole job. Longer ones run through
-``Transducer``: for every byte position it keeps the last token of the encoding of the prefix that ends
-there; a later token can only start within the length of the longest token, which is the sufficient
-lookahead of the merge list, so whatever all prefixes in that window agree on is stable and is emitted.
-Memory stays at the window plus the tokens not yet agreed on.
+Text is cut into pre-tokens with array operations, and each distinct pre-token of a slice is encoded once. The
+transducer reads pre-tokens byte by byte, all of a slice in step: for every byte position it finds the one token that
+ends there in the encoding of what was read so far. A token may end there if the token before its start can stand in
+front of it, and that follows from undoing the merges at their border, latest first (``Vocabulary.fits``). A token starts
+within the length of the longest token before its end; that is the sufficient lookahead of the merge list, so whatever
+all prefixes in that window agree on is stable and is emitted. Pre-tokens of over STREAMED bytes run through
+``Transducer`` one by one, which holds only the window and the tokens not yet agreed on.
+
+``merge`` and ``Vocabulary.short_pieces`` merge by rank instead; tests hold both against the library, and packing uses the latter.
 
 Defined results: null and empty texts have no tokens; the special token's text in a document becomes its id,
 as the vocabulary file asks; decoding bytes that are no UTF-8 gives U+FFFD per maximal bad part; of merges of one rank the
@@ -34,7 +37,7 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 # The contractions that the pre-token pattern splits off.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 SPACE, LETTER, NUMBER, OTHER, BREAK = range(5)
-SHORT = 64
+SHORT, STREAMED = 64, 4096
 #: Characters of a text that are cut into pre-tokens at a time, and pre-tokens at a block's end that wait for what follows:
 #: the text behind them can change the last one and, by a contraction, the one before it.
 BLOCK, WAITING = 1 << 18, 3
@@ -86,7 +89,8 @@ class Vocabulary:
         self.flat = np.frombuffer(b"".join(self.token_bytes), np.uint8)
         self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
         self.fill_slots()
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.border: dict[tuple[bytes, bytes], bool] = {}
+        self._grow()
 
     def merge(self, piece: bytes) -> list[bytes]:
         """Merge by rank, lowest first, leftmost on ties."""
@@ -111,10 +115,10 @@ class Vocabulary:
 
     def follows(self, a: bytes, b: bytes) -> bool:
         """Whether b may come right after a: encoding both together gives just these two."""
-        if (found := self.fits.get((a, b))) is None:
-            if len(self.fits) > 200_000:
-                self.fits.clear()
-            found = self.fits[a, b] = self.merge(a + b) == [a, b]
+        if (found := self.border.get((a, b))) is None:
+            if len(self.border) > 200_000:
+                self.border.clear()
+            found = self.border[a, b] = self.merge(a + b) == [a, b]
         return found
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,13 +197,112 @@ class Vocabulary:
         ids, own = np.concatenate(done_ids), np.concatenate(done_own)
         return ids[np.argsort(own, kind="stable")].astype(np.uint32), np.bincount(own, minlength=len(starts))
 
-    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pre-tokens one after another, and how many each has."""
+    def _grow(self) -> None:
+        """The last merge of each token (rank, left and right part; rank -1 for bytes), and the tree of all tokens' bytes."""
+        size = len(self.token_bytes)
+        self.rank, self.left, self.right = np.full(size, NEVER, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.rank[self.byte_ids] = -1
+        merges = np.array([(len(a) + len(b), rank, self.ids[a + b], self.ids[a], self.ids[b]) for (a, b), rank in self.ranks.items()], np.int64).reshape(-1, 5)
+        merges = merges[np.lexsort((-merges[:, 1], merges[:, 0]))]  # parts are shorter than what they make
+        for group in np.split(merges, np.flatnonzero(np.diff(merges[:, 0])) + 1):
+            _, rank, token, i, j = group.T
+            # the first merge whose parts can stand side by side until then is the one that makes the token
+            made = (self.rank[i] < rank) & (self.rank[j] < rank)
+            made[made] = self.fits(i[made], j[made], rank[made])
+            self.rank[token[made]], self.left[token[made]], self.right[token[made]] = rank[made], i[made], j[made]
+        nodes: dict[tuple[int, int], int] = {}
+        self.ends = [-1]
+        for token, i in self.ids.items():
+            if self.rank[i] == NEVER:
+                continue
+            node = 0
+            for byte in token:
+                key = (node, byte)
+                if (node := nodes.get(key, 0)) == 0:
+                    node = nodes[key] = len(self.ends)
+                    self.ends.append(-1)
+            self.ends[node] = i
+        self.ends = np.array(self.ends, np.int64)
+        keys = np.fromiter((n << 8 | b for n, b in nodes), np.int64, len(nodes))
+        order = np.argsort(keys)
+        self.step_keys, self.step_nodes = keys[order], np.fromiter(nodes.values(), np.int64, len(nodes))[order]
+        self.step_from = np.searchsorted(self.step_keys, np.arange(len(self.ends) + 1) << 8)
+        self.step_first = np.zeros(256, np.int64)
+        own = self.step_keys < 256
+        self.step_first[self.step_keys[own]] = self.step_nodes[own]
+
+    def fits(self, a: np.ndarray, b: np.ndarray, before: int | np.ndarray = NEVER) -> np.ndarray:
+        """Whether token b can stand right after token a: no merge of rank under ``before`` crosses the border.
+
+        Merges are undone from the latest on. At each step the two parts at the border must not have merged before the
+        part that was undone last came about; of equal ranks the one further left goes first.
+        """
+        out = np.ones(len(a), bool)
+        at, limit = np.arange(len(a)), np.broadcast_to(np.asarray(before, np.int64), len(a))
+        while len(at):
+            crossed = self.lookup(a, b)[0] < limit
+            out[at[crossed]] = False
+            ra, rb = self.rank[a], self.rank[b]
+            go = ~crossed & (np.maximum(ra, rb) >= 0)
+            at, a, b, ra, rb = at[go], a[go], b[go], ra[go], rb[go]
+            later = ra > rb
+            limit = np.where(later, ra, rb + 1)
+            a, b = np.where(later, self.right[a], a), np.where(later, b, self.left[b])
+        return out
+
+    def in_step(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pre-tokens by the transducer, all read in step: ids one after another, and how many each has."""
+        total, flat = int(lengths.sum()), ragged(starts, lengths)
+        byte = data[flat].astype(np.int64)
+        begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        end = np.repeat(np.cumsum(lengths), lengths)
+        # all places where a token's bytes stand
+        at, node, depth, found = np.arange(total), self.step_first[byte], 1, []
+        while len(at):
+            token = self.ends[node]
+            here = token >= 0
+            found.append((at[here], at[here] + depth, token[here]))
+            more = at + depth < end[at]
+            at, node = at[more], node[more]
+            key = node << 8 | byte[at + depth]
+            place = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
+            hit = self.step_keys[place] == key
+            at, node, depth = at[hit], self.step_nodes[place[hit]], depth + 1
+        if not found:
+            return np.empty(0, np.uint32), np.zeros(len(starts), np.int64)
+        first, stop, token = (np.concatenate(x) for x in zip(*found))
+        read = stop - begin[first]  # bytes of the pre-token up to the token's end
+        order = np.argsort(read, kind="stable")
+        first, stop, token, read = first[order], stop[order], token[order], read[order]
+        bounds = np.searchsorted(read, np.arange(1, int(read.max()) + 2))
+        last = np.full(total + 1, -1, np.int64)  # the token that ends at a position
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            f, e, t = first[a:b], stop[a:b], token[a:b]
+            inside = f > begin[f]
+            fine = np.ones(b - a, bool)
+            fine[inside] = self.fits(last[f[inside]], t[inside])
+            last[e[fine]] = t[fine]
+        # back from the ends
+        position, own = np.cumsum(lengths), np.arange(len(starts))
+        own, position = own[lengths > 0], position[lengths > 0]
+        ids, owners, left = [], [], np.cumsum(lengths) - lengths
+        while len(own):
+            t = last[position]
+            ids.append(t)
+            owners.append(own)
+            position = position - self.lengths[t]
+            go = position > left[own]
+            own, position = own[go], position[go]
+        ids, owners = np.concatenate(ids)[::-1], np.concatenate(owners)[::-1]
+        return ids[np.argsort(owners, kind="stable")].astype(np.uint32), np.bincount(owners, minlength=len(starts))
+
+    def pieces(self, pieces: pa.Array, in_step: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens one after another, and how many each has; by the transducer, or short ones by rank."""
         offsets = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int64)
         data = np.frombuffer(pieces.buffers()[2], np.uint8) if len(pieces) else np.empty(0, np.uint8)
         lengths = np.diff(offsets)
-        short = lengths <= SHORT
-        ids, n = self.short_pieces(data, offsets[:-1][short], lengths[short])
+        short = lengths <= (STREAMED if in_step else SHORT)
+        ids, n = (self.in_step if in_step else self.short_pieces)(data, offsets[:-1][short], lengths[short])
         if short.all():
             return ids, n
         counts = np.zeros(len(pieces), np.int64)
@@ -344,41 +447,41 @@ def blocks(text: str, size: int = BLOCK) -> Iterator[pa.Array]:
             yield pieces.slice(0, waits)
 
 
-def encode_long(text: str, vocab: Vocabulary) -> np.ndarray:
+def encode_long(text: str, vocab: Vocabulary, in_step: bool = False) -> np.ndarray:
     """Ids of one long text without special tokens."""
     out = []
     for pieces in blocks(text):
         coded = pieces.dictionary_encode()
-        flat, lengths = vocab.pieces(coded.dictionary)
+        flat, lengths = vocab.pieces(coded.dictionary, in_step)
         which = np.asarray(coded.indices, dtype=np.int64)
         out.append(flat[ragged((np.cumsum(lengths) - lengths)[which], lengths[which])])
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
-def encode_texts(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: list[str], vocab: Vocabulary, in_step: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and the offsets at which each text's ids begin."""
     special = [s for s in vocab.specials if any(s in t for t in texts)]
     if special:
-        return _with_specials(texts, vocab)
+        return _with_specials(texts, vocab, in_step)
     if any(len(t) > BLOCK for t in texts):
-        parts = [encode_long(t, vocab) if len(t) > BLOCK else encode_texts([t], vocab)[0] for t in texts]
+        parts = [encode_long(t, vocab, in_step) if len(t) > BLOCK else encode_texts([t], vocab, in_step)[0] for t in texts]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     counts, pieces = pre_tokens(texts)
     coded = pieces.dictionary_encode()
-    flat, lengths = vocab.pieces(coded.dictionary)
+    flat, lengths = vocab.pieces(coded.dictionary, in_step)
     which = np.asarray(coded.indices, dtype=np.int64)
     n = lengths[which]
     ids = flat[ragged((np.cumsum(lengths) - lengths)[which], n)]
     return ids, np.concatenate([[0], np.cumsum(n)])[counts]
 
 
-def _with_specials(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def _with_specials(texts: list[str], vocab: Vocabulary, in_step: bool = False) -> tuple[np.ndarray, np.ndarray]:
     import re
 
     split = re.compile("(" + "|".join(re.escape(s) for s in sorted(vocab.specials, key=len, reverse=True)) + ")")
     parts = [split.split(t) for t in texts]
     plain = [p for part in parts for p in part[::2]]
-    ids, offsets = encode_texts(plain, vocab)
+    ids, offsets = encode_texts(plain, vocab, in_step)
     out, begins, k, total = [], [0], 0, 0
     for part in parts:
         for i, p in enumerate(part):
@@ -415,7 +518,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
     path = vocabulary_path(path)
 
     def each(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids, offsets = encode_texts(strings(part, "text").to_pylist(), vocabulary(path))
+        ids, offsets = encode_texts(strings(part, "text").to_pylist(), vocabulary(path), True)
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
         return pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
 
@@ -444,7 +547,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def each(part: pa.RecordBatch) -> pa.RecordBatch:
         v = vocabulary(path)
-        ids, offsets = encode_texts(strings(part, "text").to_pylist(), v)
+        ids, offsets = encode_texts(strings(part, "text").to_pylist(), v, True)
         n, id_hash, text_hash = np.diff(offsets), [], []
         little = ids.astype("<u4", copy=False)
         for a, b in zip(offsets[:-1], offsets[1:]):
