@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, jaccard_join, lm, packing, pii, quality, sharding, toxicity, warc
+from . import alignment, bpe, dedup, jaccard_join, lm, merkle, packing, pii, quality, sharding, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_documents(spark, sf_dir))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(_documents(spark, sf_dir))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.score(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_warc, op4_bpe, op5_lm, op6_packing, op7_exact_dedup, op8_sharding, op9_quality, op10_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_warc, op4_bpe, op5_lm, op6_packing, op7_exact_dedup, op8_sharding, op9_quality, op10_pii, op12_merkle, op13_alignment)}
 
 
 OP2_SQL = r"""
@@ -97,5 +105,45 @@ FROM t WINDOW g AS (PARTITION BY t)
 """
 
 
+def op12_sql(levels: int = 10) -> str:
+    """Trees of up to 8 ** levels leaves, level by level; then each leaf climbs, with its proof and what it folds to."""
+    field = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    # crc32 of the decimal digits, bit by bit
+    crc = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 1 + length(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384)))) % 3 = 0"""
+    out = [
+        f"l AS (SELECT doc_id, coalesce('1' || lang, '0') AS tree, {leaf('text')} AS leaf, CASE WHEN {crc} THEN {leaf(lower)} ELSE {leaf('text')} END AS shown FROM documents)",
+        "a0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM l)",
+        "n0 AS (SELECT tree, i, n, leaf AS d FROM a0)",
+    ]
+
+    def grow(nodes: str, tops: str) -> None:
+        for k in range(1, levels + 1):
+            out.append(f"{nodes}{k} AS (SELECT tree, i // 8 AS i, (n + 7) // 8 AS n, sha256(string_agg(d, '' ORDER BY i)) AS d FROM {nodes}{k - 1} WHERE n > 1 GROUP BY ALL)")
+        out.append(f"{tops} AS (" + " UNION ALL ".join(f"SELECT tree, d FROM {nodes}{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+
+    def climb(rows: str, nodes: str, tree: str) -> None:
+        for k in range(levels):
+            out.append(f"""{rows}{k + 1} AS (SELECT p.* EXCLUDE (i, proof, f), p.i // 8 AS i, p.proof || coalesce(x.lefts, '') || coalesce(x.rights, '') AS proof,
+  CASE WHEN x.n > 1 THEN sha256(x.lefts || p.f || x.rights) ELSE p.f END AS f FROM {rows}{k} p LEFT JOIN (
+  SELECT a.tree, a.i, any_value(a.n) AS n, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lefts, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS rights
+  FROM {nodes}{k} a JOIN {nodes}{k} b ON a.tree = b.tree AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.tree, a.i) x ON x.tree = p.{tree} AND x.i = p.i)""")
+
+    grow("n", "s")
+    out.append("t0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n, d, tree AS lang FROM s)")
+    out.append("o AS (SELECT i AS place, lang AS tree, d AS subroot FROM t0)")
+    grow("t", "r")
+    out.append("p0 AS (SELECT row_number() OVER () AS k, doc_id, tree, leaf, shown, i, '' AS proof, shown AS f FROM a0)")
+    climb("p", "n", "tree")
+    out.append(f"q0 AS (SELECT p.* EXCLUDE (i), place AS i, subroot, '' AS top FROM p{levels} p JOIN o USING (tree))")
+    climb("q", "t", "top")
+    return "WITH " + ",\n".join(out) + f"\nSELECT doc_id, leaf, subroot, r.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.d AS verified FROM q{levels}, r"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op2_jaccard_join": OP2_SQL, "op3_warc": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op12_merkle": op12_sql()}
