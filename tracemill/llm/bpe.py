@@ -73,12 +73,15 @@ class Vocabulary:
             data = json.load(f)
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
-        self.ids = {raw(t): i for t, i in data["model"]["vocab"].items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"])
-        self.ranks: dict[tuple[bytes, bytes], int] = {}
+        ranks: dict[tuple[bytes, bytes], int] = {}
         for rank, (a, b) in enumerate(pairs):
-            self.ranks.setdefault((raw(a), raw(b)), rank)
-        self.specials = {t["content"]: t["id"] for t in data["added_tokens"]}
+            ranks.setdefault((raw(a), raw(b)), rank)
+        self.hold({raw(t): i for t, i in data["model"]["vocab"].items()}, ranks, {t["content"]: t["id"] for t in data["added_tokens"]})
+
+    def hold(self, ids: dict[bytes, int], ranks: dict[tuple[bytes, bytes], int], specials: dict[str, int]) -> None:
+        """Tokens with their ids, pairs with the ranks of their merges, and the special tokens, in arrays."""
+        self.ids, self.ranks, self.specials = ids, ranks, specials
         size = max([*self.ids.values(), *self.specials.values()]) + 1
         self.token_bytes = [b""] * size
         for b, i in [*self.ids.items(), *((s.encode(), i) for s, i in self.specials.items())]:
@@ -250,8 +253,8 @@ class Vocabulary:
             a, b = np.where(later, self.right[a], a), np.where(later, b, self.left[b])
         return out
 
-    def in_step(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many pre-tokens by the transducer, all read in step: ids one after another, and how many each has."""
+    def last_tokens(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For many pre-tokens, all read in step: the token that ends the encoding of each byte prefix, at the place of the prefix's end among all bytes."""
         total, flat = int(lengths.sum()), ragged(starts, lengths)
         byte = data[flat].astype(np.int64)
         begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -269,7 +272,7 @@ class Vocabulary:
             hit = self.step_keys[place] == key
             at, node, depth = at[hit], self.step_nodes[place[hit]], depth + 1
         if not found:
-            return np.empty(0, np.uint32), np.zeros(len(starts), np.int64)
+            return np.full(total + 1, -1, np.int64)
         first, stop, token = (np.concatenate(x) for x in zip(*found))
         read = stop - begin[first]  # bytes of the pre-token up to the token's end
         order = np.argsort(read, kind="stable")
@@ -282,8 +285,13 @@ class Vocabulary:
             fine = np.ones(b - a, bool)
             fine[inside] = self.fits(last[f[inside]], t[inside])
             last[e[fine]] = t[fine]
-        # back from the ends
-        position, own = np.cumsum(lengths), np.arange(len(starts))
+        return last
+
+    def walk_back(self, last: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of pre-tokens from their ends on: ids one after another, and how many each has."""
+        if not lengths.any():
+            return np.empty(0, np.uint32), np.zeros(len(lengths), np.int64)
+        position, own = np.cumsum(lengths), np.arange(len(lengths))
         own, position = own[lengths > 0], position[lengths > 0]
         ids, owners, left = [], [], np.cumsum(lengths) - lengths
         while len(own):
@@ -294,7 +302,11 @@ class Vocabulary:
             go = position > left[own]
             own, position = own[go], position[go]
         ids, owners = np.concatenate(ids)[::-1], np.concatenate(owners)[::-1]
-        return ids[np.argsort(owners, kind="stable")].astype(np.uint32), np.bincount(owners, minlength=len(starts))
+        return ids[np.argsort(owners, kind="stable")].astype(np.uint32), np.bincount(owners, minlength=len(lengths))
+
+    def in_step(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pre-tokens by the transducer, all read in step: ids one after another, and how many each has."""
+        return self.walk_back(self.last_tokens(data, starts, lengths), lengths)
 
     def pieces(self, pieces: pa.Array, in_step: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokens one after another, and how many each has; by the transducer, or short ones by rank."""

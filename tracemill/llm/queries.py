@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, dedup, jaccard_join, lm, merkle, packing, pii, quality, sharding, toxicity, warc
+from . import alignment, bpe, dedup, jaccard_join, lm, merkle, packing, pii, prefix_bpe, quality, sharding, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_documents(spark, sf_dir))
 
 
+def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.round_trip(_documents(spark, sf_dir))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(_documents(spark, sf_dir))
 
@@ -63,7 +67,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_warc, op4_bpe, op5_lm, op6_packing, op7_exact_dedup, op8_sharding, op9_quality, op10_pii, op12_merkle, op13_alignment)}
+    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_warc, op4_bpe, op5_lm, op6_packing, op7_exact_dedup, op8_sharding, op9_quality, op10_pii, op11_prefix_bpe, op12_merkle, op13_alignment)}
 
 
 OP2_SQL = r"""
