@@ -102,9 +102,10 @@ def build(rows: DataFrame, leaf: str = "leaf", group: str = "lang", keys: tuple[
     return Manifest(leaves, store, trees.drop("langs_"), root.first()["digest"], (low, high))
 
 
-def _step(frontier: DataFrame, records: DataFrame) -> DataFrame:
-    """The frontier (i_, digest, above, ...) with the children that its digests have in the store."""
-    return frontier.join(records.dropDuplicates(["digest"]), "digest")
+def _met(frontier: DataFrame, records: DataFrame, tall: Column) -> DataFrame:
+    """The frontier (i_, digest, above, ...) with the children that the digests of tall trees have in the store; null for the others, which wait."""
+    known = records.dropDuplicates(["digest"]).withColumnRenamed("digest", "asked_")
+    return frontier.withColumn("asked_", F.when(tall, F.col("digest"))).join(known, "asked_", "left").drop("asked_")
 
 
 def _segment(kids: Column, at: Column) -> Column:
@@ -112,11 +113,14 @@ def _segment(kids: Column, at: Column) -> Column:
     return F.struct(F.concat_ws("", F.slice(kids, F.lit(1), at)).alias("left"), F.concat_ws("", F.slice(kids, at + 2, F.lit(FAN_OUT))).alias("right"))
 
 
-def _below(found: DataFrame) -> DataFrame:
-    """One row per child of the nodes found, its own segment in front of those above."""
-    kept = [c for c in found.columns if c not in ("digest", "children", "above", "i_")]
-    kid = found.select(*kept, "above", "children", F.col("i_").alias("up_"), F.posexplode("children").alias("at_", "digest"))
-    return kid.select(*kept, (F.col("up_") * FAN_OUT + F.col("at_")).alias("i_"), "digest", F.concat(F.array(_segment(F.col("children"), F.col("at_"))), "above").alias("above"))
+def _below(met: DataFrame) -> DataFrame:
+    """One row per child of the nodes met, its own segment in front of those above; nodes that wait stay as they are."""
+    kept = [c for c in met.columns if c not in ("digest", "children", "above", "i_")]
+    at, above, kids = F.col("i_"), F.col("above"), F.col("children")
+    node = lambda i, digest, path: F.struct(i.alias("i_"), digest.alias("digest"), path.alias("above"))
+    down = F.transform(kids, lambda x, k: node(at * FAN_OUT + k, x, F.concat(F.array(_segment(kids, k)), above)))
+    rows = met.select(*kept, F.explode(F.when(kids.isNull(), F.array(node(at, F.col("digest"), above))).otherwise(down)).alias("x_"))
+    return rows.select(*kept, "x_.*")
 
 
 def prove(m: Manifest, requests: DataFrame | None = None) -> DataFrame:
@@ -135,22 +139,15 @@ def prove(m: Manifest, requests: DataFrame | None = None) -> DataFrame:
         leaves = leaves.join(passed[0].withColumnRenamed("i_", "rank_"), ["tree_", "rank_"], "left_semi")
     frontier = leaves.sparkSession.range(1).select(F.lit(0).cast("long").alias("i_"), F.lit(m.root).alias("digest"), F.array().cast(SEGMENTS).alias("above"))
     for k in range(high, 0, -1):
-        frontier = _below(_step(frontier, m.store[TOP + k]))
+        frontier = _below(_met(frontier, m.store[TOP + k], F.lit(True)))
     frontier = m.trees.select("tree_", "size_", F.col("place_").alias("i_")).join(frontier, "i_").withColumn("i_", F.lit(0).cast("long"))
-    paths = None
-    for k in range(low, -1, -1):
+    met = frontier.withColumn("children", F.lit(None).cast("array<string>"))  # if all trees have one leaf
+    for k in range(low, 0, -1):
         if requests is not None:
             frontier = frontier.join(passed[k], ["tree_", "i_"], "left_semi")
-        if k == 0:  # what is left are trees of one leaf
-            single = frontier.select("tree_", F.col("i_").alias("up_"), F.lit(None).cast("array<string>").alias("children"), "above")
-            paths = single if paths is None else paths.unionByName(single)
-            break
-        tall = F.ceil(F.col("size_") / FAN_OUT ** (k - 1)) > 1  # the tree has a node of level k
-        ready, frontier = _step(frontier.filter(tall), m.store[k]), frontier.filter(~tall)
-        if k == 1:
-            paths = ready.select("tree_", F.col("i_").alias("up_"), "children", "above")
-        else:
-            frontier = _below(ready).unionByName(frontier)
+        met = _met(frontier, m.store[k], F.ceil(F.col("size_") / FAN_OUT ** (k - 1)) > 1)
+        frontier = _below(met) if k > 1 else met
+    paths = met.select("tree_", F.col("i_").alias("up_"), "children", "above")
     met = leaves.withColumn("up_", F.expr(f"rank_ div {FAN_OUT}")).join(paths, ["tree_", "up_"])
     own = F.array(_segment(F.col("children"), F.expr(f"cast(rank_ % {FAN_OUT} as int)")))
     return met.withColumn("path", F.when(F.col("children").isNull(), F.col("above")).otherwise(F.concat(own, "above"))).drop("up_", "children", "above")
