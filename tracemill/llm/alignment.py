@@ -294,8 +294,8 @@ def _sums(docs: pa.Table, answers: pa.Table) -> pa.Table:
 def score(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """Per document: tokens, groups, links, the links that are an A id's most frequent ones in the corpus, and the sum of their counts."""
     aligned = cut(align(docs, a_path, b_path), "aligned")
-    asked = aligned.filter("pairs is not null").select("block", F.posexplode("pairs").alias("at", "pair"))
+    asked = aligned.filter("pairs is not null").select(F.col("block").alias("of_block"), F.posexplode("pairs").alias("at", "pair"))
     counts = pair_counts(aligned, len(pieces(pieces_path(b_path)).bytes))
-    answers = asked.join(counts, "pair").select("block", "at", "n_docs", "best")
+    answers = asked.join(counts, "pair").select("of_block", "at", "n_docs", "best")
     rows = aligned.filter("pairs is null").drop("pairs", "held")
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sums, SCORED)
+    return rows.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(_sums, SCORED)
