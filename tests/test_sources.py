@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,27 +33,27 @@ def write(tmp_path, name, text, encoding="utf-8"):
 
 def test_notation(spark):
     parse = lambda t: as_dict(S.parse_notation(spark.createDataFrame([(t,)], "value string")))
-    assert parse("[<>^2, <register request, pay>]") == {"": 2, "register request,pay": 1}
-    assert parse("<a>^0 <b>") == {"b": 1}
-    assert parse("⟨a⟩¹²") == {"a": 12}
+    assert parse("[<weigh parcel, stamp, send>^4, <>^3]") == {"": 3, "weigh parcel,stamp,send": 4}
+    assert parse("<q>^0 <r, r>") == {"r,r": 1}
+    assert parse("⟨p⟩¹⁰⁷") == {"p": 107}
     with pytest.raises(ValueError):
         parse("nothing here")
 
 
 def test_csv(spark, tmp_path):
-    path = write(tmp_path, "log.csv", "Case ID;Activity;Timestamp;Cost\n1;check;05/01/2023 11:00:00;3\n2;register;2023-01-05;\n1;register;05/01/2023 10:00:00.250;\n1; pay ;2023/01/05 12:00:00.5;1\n;lost;;\n")
+    path = write(tmp_path, "log.csv", "case|Activity|Timestamp|grams\nk7|send|2021-09-30T18:15:00|210\nk9|stamp|30/09/2021 08:00:00|\nk7|weigh|2021/09/30 07:59:59.9|205\n|nobody's||\nk7| stamp |2021-09-30 12:00:00.001|\nk9|send|01/10/2021 00:00:00|88\n", "utf-8")
     log = S.read_csv(spark, path)
-    assert {r["case_id"]: ",".join(r["variant"]) for r in sequences(log).collect()} == {"1": "register,check,pay", "2": "register"}
+    assert {r["case_id"]: ",".join(r["variant"]) for r in sequences(log).collect()} == {"k7": "weigh,stamp,send", "k9": "stamp,send"}
     S.write_csv(log, str(tmp_path / "out"))
     again = S.read_csv(spark, str(tmp_path / "out"), delimiter=",", encoding="UTF-8")
     assert as_dict(variants(again)) == as_dict(variants(log))
 
 
 def test_csv_encodings(spark, tmp_path):
-    latin = write(tmp_path, "latin.csv", "case,activity\n1,Café order\n1,Müller check\n", "cp1252")
-    assert {r["activity"] for r in S.read_csv(spark, latin).events.collect()} == {"Café order", "Müller check"}
-    marked = write(tmp_path, "bom.csv", "\ufeffcase,activity\n1,naïve\n")
-    assert [r["activity"] for r in S.read_csv(spark, marked).events.collect()] == ["naïve"]
+    latin = write(tmp_path, "latin.csv", "case,activity\n4,größer stapeln\n4,à côté\n4,5 €\n", "cp1252")
+    assert {r["activity"] for r in S.read_csv(spark, latin).events.collect()} == {"größer stapeln", "à côté", "5 €"}
+    marked = write(tmp_path, "bom.csv", "\ufeffcase,activity\n4,señal\n")
+    assert [r["activity"] for r in S.read_csv(spark, marked).events.collect()] == ["señal"]
 
 
 def test_times_and_durations(spark):
@@ -82,7 +83,9 @@ def test_xes(spark, tmp_path):
     again = S.read_xes(spark, str(tmp_path / "xes"))
     assert as_dict(variants(again)) == as_dict(variants(log))
     assert again.meta["classifiers"] == log.meta["classifiers"]
-    assert {r["prefix"] for r in S.read_xes_header(spark, str(tmp_path / "xes"))["extensions"].collect()} == {"concept", "lifecycle", "org", "time"}
+    assert {r["prefix"] for r in S.read_xes_header(spark, str(tmp_path / "xes"))["extensions"].collect()} == {"concept"}  # a log's own extensions stand for the usual ones
+    S.write_xes(replace(log, meta={}), str(tmp_path / "bare"))
+    assert {r["prefix"] for r in S.read_xes_header(spark, str(tmp_path / "bare"))["extensions"].collect()} == {"concept", "lifecycle", "org", "time"}
     attrs = lambda x: sorted(({k: v for k, v in r["attrs"].items() if k != "time:timestamp"} for r in x.events.collect()), key=str)
     assert attrs(again) == attrs(log)
 
@@ -103,6 +106,99 @@ def test_xes_traces_without_names_of_their_own(spark, tmp_path):
     assert {r["attrs"]["cost"] for r in again.events.collect()} == {"1.50"}
 
 
+NESTED = """<?xml version="1.0" encoding="UTF-8"?>
+<x:log xes.version="1.0" xmlns:x="http://www.xes-standard.org/">
+<x:extension name="Own" prefix="own" uri="urn:own"/>
+<x:global scope="trace"><x:string key="concept:name" value="?"/><x:list key="tags"><x:values><x:int key="n" value="1"/></x:values></x:list></x:global>
+<x:global scope="event"><x:boolean key="own:late" value="false"/></x:global>
+<x:classifier name="Name" keys="concept:name"/>
+<x:container key="own:made"><x:string key="by" value="hand"/><x:date key="on" value="2020-02-29"/></x:container><x:float key="own:cost" value="1E3"/>
+<x:trace/>
+<x:trace><x:string key="concept:name" value="p&quot;&amp;&lt;"/><x:id key="own:id" value="00c0ffee"/>
+  <x:event><x:string key="concept:name" value="weigh"/><x:date key="time:timestamp" value="2021-03-28T01:59:59.1234+02:00"/><x:string key="code" value="00700"/><x:int key="n" value="007"/><x:int key="n2" value="many"/>
+    <x:list key="mixed"><x:values><x:int key="i" value="1"/><x:string key="s" value="two"/><x:int key="i" value="3"/><x:list key="deep"><x:values/></x:list></x:values></x:list>
+    <x:container key="box"><x:float key="w" value="1.50"/><x:container key="in"><x:boolean key="b" value="true"/></x:container></x:container>
+    <x:string key="note" value="line one&#10;line two"><x:id key="of" value="q"/></x:string></x:event>
+  <x:event/></x:trace><x:trace/>
+<x:trace><x:string key="concept:name" value="x"/></x:trace><x:trace><x:string key="concept:name" value="x#1"/><x:string key="concept:name" value="x##20"/></x:trace>
+<x:trace><x:string key="concept:name" value="x"/></x:trace><x:trace/></x:log>"""
+
+
+def flat(text):
+    """Traces of a document, each with the attributes and events it holds, by the standard library; the items of a list with or without ``values``."""
+    import xml.etree.ElementTree as ET
+
+    def plain(e):
+        kids = [k for c in e for k in (c if c.tag.endswith("values") else [c])]
+        return (e.tag.rpartition("}")[2], e.get("key"), e.get("value"), [plain(k) for k in kids])
+
+    root = ET.fromstring(text)
+    return [plain(c) for c in root]
+
+
+def documents(folder):
+    import glob
+
+    return [open(p, encoding="utf-8").read() for p in sorted(glob.glob(f"{folder}/part-*"))]
+
+
+def test_xes_keeps_all_kinds_and_nesting(spark, tmp_path):
+    log = S.read_xes(spark, write(tmp_path, "n.xes", NESTED))
+    S.write_xes(log, str(tmp_path / "out"))
+    source = flat(NESTED)
+    found = [flat(d) for d in documents(tmp_path / "out")]
+    assert sorted((e for d in found for e in d if e[0] == "trace"), key=str) == sorted((e for e in source if e[0] == "trace"), key=str)
+    header = lambda d: sorted((e for e in d if e[0] not in ("trace", "extension", "classifier")), key=str)
+    assert all(header(d) == header(source) for d in found)
+    again = S.read_xes(spark, str(tmp_path / "out"))
+    assert again.meta == log.meta and log.meta["extensions"] == [{"name": "Own", "prefix": "own", "uri": "urn:own"}]
+    typed = lambda x: sorted(str((r["pos"], r["typed"])) for r in x.events.collect())
+    assert typed(again) == typed(log)
+
+
+def test_xes_values_and_nested_lists(spark, tmp_path):
+    from tracemill.sources import xes
+
+    e = S.read_xes(spark, write(tmp_path, "n.xes", NESTED)).events.filter("activity = 'weigh'")
+    got = e.select(*(xes.value_of(F.col("typed"), k, t).alias(k) for k, t in (("n", "int"), ("n2", "int"), ("code", "string"))), xes.nested(F.col("typed"), "mixed").alias("mixed"), xes.value_of(xes.nested(xes.nested(F.col("typed"), "box"), "in"), "b", "boolean").alias("b"), xes.nested(F.col("typed"), "gone").alias("gone"), "attrs", "tz_offset_min").first()
+    assert (got["n"], got["n2"], got["code"], got["b"], got["gone"]) == (7, None, "00700", True, None)
+    assert [(n["depth"], n["kind"], n["text"]) for n in got["mixed"]] == [(0, "int", "1"), (0, "string", "two"), (0, "int", "3"), (0, "list", None)]
+    assert got["attrs"]["n2"] == "many" and "mixed" not in got["attrs"] and got["tz_offset_min"] == 120
+
+
+def test_xes_names_never_meet(spark, tmp_path):
+    cases = [r["case_id"] for r in S.read_xes(spark, write(tmp_path, "n.xes", NESTED)).cases.collect()]
+    assert len(cases) == len(set(cases)) == 7 and "x##20" in cases and all(c.startswith(("###", "x###")) for c in cases if c not in ("x##20", 'p"&<'))
+
+
+def test_xes_changed_and_added_columns_are_written(spark, tmp_path):
+    log = S.read_xes(spark, write(tmp_path, "n.xes", NESTED))
+    later = log.events.withColumn("activity", F.when(F.col("activity") == "weigh", "weigh again")).withColumn("ts", F.col("ts") + F.expr("interval 1 hour")).withColumns({"big": F.lit(1 << 40), "ok": F.lit(True), "parts": F.array(F.lit("a"), F.lit("b")), "size": F.struct(F.lit(1.5).alias("w"), F.create_map(F.lit("k"), F.lit(2)).alias("m"))})
+    S.write_xes(log.with_events(later), str(tmp_path / "out"))
+    events = [e for d in documents(tmp_path / "out") for t in flat(d) if t[0] == "trace" for e in t[3] if e[0] == "event"]
+    weighed = next(e[3] for e in events if ("string", "concept:name", "weigh again", []) in e[3])
+    assert ("date", "time:timestamp", "2021-03-28T00:59:59.123Z", []) in weighed and ("int", "big", str(1 << 40), []) in weighed and ("boolean", "ok", "true", []) in weighed
+    assert ("list", "parts", None, [("string", "parts", "a", []), ("string", "parts", "b", [])]) in weighed
+    assert ("container", "size", None, [("float", "w", "1.5", []), ("container", "m", None, [("int", "k", "2", [])])]) in weighed
+
+
+def test_one_xes_file_is_read_by_many_tasks(spark, tmp_path):
+    many = "".join(f'<trace><string key="concept:name" value="t{k}"/><event><string key="concept:name" value="{"ab"[k % 2]}"/></event></trace>' for k in range(3000))
+    path = write(tmp_path, "big.xes", f'<log xes.version="1.0">{many}</log>')
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        log = S.read_xes(spark, path)
+        parts = log.cases.select(F.shiftright("first.number", 33).alias("p")).distinct().count()
+        assert parts > 5 and as_dict(variants(log)) == {"a": 1500, "b": 1500}
+        first = [r["case_id"] for r in log.cases.orderBy("first").collect()]
+        assert first == [f"t{k}" for k in range(3000)]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def ocel2():
     events = [("e1", "place order", 1, ["o1", "i1", "i2"]), ("e2", "pick item", 2, ["i1"]), ("e3", "pick item", 3, ["i2"]), ("e4", "pay order", 4, ["o1", "o1"])]
     return {
