@@ -223,6 +223,133 @@ def test_ocel(spark, tmp_path):
         S.read_ocel(spark, write(tmp_path, "other.json", '{"x": 1}'))
 
 
+def read_small(spark, path, size):
+    """The log of a path that is read in ranges of ``size`` bytes."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return S.read_ocel(spark, path)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def all_of(log):
+    """What the questions about an object-centric log give."""
+    edges, ends = objects.object_centric_dfg(log)
+    plain = lambda df, *columns: sorted((tuple(r) for r in df.select(*columns or df.columns).collect()), key=str)
+    flat = objects.flatten(log, "item").events
+    return [
+        plain(edges), plain(ends), plain(objects.counts_by_type(log)), plain(objects.objects_at(log)), plain(flat, "case_id", "pos", "activity", "others"),
+        [r["event_id"] for r in objects.events_of(log, "o1").collect()], plain(log.objects, "object_id", "type", F.array_sort(F.map_entries("attrs"))), plain(log.types, "type", "ord"),
+    ]
+
+
+def pack_log(n, first=0):
+    """Orders with items; an object of the next document is listed with another attribute."""
+    kinds, events = {}, []
+    for k in range(first, first + n):
+        o, i, j = f"o{k}", f"i{2 * k}", f"i{2 * k + 1}"
+        kinds |= {o: "order", i: "item", j: "item"}
+        at = lambda m: f"2024-01-01T{m // 60 % 24:02d}:{m % 60:02d}:00Z"
+        events += [(f"p{k}", "place", at(k), [o, i, j]), (f"k{k}", 'pick "it} [now]\\\\', at(k + 1), [i, f"i{max(0, 2 * k - 1)}"]), (f"l{k}", "leave", at(k + 2), [o, i, j, "van"])]
+    return kinds, events
+
+
+def as_v2(kinds, events, attribute):
+    return {"objectTypes": [{"name": "order"}], "objects": [{"id": o, "type": t, "attributes": [{"name": "n", "value": attribute}]} for o, t in kinds.items()], "events": [{"id": i, "type": a, "time": t, "relationships": [{"objectId": o, "qualifier": "q}"} for o in os]} for i, a, t, os in events]}
+
+
+def as_v1(kinds, events, attribute):
+    return {"ocel:global-log": {"ocel:version": "1.0", "ocel:object-types": ["order"]}, "ocel:events": {i: {"ocel:activity": a, "ocel:timestamp": t, "ocel:omap": os, "ocel:vmap": {}} for i, a, t, os in events}, "ocel:objects": {o: {"ocel:type": t, "ocel:ovmap": {"n": attribute}} for o, t in kinds.items()}}
+
+
+@pytest.mark.parametrize("form", [as_v2, as_v1])
+def test_ocel_folder_equals_one_document(spark, tmp_path, form):
+    """Documents that share objects are one log: edges, ends, counts and attributes are those of the lists put together, whatever the ranges."""
+    (ka, ea), (kb, eb) = pack_log(12), pack_log(12, 10)
+    eb = [(i + "'", a, t, os) for i, a, t, os in eb]
+    folder = tmp_path / "many"
+    folder.mkdir()
+    write(folder, "1.json", json.dumps(form(ka, ea, "old")))
+    write(folder, "2.json", json.dumps(form(kb, eb, "new"), indent=2))
+    whole = {k: "new" if k in kb else "old" for k in {**ka, **kb}}
+    doc = form({**ka, **kb}, ea + eb, "?")
+    for o in doc["objects"] if form is as_v2 else []:
+        o["attributes"][0]["value"] = whole[o["id"]]
+    for o, v in doc["ocel:objects"].items() if form is as_v1 else []:
+        v["ocel:ovmap"]["n"] = whole[o]
+    one = all_of(S.read_ocel(spark, write(tmp_path, "one.json", json.dumps(doc))))
+    assert all_of(S.read_ocel(spark, str(folder))) == one
+    assert all_of(read_small(spark, str(folder), 1500)) == one
+    van = [x for x in one[6] if x[0] == "van"]
+    assert van == [("van", "object", [])] and len(one[6]) == len(whole) + 1
+
+
+def test_ocel_event_ids_listed_again(spark, tmp_path):
+    folder = tmp_path / "twice"
+    folder.mkdir()
+    kinds, events = pack_log(3)
+    for name in ("1.json", "2.json"):
+        write(folder, name, json.dumps(as_v2(kinds, events, "x")))
+    log = S.read_ocel(spark, str(folder))
+    ids = [r["event_id"] for r in log.events.collect()]
+    assert len(ids) == len(set(ids)) == 18 and {e[0] for e in events} <= set(ids)
+    assert {r["type"]: r["objects"] for r in objects.counts_by_type(log).collect()} == {"order": 3, "item": 6, "object": 1}
+    assert log.relations.count() == 2 * sum(len(e[3]) for e in events)
+
+
+def test_ocel_one_document_is_read_by_many_tasks(spark, tmp_path):
+    from tracemill.sources.json_records import section_members
+
+    kinds, events = pack_log(2000)
+    path = write(tmp_path, "big.json", json.dumps(as_v2(kinds, events, "x")))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        found = section_members(spark, path).withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_if(F.col("ix") > 0).alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(r["n"] > 100 for r in found) >= 4
+    log = read_small(spark, path, 100_000)
+    assert (log.events.count(), log.objects.count()) == (6000, 6001)
+
+
+def test_json_members_of_any_form(spark, tmp_path):
+    """Members with brackets and quotes in strings, nested keys named like sections, scalars and empty sections, over ranges of any size."""
+    import random
+
+    from tracemill.sources.json_records import joined, section_members
+
+    rng = random.Random(1)
+
+    def value(depth=0):
+        k = rng.randrange(6 if depth < 3 else 4)
+        if k < 4:
+            return ['a}b{"\\', 'é]\\"}', "x", 7][k]
+        inner = [value(depth + 1) for _ in range(rng.randrange(3))]
+        return inner if k == 4 else {rng.choice(["events", "k}", 'q"']) + str(j): v for j, v in enumerate(inner)}
+
+    docs = []
+    for n in range(4):
+        docs.append({"version": "1", "events": [{"id": i, "v": value()} for i in range(rng.randrange(40))], "meta": {"s": 1, "t": ["a", "b"], "u": "z"}, "objects": {rng.choice(["o}", 'p"{', "r"]) + str(i): {"w": value()} for i in range(rng.randrange(40))}, "types": [1, 2], "none": []})
+        write(tmp_path, f"{n}.json", json.dumps(docs[-1], ensure_ascii=n % 2 == 0, indent=n // 2 or None) + "\n" * (n % 2))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("40", "333", "100k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = joined(section_members(spark, str(tmp_path))).orderBy("path", "start", "ix").collect()
+        for n, doc in enumerate(docs):
+            mine = [r for r in rows if r["path"].endswith(f"/{n}.json")]
+            of = lambda s: [r["text"] for r in mine if r["section"] == s and r["ix"] >= 0]  # noqa: E731, B023
+            assert [json.loads(t) for t in of("events")] == doc["events"]
+            assert [kv for t in of("objects") for kv in json.loads("{" + t + "}").items()] == list(doc["objects"].items())
+            assert [json.loads("{" + t + "}") for t in of("meta")] == [{"s": 1, "t": ["a", "b"]}]
+            assert {r["section"] for r in mine if r["ix"] == -1} == {"events", "meta", "objects", "types", "none"}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_pnml_round_trip(spark, tmp_path):
     from tracemill.nets import Net, net_from_tables
 
