@@ -62,7 +62,7 @@ class EventLog:
         return f(self, *args, **settings)
 
 
-def log_from_table(df: DataFrame, case: Column | str | None = None, activity: Column | str = "activity", ts: Column | str | None = None, resource: Column | str | None = None, lifecycle: Column | str | None = None, order_by: Sequence[Column | str] = (), keep: Sequence[str] = ()) -> EventLog:
+def log_from_table(df: DataFrame, case: Column | str | None = None, activity: Column | str = "activity", ts: Column | str | None = None, resource: Column | str | None = None, lifecycle: Column | str | None = None, order_by: Sequence[Column | str] = (), keep: Sequence[str] = (), hot_rows: int | None = None) -> EventLog:
     """Any table as a log.
 
     The case column is ``case:concept:name`` if it is there and none is given, else the first column. ``order_by``
@@ -83,8 +83,12 @@ def log_from_table(df: DataFrame, case: Column | str | None = None, activity: Co
         F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order))).alias("order_"),
         *keep,
     ).filter("case_id is not null")
-    by_case = W.partitionBy("case_id").orderBy("order_", "activity")
-    events = rows.withColumn("pos", F.row_number().over(by_case) - 1)
+    if hot_rows is None:
+        events = rows.withColumn("pos", F.row_number().over(W.partitionBy("case_id").orderBy("order_", "activity")) - 1)
+    else:
+        from .operators.ranges import with_place
+
+        events = with_place(rows, ["case_id"], [F.col("order_"), F.col("activity")], "pos", hot_rows)
     cases = events.groupBy("case_id").agg(F.min("order_").alias("first"))
     return EventLog(cases, events.drop("order_").select("case_id", "pos", "activity", "ts", "lifecycle", "resource", *keep))
 

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..log import BY_NAME, Classifier, EventLog, seconds
-from .ranges import quantiles
-from .variants import labelled, variants
+from ..runtime import cut
+from .ranges import quantiles, with_neighbours
 
 START, END = "▶", "■"
 
@@ -44,19 +44,26 @@ def dfg_of_variants(table: DataFrame) -> DFG:
 
 
 def discover_dfg(log: EventLog, classifier: Classifier = BY_NAME) -> DFG:
-    return dfg_of_variants(variants(log, classifier))
+    """The graph from neighbouring events: one exchange by case; a case that is very long is ordered by several tasks."""
+    taken = log.events.filter(classifier.accepts()).select("case_id", "pos", classifier.label().alias("a"))
+    rows = with_neighbours(taken, ["case_id"], [F.col("pos")], {"before": "a"}, {"b": "a"})
+    nodes = rows.groupBy(F.col("a").alias("activity")).agg(F.count("*").alias("n"), F.count_if(F.col("before").isNull()).alias("n_start"), F.count_if(F.col("b").isNull()).alias("n_end"))
+    edges = rows.filter("b is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
+    cases = log.cases.select("case_id").join(taken.select("case_id", F.lit(True).alias("some")).distinct(), "case_id", "left")
+    return DFG(nodes, edges, cases.agg(F.count("*").alias("traces"), F.count_if(F.col("some").isNull()).alias("empty_traces")))
 
 
 def edge_durations(log: EventLog, classifier: Classifier = BY_NAME) -> DataFrame:
     """a, b, n, timed, mean_s, median_s: durations where both events have times; negative ones count as they are.
 
-    Means take one exchange by case and one by edge; medians are read off the ordered durations of all edges.
+    Events are exchanged by case once; means and medians are read off the counts of each edge's distinct durations.
     """
-    own = W.partitionBy("case_id").orderBy("pos")
-    rows = labelled(log, classifier).select("case_id", F.col("label").alias("a"), F.lead("label").over(own).alias("b"), seconds(F.col("ts"), F.lead("ts").over(own)).alias("s"))
-    rows = rows.filter("b is not null")
-    means = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.count("s").alias("timed"), F.avg("s").alias("mean_s"))
-    return means.join(quantiles(rows, ["a", "b"], "s", {"median_s": 0.5}), ["a", "b"], "left")
+    taken = log.events.filter(classifier.accepts()).select("case_id", "pos", "ts", classifier.label().alias("a"))
+    near = with_neighbours(taken, ["case_id"], [F.col("pos")], {}, {"b": "a", "to": "ts"}).filter("b is not null")
+    counted = cut(near.groupBy("a", "b", seconds("ts", "to").alias("s")).agg(F.count("*").alias("k")), "durations")
+    total = F.sum(F.when(F.col("s").isNotNull(), F.col("k")))
+    means = counted.groupBy("a", "b").agg(F.sum("k").alias("n"), F.coalesce(total, F.lit(0)).alias("timed"), (F.sum(F.col("s") * F.col("k")) / total).alias("mean_s"))
+    return means.join(quantiles(counted, ["a", "b"], "s", {"median_s": 0.5}, "k"), ["a", "b"], "left")
 
 
 def all_edges(graph: DFG) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..nets import Net
-from ..runtime import rows_of
+from ..runtime import cut, rows_of
 from .dfg import edges_of_variants, nodes_of_variants
 
 START, END = "▶ start", "■ end"
@@ -58,7 +58,9 @@ def bindings(table: DataFrame, graph: DataFrame) -> DataFrame:
     nearest place of the other activity decides, so the places of both ends of an edge are put in order per variant and
     edge: rows grow with the places and the graph's degree, not with pairs of places.
     """
-    rows = table.select("variant", "n", F.xxhash64("variant").alias("v"), F.size("variant").alias("size"))
+    # tables that several branches read are written once: recomputed, they would double with every branch
+    graph = cut(graph, "dependency-graph")
+    rows = cut(table.select("variant", "n", F.xxhash64("variant").alias("v"), F.size("variant").alias("size")), "binding-variants")
     empty = rows.filter("size = 0").select("n")
     virtual = empty.select(F.lit("out").alias("side"), F.lit(START).alias("activity"), F.array(F.lit(END)).alias("binding"), "n")
     virtual = virtual.unionByName(empty.select(F.lit("in").alias("side"), F.lit(END).alias("activity"), F.array(F.lit(START)).alias("binding"), "n"))
@@ -68,13 +70,14 @@ def bindings(table: DataFrame, graph: DataFrame) -> DataFrame:
     places = rows.select("v", "n", "size", F.posexplode("variant").alias("i", "a"))
     own = W.partitionBy("v", "a").orderBy("i")
     places = places.withColumns({"next": F.coalesce(F.lead("i").over(own), F.col("size")), "prev": F.coalesce(F.lag("i").over(own), F.lit(-1))})
+    places = cut(places, "places")
     edges = F.broadcast(graph.filter("a <> b").select(F.col("a").alias("ea"), F.col("b").alias("eb")))
     base = places.select("v", "n", "size", "i", "a", "next", "prev")
     tails = places.join(edges, F.col("a") == F.col("ea")).select("v", "ea", "eb", "i", F.lit(True).alias("tail"), F.col("next").alias("bound"))
     heads = places.join(edges, F.col("a") == F.col("eb")).select("v", "ea", "eb", "i", F.lit(False).alias("tail"), F.col("prev").alias("bound"))
     edge = W.partitionBy("v", "ea", "eb")
     seen = lambda order, tail: F.last(F.when(F.col("tail") == tail, F.col("i")), ignorenulls=True).over(edge.orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    meet = tails.unionByName(heads).withColumns({"after": seen(F.desc("i"), False), "before": seen(F.asc("i"), True)})
+    meet = cut(tails.unionByName(heads).withColumns({"after": seen(F.desc("i"), False), "before": seen(F.asc("i"), True)}), "meetings")
     loops = F.broadcast(graph.filter("a = b").select("a"))
 
     def side(name: str, found: DataFrame, loop, edge_test, virtual_name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import natural_order
 from ..log import BY_NAME, Classifier, EventLog, seconds
-from .ranges import with_rank, with_sum_before
+from .ranges import runs, with_neighbours, with_rank, with_sum_before
 from .variants import labelled
 
 # Seconds of the units of a time axis; months have 30 days, years 365.
@@ -72,9 +72,9 @@ def timeline_statistics(log: EventLog) -> DataFrame:
 
 def batches(log: EventLog, activity: str, gap_seconds: int = 3600) -> DataFrame:
     """start, end, n: runs of an activity over the whole log; a gap longer than ``gap_seconds`` begins a new one."""
-    rows = log.events.filter((F.col("activity") == activity) & F.col("ts").isNotNull())
-    grouped = rows.groupBy(F.session_window("ts", f"{gap_seconds} seconds").alias("w")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"))
-    return grouped.select("start", "end", "n")
+    rows = log.events.filter((F.col("activity") == activity) & F.col("ts").isNotNull()).groupBy(F.unix_micros("ts").alias("us")).agg(F.count("*").alias("n"))
+    found = runs(rows, "us", F.lit(gap_seconds * 1_000_000), "n")
+    return found.select(F.timestamp_micros("first").alias("start"), F.timestamp_micros("last").alias("end"), "n")
 
 
 def weekend_events(log: EventLog, offset: str | None = None) -> DataFrame:
@@ -85,8 +85,8 @@ def weekend_events(log: EventLog, offset: str | None = None) -> DataFrame:
 
 def timeouts(log: EventLog, longer_than: float) -> DataFrame:
     """Number of cases with over ``longer_than`` seconds between events that follow each other in time."""
-    own = W.partitionBy("case_id").orderBy("ts")
-    gaps = log.events.filter("ts is not null").withColumn("gap", seconds(F.lag("ts").over(own), F.col("ts")))
+    near = with_neighbours(log.events.filter("ts is not null").select("case_id", "ts"), ["case_id"], [F.col("ts")], {"last": "ts"}, {})
+    gaps = near.withColumn("gap", seconds("last", "ts"))
     return gaps.agg(F.count_distinct(F.when(F.col("gap") > longer_than, F.col("case_id"))).alias("cases"))
 
 

@@ -67,11 +67,10 @@ def order_objects(spark: SparkSession, sf_dir: str) -> ObjectLog:
     placed = orders.select(key("place-", "o_orderkey").alias("event_id"), F.lit("place order").alias("activity"), F.col("o_orderdate").cast("timestamp").alias("ts"), "o_orderkey", "o_custkey")
     shipped = lines.select(F.concat(F.lit("ship-"), F.concat_ws("-", *(F.col(c).cast("string") for c in line))).alias("event_id"), F.concat(F.lit("ship "), "l_returnflag").alias("activity"), F.col("l_shipdate").cast("timestamp").alias("ts"), "l_orderkey", "l_partkey", "l_suppkey").dropDuplicates(["event_id"])
     events = placed.select("event_id", "activity", "ts").unionByName(shipped.select("event_id", "activity", "ts")).withColumn("ord", F.struct("ts", "activity", "event_id"))
-    rel = lambda df, p, c, k: df.select("event_id", key(p, c).alias("object_id"), F.lit(k).alias("rel_ix"))
-    relations = rel(placed, "o", "o_orderkey", 0).unionByName(rel(placed, "c", "o_custkey", 1)).unionByName(rel(shipped, "o", "l_orderkey", 0)).unionByName(rel(shipped, "p", "l_partkey", 1)).unionByName(rel(shipped, "s", "l_suppkey", 2))
-    kinds = F.create_map(*(F.lit(x) for x in ("o", "order", "c", "customer", "p", "part", "s", "supplier")))
-    objects = relations.select("object_id").distinct().withColumn("type", kinds[F.substring("object_id", 1, 1)])
-    return object_log(events, objects, relations, ["order", "customer", "part", "supplier", "invoice"])
+    rel = lambda df, parts: df.select("event_id", "activity", F.struct("ts", "activity", "event_id").alias("ord"), F.inline(F.array(*(F.struct(key(p, c).alias("object_id"), F.lit(k).alias("rel_ix"), F.lit(t).alias("type")) for k, (p, c, t) in enumerate(parts)))))
+    touches = rel(placed, [("o", "o_orderkey", "order"), ("c", "o_custkey", "customer")]).unionByName(rel(shipped, [("o", "l_orderkey", "order"), ("p", "l_partkey", "part"), ("s", "l_suppkey", "supplier")]))
+    objects = touches.select("object_id", "type").distinct()
+    return object_log(events, objects, touches.select("event_id", "object_id", "rel_ix"), ["order", "customer", "part", "supplier", "invoice"], touches)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

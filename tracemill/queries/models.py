@@ -9,6 +9,7 @@ from ..operators import alpha, conformance, experiments, heuristics, inductive,
 from ..operators import dfg as G
 from ..operators.variants import variants
 from ..plans import check_fit
+from ..runtime import cut
 from .base import CONV, EDGES, LINES, USER, USERDAY, conversations, half_month, order_lines, query, rounded, text, user_days, users
 
 
@@ -95,13 +96,13 @@ r AS (SELECT 'out' AS side, activity, string_agg(x, ',' ORDER BY x) AS binding F
   UNION ALL SELECT 'out', '▶ start', activity FROM p WHERE pos = 0 UNION ALL SELECT 'in', '■ end', activity FROM p WHERE pos = len - 1)
 SELECT side, activity, binding, count(*) AS n FROM r GROUP BY ALL""")
 def d9_bindings(spark, d):
-    table = variants(conversations(spark, d))
+    table = cut(variants(conversations(spark, d)), "variants")
     return heuristics.bindings(table, heuristics.dependency_graph(table, 0.4)).select("side", "activity", text("binding").alias("binding"), "n")
 
 
 @query()
 def d10_heuristics_net(spark, d):
-    table = variants(conversations(spark, d))
+    table = cut(variants(conversations(spark, d)), "variants")
     return heuristics.heuristics_net(heuristics.bindings(table, heuristics.dependency_graph(table, 0.5))).tables(spark)[2]
 
 
