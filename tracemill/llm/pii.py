@@ -112,7 +112,8 @@ def _inner_spans(kind: int, text: str, start: int, end: int) -> Iterator[tuple[i
     elif kind == 2:
         for k in range(len(groups)):  # whole groups of digits that make up 13 to 19
             n = 0
-            for a, b in groups[k:]:
+            for j in range(k, len(groups)):
+                a, b = groups[j]
                 n += b - a
                 if n >= CARD_LENGTHS.stop:
                     break
@@ -228,7 +229,9 @@ def disguises(kind: int, span: str, seed: int) -> list[str]:
         name, _, host = span.partition("@")
         left, right = ("()", "[]", "{}", "<>")[seed % 4]
         dotted = host.split(".")
-        return [f"\x00{name} {left}at{right} {host}\x01", f"\x00{name}{left}at{right}{f'{left}dot{right}'.join(dotted)}\x01", f"\x00{name} at {' dot '.join(dotted)}\x01"]
+        short, ends = re.sub("[^A-Za-z]", "", name)[: 3 + seed % 7] or name, dotted[-2:]
+        plainer = [f"\x00{short} {left}at{right} {'.'.join(ends)}\x01", f"\x00{short}{left}at{right}{f'{left}dot{right}'.join(ends)}\x01", f"\x00{name} at {' dot '.join(ends)}\x01"]
+        return [*plainer, f"\x00{name} {left}at{right} {host}\x01", f"\x00{name}{left}at{right}{f'{left}dot{right}'.join(dotted)}\x01", f"\x00{name} at {' dot '.join(dotted)}\x01"]
     if kind == 1:
         return [f"{256 + seed % 700}.\x00{span}\x01", f"\x00{'[.]'.join(span.split('.'))}\x01"]
     if kind == 2:
@@ -237,7 +240,12 @@ def disguises(kind: int, span: str, seed: int) -> list[str]:
         return [f"{more} \x00{digits}\x01", f"\x00{digits}\x01 {more}", f"{more} \x00{' '.join(four)}\x01", f"\x00{'.'.join(four)}\x01"]
     plain = span.lstrip("+")
     national = plain.split(" ", 1)[1] if " " in plain and len(only_digits(plain.split(" ", 1)[1])) >= 7 else plain
-    return [f"\x00{national}\x01", f"\x0000{plain}\x01", f"\x00{span}\x01 {seed % 900 + 100} {seed % 97}", f"\x00{span}\x01 {seed % 200}.{seed % 100}.{seed % 50}.7"]
+    sizes, at, groups = ((2, 1, 3, 4), (2, 3, 3, 4), (1, 3, 3, 4), (3, 2, 3, 2), (2, 2, 3, 4), (2, 4, 6))[seed % 6], 0, []
+    for n in sizes:
+        groups.append(digits[at : at + n])
+        at += n
+    groups = [g for g in [*groups[:-1], groups[-1] + digits[at:]] if g]
+    return [f"\x0000{' '.join(groups)}\x01", f"\x0000{'-'.join(groups)}\x01", f"\x00{national}\x01", f"\x0000{plain}\x01", f"\x00{span}\x01 {seed % 900 + 100} {seed % 97}", f"\x00{span}\x01 {seed % 200}.{seed % 100}.{seed % 50}.7"]
 
 
 def look_alikes(kind: int, before: str, seed: int) -> list[str]:
@@ -376,28 +384,30 @@ def thresholds_of(counts: np.ndarray, error: float = ERROR, least: float = LEAST
     return out
 
 
-def train(found: DataFrame, sample: int = SAMPLE, error: float = ERROR) -> Judge | None:
-    """Trees from at most about ``sample`` labelled candidates, thresholds from all held-out ones; None without both classes."""
-    spans = found.select(F.posexplode("examples").alias("at", "s"), "id_").select("s.*", F.pmod(F.xxhash64("id_", F.lit(7)), F.lit(5)).alias("fold"), F.xxhash64("id_", "at").alias("row"))
-    fitting = spans.filter("fold <> 0")
-    parts = [bounded_sample(fitting.filter(F.col("label") == y), ["row"], sample // 2, 7) for y in (1.0, 0.0)]
-    rows = parts[0].unionByName(parts[1]).select("row", "label", "features").toPandas().sort_values(["row", "label"])
-    y = rows["label"].to_numpy(float)
+def train(found: DataFrame, sample: int = SAMPLE, error: float = ERROR, folds: int = 5) -> Judge | None:
+    """Trees from at most about ``sample`` labelled candidates; thresholds from all of them, each scored by trees that did not see its document. None without both classes."""
+    spans = found.select(F.posexplode("examples").alias("at", "s"), "id_").select("s.*", F.pmod(F.xxhash64("id_", F.lit(7)), F.lit(folds)).cast("int").alias("fold"), F.xxhash64("id_", "at").alias("row"))
+    parts = [bounded_sample(spans.filter(F.col("label") == y), ["row"], sample // 2, 7) for y in (1.0, 0.0)]
+    rows = parts[0].unionByName(parts[1]).select("row", "label", "fold", "features").toPandas().sort_values(["row", "label"])
+    y, x, fold = rows["label"].to_numpy(float), np.array(rows["features"].tolist(), float), rows["fold"].to_numpy()
     if len(set(y)) < 2:
         return None
-    trees = BoostedTrees().fit(np.array(rows["features"].tolist(), float), y)
+    trees = BoostedTrees().fit(x, y)
+    others = [BoostedTrees().fit(x[fold != f], y[fold != f]) if len(set(y[fold != f])) == 2 else trees for f in range(folds)]
 
     def score(batches):
         for b in batches:
-            x = np.array(b.column("features").to_pylist(), float)
+            x, fold, p = np.array(b.column("features").to_pylist(), float), b.column("fold").to_numpy(), np.zeros(b.num_rows)
+            for f in np.unique(fold):
+                p[fold == f] = others[f].probability(x[fold == f])
             if len(x):
-                place = np.minimum((np.round(trees.probability(x), 6) * BINS).astype(np.int64), BINS - 1)
+                place = np.minimum((np.round(p, 6) * BINS).astype(np.int64), BINS - 1)
                 key, n = np.unique((b.column("kind").to_numpy() * 2 + b.column("label").to_numpy().astype(np.int64)) * BINS + place, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
     counts = np.zeros(len(KINDS) * 2 * BINS)
-    held = spans.filter("fold = 0").select("kind", "label", "features").mapInArrow(score, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    for r in held.collect():  # at most kinds x labels x bins rows
+    scored = spans.select("kind", "label", "fold", "features").mapInArrow(score, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    for r in scored.collect():  # at most kinds x labels x bins rows
         counts[r["key"]] = r["n"]
     return Judge(trees, thresholds_of(counts.reshape(len(KINDS), 2, BINS), error))
 
