@@ -4,7 +4,8 @@ Texts are equal when identical after lower-casing A-Z. Grouping keys hold the wh
 every stage compares full content. Spark's partial aggregation removes copies inside a partition before anything
 is shuffled; salted groups are merged next, so that a text held by a third of all rows is spread over ``salts``
 tasks; the salts' winners, at most ``salts`` per text, are combined last. Documents then look up their group by
-SHA-256, salted again, and only groups of more than one document are looked up at all.
+SHA-256, salted again, and only groups of more than one document are looked up at all; this look-up trusts the digest,
+as the groups it reads are already told apart by content.
 
 Defined results: null counts as empty; the largest doc_id of a group stays, a null doc_id only if no other is
 there; repeated rows with one doc_id are members of their group each, and all of those with the kept doc_id are
@@ -20,10 +21,15 @@ from pyspark.sql import functions as F
 from .runtime import ascii_lower, free_name
 
 
+def _salt(salts: int):
+    """A salt by row number, so that rows without ids of their own are dealt, too; what comes out does not depend on it."""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int").alias("salt")
+
+
 def exact_groups(docs: DataFrame, salts: int = 16) -> DataFrame:
     """Groups of equal texts with over one member: text_sha256, keep_id, group_size."""
     rows = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("content"))
-    rows = rows.select("doc_id", "content", F.sha2("content", 256).alias("text_sha256"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
+    rows = rows.select("doc_id", "content", F.sha2("content", 256).alias("text_sha256"), _salt(salts))
     salted = rows.groupBy("text_sha256", "salt", "content").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
     merged = salted.groupBy("text_sha256", "content").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     return merged.filter("group_size > 1").select("text_sha256", "keep_id", "group_size")
@@ -32,7 +38,7 @@ def exact_groups(docs: DataFrame, salts: int = 16) -> DataFrame:
 def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = docs.select("doc_id", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256).alias("text_sha256"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    rows = rows.withColumn("salt", _salt(salts))
     groups = exact_groups(docs, salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     found = rows.join(groups, ["text_sha256", "salt"], "left")
     return found.select(

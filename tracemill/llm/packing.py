@@ -93,6 +93,17 @@ def lower_bound(counts: np.ndarray, size: int) -> int:
     return best
 
 
+#: Bits of a bin's number within its bucket and of a bucket's: with two for the round they make a bin's name, of 62 bits.
+BIN_BITS, BUCKET_BITS = 22, 38
+
+
+def bin_names(seed: int, bucket: int, bins: np.ndarray) -> np.ndarray:
+    """Names that no other bin of any round and bucket has."""
+    if seed > 3 or bucket >> BUCKET_BITS or len(bins) and int(bins.max()) >> BIN_BITS:
+        raise ValueError(f"round {seed}, bucket {bucket} or its bins are too many for a bin's name")
+    return ((seed << BUCKET_BITS | bucket) << BIN_BITS) + bins.astype(np.int64)
+
+
 def _pack(rows: DataFrame, size: int, buckets: int, seed: int) -> DataFrame:
     """Each piece with its bin, offset, and its bucket's bins and lower bound."""
 
@@ -101,8 +112,7 @@ def _pack(rows: DataFrame, size: int, buckets: int, seed: int) -> DataFrame:
         lengths = pdf["length"].to_numpy()
         bins, offsets, n = best_fit_decreasing(lengths, size)
         bound = lower_bound(np.bincount(lengths, minlength=size + 1), size)
-        base = (seed << 20 | int(key[0])) << 32
-        return pd.DataFrame({"rid": pdf["rid"], "length": lengths, "bin": base + bins, "offset": offsets, "bucket_gap": n - bound})
+        return pd.DataFrame({"rid": pdf["rid"], "length": lengths, "bin": bin_names(seed, int(key[0]), bins), "offset": offsets, "bucket_gap": n - bound})
 
     dealt = rows.select("rid", "length", F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(buckets)).alias("bucket"))
     return dealt.groupBy("bucket").applyInPandas(one, "rid long, length long, bin long, offset long, bucket_gap long")

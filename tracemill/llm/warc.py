@@ -163,11 +163,11 @@ def payload_index(pages: DataFrame, date: str) -> DataFrame:
 def revisits(index: DataFrame, smallest: int = 0, salts: int = 16) -> DataFrame:
     """page_id, payload_sha1, refers_to and refers_url of the pages whose payload of at least ``smallest`` bytes a page with a smaller id has.
 
-    Counts are combined before the shuffle, and a payload that many pages share is looked up by salted keys.
+    Counts are combined before the shuffle, and a payload that many pages share is looked up by salted keys, salts by row number.
     """
     firsts = index.filter(F.col("payload_bytes") >= smallest).groupBy("payload_sha1").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n"))
     firsts = firsts.filter("n > 1 and first is not null").select("payload_sha1", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    rows = index.select("page_id", "payload_sha1", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int").alias("salt"))
+    rows = index.select("page_id", "payload_sha1", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int").alias("salt"))
     found = rows.join(firsts, ["payload_sha1", "salt"]).filter(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
     return found.select("page_id", "payload_sha1", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")).distinct()
 
