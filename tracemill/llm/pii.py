@@ -59,6 +59,8 @@ HINTS = re.compile(r"mail|phone|tel|call|fax|card|visa|ip|host|contact|kontakt|c
 CARD_LENGTHS = range(13, 20)
 #: Candidates in the training sample, the share of negatives among the accepted, bins of the histogram of scores, and the least threshold.
 SAMPLE, ERROR, BINS, LEAST = 20_000, 0.01, 1000, 0.5
+#: Positives among the accepted from which on a single negative does not count.
+ENOUGH = 20
 ITEM = [("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("features", pa.list_(pa.float32()))]
 EXAMPLE = [("kind", pa.int32()), ("label", pa.float32()), ("features", pa.list_(pa.float32()))]
 FOUND = "doc_id long, base array<struct<kind:int,start:long,end:long,features:array<float>>>, wide array<struct<kind:int,start:long,end:long,features:array<float>>>, examples array<struct<kind:int,label:float,features:array<float>>>"
@@ -193,6 +195,8 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         float(after.isalnum()),
         float(bool(re.search(r"[0-9][ ().-]*$", near))),
         float(bool(re.search(r"^[ ().-]*[0-9]", then))),
+        float(len(only_digits(re.search(r"[0-9 ().-]*$", near)[0]))),
+        float(len(only_digits(re.match(r"[0-9 ().-]*", then)[0]))),
         float(bool(re.search(r"\+[0-9 ().-]*$", near))),
         float(bool(re.search(r"(?:v|version|section|release|§)\.? ?$", near, re.I))),
         float(bool(HINTS.search(near))),
@@ -379,7 +383,8 @@ def thresholds_of(counts: np.ndarray, error: float = ERROR, least: float = LEAST
     out, bins = [], counts.shape[2]
     for negative, positive in counts:
         bad, good = (np.cumsum(c[::-1])[::-1] for c in (negative, positive))
-        fine = (bad <= error * (bad + good)) & (good > 0) & (np.arange(bins) >= least * bins)
+        allowed = np.maximum(error * (bad + good), np.where(good >= ENOUGH, 1, 0))  # one is no rate: few examples do not shut a kind off
+        fine = (bad <= allowed) & (good > 0) & (np.arange(bins) >= least * bins)
         out.append(int(np.flatnonzero(fine)[0]) / bins if fine.any() else 2.0)
     return out
 
