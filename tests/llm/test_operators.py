@@ -710,3 +710,13 @@ def test_pii_forms_that_no_template_makes(spark):
         got = judge.accepted(good, more, [pii.features(text, *m) for m in more]) if more else []
         found.append((bool(got), personal))
     assert sum(got for got, personal in found if personal) >= 5 and not any(got for got, personal in found if not personal)
+
+
+def test_language_model_deals_empty_and_equal_rows(spark):
+    """Many empty texts, and rows alike in everything, are spread over parts."""
+    rows = [("", None)] * 3000 + [("the same words again and again", None)] * 2000 + [(f"words {k} of their own {k * k}", k) for k in range(500)]
+    parts = lm.parts_of(make(spark, [t for t, _ in rows], [i for _, i in rows]), part_bytes=20_000).withColumn("part", F.spark_partition_id())
+    for text in ("", "the same words again and again"):
+        sizes = [r["count"] for r in parts.filter(F.col("text") == text).groupBy("part").count().collect()]
+        total = sum(sizes)
+        assert total == {"": 3000}.get(text, 2000) and len(sizes) >= 5 and max(sizes) <= total / 2, sizes
