@@ -5,13 +5,17 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..log import EventLog
-from .ranges import with_sum_before
+from ..runtime import cut
+from .ranges import with_rank, with_sum_before
 
 
 def _unit(key: Column, seed: int, k: int) -> Column:
@@ -20,7 +24,7 @@ def _unit(key: Column, seed: int, k: int) -> Column:
 
 
 def bootstrap_fitness(replayed: DataFrame, samples: int = 200, seed: int = 0) -> DataFrame:
-    """One row: mean, low and high (2.5 and 97.5 %) of the replay fitness over resampled logs.
+    """One row: mean, low and high (2.5 and 97.5 %) of the replay fitness over resampled logs whose size varies as chance has it.
 
     A resampled count per variant is drawn from a normal approximation of the Poisson bootstrap of its cases where
     it has many, and from the Poisson distribution of that mean else; replay itself is done once.
@@ -33,12 +37,68 @@ def bootstrap_fitness(replayed: DataFrame, samples: int = 200, seed: int = 0) ->
     poisson = F.size(F.filter(F.get(steps, F.col("n").cast("int") - 1), lambda t: t < unit(3))).cast("double")
     weight = F.when(F.col("n") >= 10, F.greatest(F.round(F.col("n") + normal * F.sqrt("n")), F.lit(0.0))).otherwise(poisson)
     drawn = drawn.withColumn("w", weight)
+    return _interval(drawn)
+
+
+def _interval(drawn: DataFrame) -> DataFrame:
+    """mean, low and high of the fitness of samples: rows of a variant's tokens with its count w in a sample."""
     sums = drawn.groupBy("sample").agg(*(F.sum(F.col(k) * F.col("w")).alias(k) for k in ("missing", "consumed", "remaining", "produced")))
     part = lambda a, b: F.when(F.col(b) == 0, 1.0).otherwise(1 - F.col(a) / F.col(b))
     fit = sums.select((0.5 * part("missing", "consumed") + 0.5 * part("remaining", "produced")).alias("f"))
     return fit.agg(F.avg("f").alias("mean"), F.percentile("f", F.lit(0.025)).alias("low"), F.percentile("f", F.lit(0.975)).alias("high"))
 
 
+def _splitter(seed: int, depth: int):
+    """Deals the draws of a node in each sample to its children."""
+
+    def split(key: tuple[pa.Scalar, ...], kids: pa.Table, above: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(kids.column("place")))
+        place, cases = (np.asarray(kids.column(c))[order] for c in ("place", "cases"))
+        out = []
+        for sample, w in zip(above.column("sample").to_pylist(), above.column("w").to_pylist()):
+            rng = np.random.default_rng([seed, depth, key[0].as_py(), sample])
+            left, below = w, int(cases.sum())
+            for p, c in zip(place.tolist(), cases.tolist()):
+                if not left:
+                    break
+                k = left if c == below else int(rng.binomial(left, c / below))
+                left, below = left - k, below - c
+                if k:
+                    out.append((p, sample, k))
+        columns = zip(*out) if out else [[], [], []]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()))], ["node", "sample", "w"])
+
+    return split
+
+
+def resampled_counts(table: DataFrame, samples: int, seed: int = 0, fan_out: int = 1024) -> DataFrame:
+    """place and sample with w: how often each of the table's rows (place, n) is drawn when as many cases as there are are drawn with replacement; zeros are left out.
+
+    The draws are multinomial. They go down a tree: at each node the draws of a sample are split among at most
+    ``fan_out`` children in proportion to the cases below them, by one binomial draw after another, so every sample has exactly as
+    many cases as the log, and no task sees more than one node's children. A node's draws follow from the seed, the node and its level.
+    """
+    levels = [cut(table.select("place", F.col("n").alias("cases")), "tree")]
+    while levels[-1].count() > fan_out:
+        up = levels[-1].groupBy(F.expr(f"place div {fan_out}").alias("place")).agg(F.sum("cases").alias("cases"))
+        levels.append(cut(up, "tree"))
+    total = levels[-1].agg(F.sum("cases")).first()[0] or 0
+    spark = table.sparkSession
+    drawn = spark.range(1, samples + 1).select(F.lit(0).cast("long").alias("node"), F.col("id").cast("int").alias("sample"), F.lit(total).cast("long").alias("w"))
+    for depth, level in enumerate(reversed(levels)):
+        node = F.lit(0).cast("long") if depth == 0 else F.expr(f"place div {fan_out}")
+
+        kids = level.withColumn("of", node)
+        drawn = cut(kids.groupBy("of").cogroup(drawn.groupBy("node")).applyInArrow(_splitter(seed, depth), "node long, sample int, w long"), "drawn")
+    return drawn.withColumnRenamed("node", "place")
+
+
+def resampled_fitness(replayed: DataFrame, samples: int = 200, seed: int = 0) -> DataFrame:
+    """One row: mean, low and high (2.5 and 97.5 %) of the replay fitness over logs of the same size, drawn case by case with replacement; replay is done once."""
+    placed = cut(with_rank(replayed.select("n", "missing", "consumed", "remaining", "produced", F.array_join("variant", ",").alias("v")), [F.col("v")], "place"), "resampled")
+    return _interval(resampled_counts(placed, samples, seed).join(placed, "place"))
+
+
 def _poisson_steps(mean: float, most: int = 8) -> list[float]:
     """Cumulative probabilities of 0, 1, ... events."""
     total, out = 0.0, []
@@ -64,8 +124,25 @@ def student_tail(t: float, df: float) -> float:
     return max(0.0, 1 - 2 * area)
 
 
+def exact_u_tail(u: float, n1: int, n2: int) -> float:
+    """Two-sided p of U without ties: the share of all orders of n1 and n2 values whose U is as far from the middle; counted rank by rank."""
+    ways = np.zeros((n1 + 1, n1 * n2 + 1), dtype=object)  # how many choices of k values, by the U they give
+    ways[0, 0] = 1
+    for rank in range(n1 + n2):
+        for k in range(min(n1, rank + 1), 0, -1):  # the k-th chosen value has rank - k + 1 of the others below it
+            step = rank - k + 1
+            if step <= n2:
+                ways[k, step:] += ways[k - 1, : n1 * n2 + 1 - step]
+    far = max(u, n1 * n2 - u)
+    return min(1.0, 2 * float(Fraction(int(ways[n1, math.ceil(far) :].sum()), int(ways[n1].sum()))))
+
+
+#: Most pairs of values for which the exact distribution of U is counted, and the size of the smaller sample up to which it is asked for.
+EXACT_PAIRS, EXACT_SIZE = 100_000, 8
+
+
 def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One row: u of the smaller group name, counts and tie-corrected z; ranks are averages over ties.
+    """One row: u of the smaller group name, counts, whether there are ties, and tie-corrected z; ranks are averages over ties.
 
     Values are counted first, so that the ordered table has one row per distinct value.
     """
@@ -77,7 +154,7 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     n = F.col("n1") + F.col("n2")
     u = F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    return one.select(u.alias("u"), "n1", "n2", ((F.abs(u - F.col("n1") * F.col("n2") / 2) - 0.5) / sd).alias("z"))
+    return one.select(u.alias("u"), "n1", "n2", (F.col("ties") > 0).alias("tied"), ((F.abs(u - F.col("n1") * F.col("n2") / 2) - 0.5) / sd).alias("z"))
 
 
 def welch(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -90,10 +167,21 @@ def welch(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def compare_samples(df: DataFrame, group: str, value: str) -> dict:
-    """Statistics and two-sided p-values of both tests."""
+    """Statistics, two-sided p-values and verdict of both tests. The p of U is exact for small samples without ties, else that of its normal approximation."""
     m, w = mann_whitney(df, group, value).first(), welch(df, group, value).first()
-    p_u, p_t = normal_tail(max(0.0, m["z"])), student_tail(w["t"], w["df"])
-    return {"u": m["u"], "p_u": p_u, "t": w["t"], "p_t": p_t, "mean_a": w["mean_a"], "mean_b": w["mean_b"], "differ": p_u < 0.05}
+    exact = not m["tied"] and min(m["n1"], m["n2"]) <= EXACT_SIZE and m["n1"] * m["n2"] <= EXACT_PAIRS
+    p_u = exact_u_tail(m["u"], m["n1"], m["n2"]) if exact else normal_tail(max(0.0, m["z"]))
+    p_t = student_tail(w["t"], w["df"])
+    return {"u": m["u"], "n1": m["n1"], "n2": m["n2"], "p_u": p_u, "exact": exact, "t": w["t"], "p_t": p_t, "mean_a": w["mean_a"], "mean_b": w["mean_b"], "differ": p_u < 0.05}
+
+
+def comparison(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``compare_samples`` as one row, with the verdict in words: which of the two groups is higher, or that the test sees no difference."""
+    found = compare_samples(df, group, value)
+    names = sorted(r[0] for r in df.select(group).distinct().limit(3).collect())
+    higher = names[0] if found["mean_a"] > found["mean_b"] else names[1]
+    verdict = f"{higher} is higher" if found["differ"] else "no difference"
+    return df.sparkSession.createDataFrame([(*found.values(), verdict)], "u double, n1 long, n2 long, p_u double, exact boolean, t double, p_t double, mean_a double, mean_b double, differ boolean, verdict string")
 
 
 def parse_values(text: str) -> list:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+import re
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,9 +16,11 @@ from .variants import sequences
 
 
 def time_frame(log: EventLog, start: datetime | str, end: datetime | str, mode: str = "contained") -> EventLog:
-    """Cases whose span over all their events is contained in, started in, or intersects [start, end]."""
+    """Cases whose span over all their events is contained in, started in, or intersects [start, end]; an end without a time is that whole day."""
     span = log.events.groupBy("case_id").agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
     a, b = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    if isinstance(end, str) and re.fullmatch(r"\s*\d{4}-\d{2}-\d{2}\s*", end) or isinstance(end, date) and not isinstance(end, datetime):
+        b = b + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MICROSECOND")
     test = {
         "contained": (F.col("low") >= a) & (F.col("high") <= b),
         "started": (F.col("low") >= a) & (F.col("low") <= b),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..log import BY_NAME, BY_NAME_COMPLETE, Classifier, EventLog
-from .ranges import with_rank, with_sum_before
+from .ranges import with_place, with_rank, with_sum_before
 
 
 def has_lifecycle_pairs(log: EventLog) -> bool:
@@ -39,6 +39,69 @@ def variants(log: EventLog, classifier: Classifier = BY_NAME) -> DataFrame:
     return sequences(log, classifier).groupBy("variant").agg(F.count("*").alias("n"), F.min("first").alias("first"))
 
 
+# Two moduli (primes under 2^31) and a base for each.
+MODULI = ((2147483647, 1000003), (2147483629, 998244353))
+#: Digits of a place, to the base 64, that powers are looked up for: 6 are 68 billion events.
+DIGITS, DIGIT_BITS = 6, 6
+
+
+def _power(base: int, place: Column, modulus: int) -> Column:
+    """base ** place modulo modulus: one factor per digit of the place, from tables of the digit's powers."""
+    out = None
+    for d in range(DIGITS):
+        step = pow(base, 1 << DIGIT_BITS * d, modulus)
+        powers = ", ".join(f"{pow(step, k, modulus)}L" for k in range(1 << DIGIT_BITS))
+        digit = F.shiftright(place, DIGIT_BITS * d).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1).cast("long")).cast("int")
+        factor = F.get(F.expr(f"array({powers})"), digit)
+        out = factor if out is None else F.pmod(out * factor, F.lit(modulus))
+    return out
+
+
+def _codes(label: Column) -> list[Column]:
+    """A number under each modulus that follows from a label."""
+    digest = F.sha2(label, 256)
+    return [1 + F.conv(F.substring(digest, 1 + 7 * k, 7), 16, 10).cast("long") for k in range(len(MODULI))]
+
+
+def _written(size: Column, sums: list[Column]) -> Column:
+    return F.concat_ws("-", size.cast("string"), *(F.pmod(x, F.lit(m)).cast("string") for x, (m, _) in zip(sums, MODULI)))
+
+
+def sequence_digests(log: EventLog, classifier: Classifier = BY_NAME) -> DataFrame:
+    """case_id, first, length and digest of the case's sequence, without gathering it: for cases of any length.
+
+    A digest is the length and, for each modulus, the sum of label code times base to the power of the place. The sums of
+    a sequence's parts add up whatever the parts are, so events are summed where they are read, and each task sends a row
+    per case. Two different sequences of n labels share a digest with a chance of about (n / 2^31)^2.
+    """
+    taken = labelled_places(log, classifier)
+    terms = [F.pmod(c * _power(b, F.col("at"), m), F.lit(m)) for c, (m, b) in zip(_codes(F.col("label")), MODULI)]
+    sums = taken.groupBy("case_id").agg(F.count("*").alias("length"), *(F.sum(t).alias(f"s{k}") for k, t in enumerate(terms)))
+    found = log.cases.select("case_id", "first").join(sums, "case_id", "left").fillna(0, ["length", *(f"s{k}" for k in range(len(MODULI)))])
+    return found.select("case_id", "first", "length", _written(F.col("length"), [F.col(f"s{k}") for k in range(len(MODULI))]).alias("digest"))
+
+
+def labelled_places(log: EventLog, classifier: Classifier) -> DataFrame:
+    """case_id, label and place among the accepted events; very long cases are numbered by several tasks."""
+    taken = log.events.filter(classifier.accepts()).select("case_id", "pos", classifier.label().alias("label"))
+    return with_place(taken, ["case_id"], [F.col("pos")], "at")
+
+
+def digest_of(variant: Column) -> Column:
+    """The digest of a sequence given as an array."""
+
+    def total(k: int, m: int, b: int) -> Column:
+        terms = F.transform(variant, lambda x, i: F.pmod(_codes(x)[k] * _power(b, i.cast("long"), m), F.lit(m)))
+        return F.aggregate(terms, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    return _written(F.size(variant), [total(k, *pair) for k, pair in enumerate(MODULI)])
+
+
+def variant_counts(log: EventLog, classifier: Classifier = BY_NAME) -> DataFrame:
+    """digest, length, n, first, and example, a case of the variant: the multiset of sequences of cases of any length."""
+    return sequence_digests(log, classifier).groupBy("digest", "length").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.min("case_id").alias("example"))
+
+
 def ranked_variants(table: DataFrame) -> DataFrame:
     """Adds rank (by falling count, then sequence), share and length."""
     total = table.agg(F.sum("n").alias("total"))

@@ -8,7 +8,7 @@ from .. import functions as X
 from ..log import to_table
 from ..operators import dfg as G
 from ..operators import edits, filters, objects, statistics, timeline
-from ..operators.variants import expand, has_lifecycle_pairs, notation, sequences, variants
+from ..operators.variants import expand, has_lifecycle_pairs, notation, sequences, variant_counts, variants
 from .base import CONV, EDGES, LINES, OC, USER, USERDAY, conversations, half_month, order_lines, order_objects, query, rounded, table, text, user_days, users
 
 BIG = "CAST({} AS BIGINT)".format
@@ -75,6 +75,14 @@ def l4_variants(spark, d):
     return variants(order_lines(spark, d)).select(text("variant").alias("variant"), "n")
 
 
+@query(f"""WITH RECURSIVE {USER}, w AS (SELECT max(pos) AS most FROM e), pw(i, p0, p1) AS (SELECT 0, 1::BIGINT, 1::BIGINT UNION ALL SELECT i + 1, p0 * 1000003 % 2147483647, p1 * 998244353 % 2147483629 FROM pw, w WHERE i < most),
+h AS (SELECT activity, 1 + ('0x' || substr(sha256(activity), 1, 7))::BIGINT AS c0, 1 + ('0x' || substr(sha256(activity), 8, 7))::BIGINT AS c1 FROM (SELECT DISTINCT activity FROM e)),
+d AS (SELECT case_id, count(*) AS length, sum(c0 * p0 % 2147483647) % 2147483647 AS s0, sum(c1 * p1 % 2147483629) % 2147483629 AS s1 FROM e JOIN pw ON i = pos JOIN h USING (activity) GROUP BY case_id)
+SELECT concat_ws('-', length, s0, s1) AS digest, length, count(*) AS n, min(case_id) AS example FROM d GROUP BY ALL""")
+def l4_variant_digests(spark, d):
+    return variant_counts(users(spark, d)).select("digest", "length", "n", "example")
+
+
 @query(f"WITH {CONV} SELECT count(*) AS cases, CAST(sum(len) AS BIGINT) AS events FROM seq")
 def l5_expand(spark, d):
     log = expand(variants(conversations(spark, d)))
@@ -125,7 +133,7 @@ def _cases(log):
 SPAN = "SELECT case_id, len AS events FROM seq WHERE {}"
 
 
-@query(f"WITH {USERDAY}, m AS (SELECT min(ts) AS t0 FROM events) " + "SELECT case_id, len AS events FROM seq, m WHERE low >= date_trunc('day', t0) + INTERVAL 5 DAY AND high <= date_trunc('day', t0) + INTERVAL 12 DAY")
+@query(f"WITH {USERDAY}, m AS (SELECT min(ts) AS t0 FROM events) " + "SELECT case_id, len AS events FROM seq, m WHERE low >= date_trunc('day', t0) + INTERVAL 5 DAY AND high < date_trunc('day', t0) + INTERVAL 13 DAY")
 def f1_time_frame(spark, d):
     t0 = table(spark, d, "events").agg(F.date_format(F.date_trunc("day", F.min("ts")), "yyyy-MM-dd").alias("t")).first()["t"]
     from datetime import date, timedelta

@@ -10,7 +10,7 @@ from ..operators import dfg as G
 from ..operators.variants import variants
 from ..plans import check_fit
 from ..runtime import cut
-from .base import CONV, EDGES, LINES, USER, USERDAY, conversations, half_month, order_lines, query, rounded, text, user_days, users
+from .base import CONV, EDGES, LINES, USER, USERDAY, conversations, half_month, order_lines, query, rounded, table, text, user_days, users
 
 
 @query(f"WITH {CONV}, {EDGES} SELECT (SELECT string_agg(activity, ',' ORDER BY activity) FROM nodes) AS t_l, (SELECT string_agg(activity, ',' ORDER BY activity) FROM nodes WHERE n_start > 0) AS t_i, (SELECT string_agg(activity, ',' ORDER BY activity) FROM nodes WHERE n_end > 0) AS t_o")
@@ -290,6 +290,14 @@ def p4_index_features(spark, d):
     return rows.select("case_id", "prefix_length", F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("features"))
 
 
+@query(f"""WITH {USERDAY}, {PREF}, k AS (SELECT case_id, prefix_length, string_split(prefix, ',')[-2:] AS f FROM pr WHERE prefix_length <= 20),
+w AS (SELECT case_id, prefix_length, list_transform(range(2 - len(f)), lambda x: NULL::VARCHAR) || f AS f FROM k)
+SELECT case_id, CAST(prefix_length AS INT) AS prefix_length, array_to_string(list_transform(f, lambda x: coalesce((x = 'view')::INT, 0) || ',' || coalesce((x = 'click')::INT, 0) || ',' || coalesce((x = 'purchase')::INT, 0)), ',') AS features FROM w""")
+def p4_one_hot_features(spark, d):
+    rows = prediction.one_hot_features(prediction.prefix_rows(user_days(spark, d)), ["view", "click", "purchase"], 2)
+    return rows.select("case_id", "prefix_length", F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("features"))
+
+
 @query(f"""WITH {USERDAY}, {PREF}, c AS (SELECT case_id, row_number() OVER (ORDER BY min(case_start), case_id) AS r, count(*) OVER () AS m FROM pr WHERE prefix_length <= 20 GROUP BY case_id)
 SELECT case_id FROM c WHERE r <= greatest(round_even(m * 0.7, 0), 1)""")
 def p5_split_by_time(spark, d):
@@ -339,6 +347,23 @@ def e1_bootstrap(spark, d):
     return rounded(experiments.bootstrap_fitness(replayed, 200, 3))
 
 
+@query()
+def e1_resampled(spark, d):
+    replayed = conformance.token_replay(variants(conversations(spark, d)), _conversation_net())
+    return rounded(experiments.resampled_fitness(replayed, 200, 3))
+
+
+@query("""WITH x AS (SELECT hour(ts) >= 8 AS late, hour(ts) AS h, sum(value) AS v FROM events WHERE hour(ts) < 16 GROUP BY ALL), r AS (SELECT late, row_number() OVER (ORDER BY v) AS k FROM x),
+o AS (SELECT sum(k) FILTER (WHERE NOT late) - 36 AS u FROM r), a AS (SELECT list_sum(list_transform(range(16), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN i + 1 ELSE 0 END)) - 36 AS u FROM range(65536) t(m) WHERE bit_count(m) = 8),
+p AS (SELECT o.u, least(1.0::DOUBLE, 2.0::DOUBLE * count(*) FILTER (WHERE a.u >= greatest(o.u, 64 - o.u)) / count(*)) AS p_u FROM o, a GROUP BY o.u)
+SELECT u::DOUBLE AS u, round(p_u, 9) AS p_u, true AS exact, p_u < 0.05 AS differ, CASE WHEN p_u >= 0.05 THEN 'no difference' WHEN (SELECT avg(v) FILTER (WHERE NOT late) > avg(v) FILTER (WHERE late) FROM x) THEN 'early is higher' ELSE 'late is higher' END AS verdict FROM p""")
+def e2_exact(spark, d):
+    """The values of eight hours of the night against those of eight hours of the day."""
+    hour = F.hour("ts")
+    rows = table(spark, d, "events").filter(hour < 16).groupBy(F.when(hour < 8, "early").otherwise("late").alias("part"), hour.alias("h")).agg(F.sum("value").alias("v"))
+    return rounded(experiments.comparison(rows, "part", "v").select("u", "p_u", "exact", "differ", "verdict"), 9)
+
+
 @query(f"""WITH {USERDAY}, x AS (SELECT right(case_id, 2)::INT > 15 AS late, len AS v FROM seq), r AS (SELECT late, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS k FROM x)
 SELECT round(sum(k) FILTER (WHERE NOT late) - count(*) FILTER (WHERE NOT late) * (count(*) FILTER (WHERE NOT late) + 1) / 2.0, 4) AS u, count(*) FILTER (WHERE NOT late) AS n1, count(*) FILTER (WHERE late) AS n2 FROM r""")
 def e2_mann_whitney(spark, d):
