@@ -187,3 +187,23 @@ def test_forest_learns_what_decides(spark):
 def test_loops_are_told_in_dependencies(spark):
     found = {(r["a"], r["b"]): (r["n"], round(r["value"], 6)) for r in heuristics.two_loops(variants_of(spark, REPEATS)).collect()}
     assert found == {("ask", "check"): (1, 0.5)}
+
+
+def test_graphs_without_an_activity(spark):
+    """From triples of runs, as from the log with the activity taken out."""
+    rng = random.Random(10)
+    logs = spark.createDataFrame([(rng.choice(["0", "0.1"]), [rng.choice("abcd") for _ in range(rng.randint(0, 7))], rng.randint(1, 3)) for _ in range(60)], "node string, variant array<string>, n long")
+    graphs, without = inductive._graphs(logs), inductive.Without(logs, ["0", "0.1"])
+    for x in "abcd":
+        plain = inductive._graphs(logs.withColumn("variant", F.array_remove("variant", x)))
+        for node in ("0", "0.1"):
+            assert without.graph(node, graphs[node]["graph"], x) == plain[node]["graph"]
+
+
+def test_large_alphabets(spark):
+    """Two thousand activities in a row, the middle ones in any order: one sequence with one parallel part."""
+    names = [f"a{k:04d}" for k in range(2000)]
+    one = names[:1000] + ["p", "q"] + names[1000:]
+    two = names[:1000] + ["q", "p"] + names[1000:]
+    tree, _ = inductive.inductive_miner(spark.createDataFrame([(one, 3), (two, 1)], "variant array<string>, n long"))
+    assert tree.operator == inductive.SEQUENCE and len(tree.children) == 2001 and str(tree.children[1000]) == "∧(p, q)"

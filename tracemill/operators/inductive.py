@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import defaultdict
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,12 +132,17 @@ def _components(names: list[str], near) -> list[list[str]]:
 
 
 def _closure(g: Graph) -> dict[str, set[str]]:
-    after = {a: {b for (x, b) in g.edges if x == a} for a in g.activities}
-    for k in g.activities:
-        for a in g.activities:
-            if k in after[a]:
-                after[a] |= after[k]
-    return after
+    """What each activity leads to, by one or more edges: the relation is squared until nothing is added."""
+    place = {a: k for k, a in enumerate(g.activities)}
+    reach = np.zeros((len(place), len(place)), bool)
+    for a, b in g.edges:
+        reach[place[a], place[b]] = True
+    while True:
+        steps = reach.astype(np.float32)
+        further = reach | (steps @ steps > 0)
+        if (further == reach).all():
+            return {a: {g.activities[j] for j in np.flatnonzero(reach[k]).tolist()} for a, k in place.items()}
+        reach = further
 
 
 def exclusive_cut(g: Graph) -> list[list[str]] | None:
@@ -178,17 +184,17 @@ def loop_cut(g: Graph) -> list[list[str]] | None:
     the body.
     """
     starts, ends = set(g.starts), set(g.ends)
-    redo = []
-    for part in _components([a for a in g.activities if a not in starts | ends], lambda a, b: (a, b) in g.edges or (b, a) in g.edges):
-        entries: dict[str, set[str]] = {}
-        exits: dict[str, set[str]] = {}
-        for a, b in g.edges:
-            if b in part and a not in part:
-                entries.setdefault(b, set()).add(a)
-            elif a in part and b not in part:
-                exits.setdefault(a, set()).add(b)
-        if entries and exits and all(x == ends for x in entries.values()) and all(x == starts for x in exits.values()):
-            redo.append(part)
+    parts = _components([a for a in g.activities if a not in starts | ends], lambda a, b: (a, b) in g.edges or (b, a) in g.edges)
+    owner = {a: k for k, part in enumerate(parts) for a in part}
+    entries, exits = ([defaultdict(set) for _ in parts] for _ in range(2))
+    for a, b in g.edges:
+        k, m = owner.get(a), owner.get(b)
+        if k != m:
+            if m is not None:
+                entries[m][b].add(a)
+            if k is not None:
+                exits[k][a].add(b)
+    redo = [part for part, into, out in zip(parts, entries, exits) if into and out and all(x == ends for x in into.values()) and all(x == starts for x in out.values())]
     return [sorted(set(g.activities).difference(*redo)), *redo] if redo else None
 
 
@@ -229,6 +235,37 @@ def _graphs(logs: DataFrame) -> dict[str, dict]:
     return out
 
 
+class Without:
+    """The graphs that nodes would have without one of their activities."""
+
+    def __init__(self, logs: DataFrame, nodes: list[str]):
+        """Counts triples of successive runs of one activity, and the first and last two runs, in the logs of the nodes."""
+        spark = logs.sparkSession
+        mine = logs.join(F.broadcast(spark.createDataFrame([(n,) for n in nodes], "node string")), "node")  # open nodes of one level
+        runs = F.transform(F.filter(F.transform("variant", lambda x, i: F.struct(x.alias("a"), ((i == 0) | (F.get("variant", i - 1) != x)).alias("new"))), lambda x: x["new"]), lambda x: x["a"])
+        rows = mine.select("node", "n", runs.alias("r"))
+        none = F.lit(None).cast("string")
+        inner = F.transform(F.sequence(F.lit(0), F.size("r") - 3), lambda i: F.struct(F.get("r", i).alias("a"), F.get("r", i + 1).alias("x"), F.get("r", i + 2).alias("b")))
+        ends = F.array(F.struct(none.alias("a"), F.get("r", F.lit(0)).alias("x"), F.get("r", F.lit(1)).alias("b")), F.struct(F.get("r", F.size("r") - 2).alias("a"), F.get("r", F.size("r") - 1).alias("x"), none.alias("b")))
+        at = F.explode(F.concat(ends, F.when(F.size("r") > 2, inner).otherwise(F.array().cast("array<struct<a:string,x:string,b:string>>"))))
+        self.met: dict[tuple[str, str], list[tuple]] = defaultdict(list)
+        for r in rows_of(rows.filter(F.size("r") > 1).select("node", "n", at.alias("t")).groupBy("node", "t.a", "t.x", "t.b").agg(F.sum("n").alias("n"))):
+            self.met[r["node"], r["x"]].append((r["a"], r["b"], r["n"]))
+
+    def graph(self, node: str, g: Graph, x: str) -> Graph:
+        """g, the node's graph, without x: where a run of x stood between two activities, these follow each other."""
+        edges = defaultdict(int, {e: n for e, n in g.edges.items() if x not in e})
+        starts, ends = (defaultdict(int, {a: n for a, n in d.items() if a != x}) for d in (g.starts, g.ends))
+        for a, b, n in self.met[node, x]:
+            if a is None:
+                starts[b] += n
+            elif b is None:
+                ends[a] += n
+            else:
+                edges[a, b] += n
+        return Graph([a for a in g.activities if a != x], dict(edges), dict(starts), dict(ends))
+
+
 def _pieces(variant: list[str], plan: tuple) -> list[tuple[int, list[str]]]:
     """(child number, sub-trace) of one trace under a plan."""
     kind = plan[0]
@@ -333,15 +370,11 @@ def inductive_miner(table: DataFrame, noise_threshold: float = 0.0) -> tuple[Tre
                     else:
                         undecided.append(node)
         if undecided:
-            trial = [(n, a) for n in undecided if len(found[n]["graph"].activities) > 2 for a in found[n]["graph"].activities]
-            without: dict[str, dict] = {}
-            if trial:
-                tried = F.broadcast(spark.createDataFrame(trial, "node string, without string"))
-                shorter = logs.join(tried, "node").select(F.concat("node", F.lit("\x1f"), "without").alias("node"), F.filter("variant", lambda x: x != F.col("without")).alias("variant"), "n")
-                without = _graphs(shorter)
+            large = [n for n in undecided if len(found[n]["graph"].activities) > 2]
+            without = Without(logs, large) if large else None
             for node in undecided:
                 tree, g = open_[node], found[node]["graph"]
-                free = next((a for a in g.activities if len(g.activities) > 2 and find_cut(without[f"{node}\x1f{a}"]["graph"])), None)
+                free = next((a for a in g.activities if find_cut(without.graph(node, g, a))), None) if len(g.activities) > 2 else None
                 strict = {e for e in g.edges if e[0] in g.ends and e[1] in g.starts}
                 loose = {e for e in g.edges if e[1] in g.starts}
                 if free is not None:
