@@ -183,3 +183,30 @@ def test_ranges_against_sorting(spark, monkeypatch):
     for g in "ab":
         x = [v for h, v, _ in rows if h == g and v is not None]
         assert q[g][1] == statistics.median(x) and q[g][0] == pytest.approx(statistics.quantiles(x, n=4, method="inclusive")[0])
+
+
+def test_alignments_of_many_concurrent_steps(spark):
+    """A net of 2^12 markings and a bound of 900: what the trace itself reaches is little, so costs are exact."""
+    from tracemill.nets import Net
+
+    names = [f"s{k}" for k in range(12)]
+    net = Net()
+    net.place("in", first=1)
+    net.place("out", last=1)
+    for n in names:
+        net.place(f"a{n}")
+        net.place(f"b{n}")
+    net.transition("fork", None, ["in"], [f"a{n}" for n in names])
+    for n in names:
+        net.transition(n, n, [f"a{n}"], [f"b{n}"])
+    net.transition("join", None, [f"b{n}" for n in names], ["out"])
+    play = net.play()
+    rng = random.Random(3)
+    assert play.run_cost(900) == (float("inf"), float("inf")) and play.run_cost() == (12, 2)
+    for extra in ([], ["sing"], ["s3"]):
+        trace = rng.sample(names, 12)
+        for x in extra:
+            trace.insert(rng.randint(0, 12), x)
+        cost, moves = play.align(trace, most=900)
+        assert cost == len(extra) and sum(m[3] in ("log", "model") for m in moves) == cost
+    assert play.align(names[:6], most=900)[0] in (None, 6)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import math
 import operator
 from dataclasses import dataclass, field
 
@@ -40,7 +41,8 @@ class Net:
 
     def shortest_run(self) -> int:
         """Visible firings of a shortest run; 0 if none ends properly."""
-        return (self.play().run_cost() or (0, 0))[0]
+        least = (self.play().run_cost() or (0, 0))[0]
+        return 0 if math.isinf(least) else int(least)
 
     @property
     def silent(self) -> list[str]:
@@ -105,6 +107,7 @@ class Play:
         self.known = {x for x in self.labels if x is not None}
         self._moves: dict[tuple, list[tuple[int, tuple]]] = {}
         self._quiet: dict[tuple, dict] = {}
+        self._least: dict[int, tuple[float, float] | None] = {}
 
     def moves(self, marking: tuple) -> list[tuple[int, tuple]]:
         """The transitions that can fire, in the net's order, and where each leads."""
@@ -194,10 +197,12 @@ class Play:
         surplus = np.array(marking, np.int64) - self.end
         return firings, unknown, np.maximum(-surplus, 0), np.maximum(surplus, 0)
 
-    def run_cost(self, most: int = MARKINGS) -> tuple[int, int] | None:
-        """Visible and silent firings of a shortest run of the net."""
-        reached = self.spread({self.begin: (0, 0)}, self._price, stop=lambda m: m == self.end, most=most)
-        return reached[self.end][0] if reached and self.end in reached else None
+    def run_cost(self, most: int = MARKINGS) -> tuple[float, float] | None:
+        """Visible and silent firings of a shortest run of the net; None if it cannot end, infinite where over ``most`` markings would have to be held to tell."""
+        if most not in self._least:
+            reached = self.spread({self.begin: (0, 0)}, self._price, stop=lambda m: m == self.end, most=most)
+            self._least[most] = (math.inf, math.inf) if reached is None else reached[self.end][0] if self.end in reached else None
+        return self._least[most]
 
     def _price(self, t: int) -> tuple[int, int]:
         return (0, 1) if self.labels[t] is None else (1, 0)
@@ -205,20 +210,34 @@ class Play:
     def align(self, trace: list[str], most: int = MARKINGS) -> tuple[int | None, list[tuple[str | None, str | None, str, str]]]:
         """Fewest deviations (then silent firings) and the moves (log, model, transition, kind); None where over ``most`` markings would have to be held.
 
-        One layer of markings for each position of the trace: firings of the net alone spread inside a layer, and a log
-        move or a firing together with the trace leads to the next one. No cost above that of leaving the trace and
-        taking a shortest run is followed.
+        Alignments of at most 0, 1, 2, 4, ... deviations are looked for in turn, up to those of leaving the trace and
+        taking a shortest run. The first search that finds one has seen all cheaper ones, so its cost is exact; and it holds
+        only markings that so many deviations reach, however many the net has.
         """
         least = self.run_cost(most)
         if least is None:
             return None, []
-        limit = (least[0] + len(trace), least[1])
+        worst, bound = least[0] + len(trace), 0
+        while True:
+            found = self._within(trace, (bound, math.inf) if bound < worst else (worst, least[1]), most)
+            if found is None or found[0] is not None:
+                return found or (None, [])
+            bound = min(worst, max(1, 2 * bound))
+
+    def _within(self, trace: list[str], limit: tuple[float, float], most: int) -> tuple[int | None, list[tuple[str | None, str | None, str, str]]] | None:
+        """A cheapest alignment of at most ``limit``, (None, []) if there is none; None where a layer has over ``most`` markings.
+
+        One layer of markings for each position of the trace: firings of the net alone spread inside a layer, and a log
+        move or a firing together with the trace leads to the next one.
+        """
         entry: dict[tuple, tuple] = {self.begin: ((0, 0), None, None)}
         layers = []
         for label in [*trace, None]:
             last = len(layers) == len(trace)
             reached = self.spread({m: e[0] for m, e in entry.items()}, self._price, limit, (lambda m: m == self.end) if last else None, most)
             if reached is None:
+                return None
+            if not reached or last and self.end not in reached:
                 return None, []
             layers.append((entry, reached))
             if last:
