@@ -720,3 +720,38 @@ def test_language_model_deals_empty_and_equal_rows(spark):
         sizes = [r["count"] for r in parts.filter(F.col("text") == text).groupBy("part").count().collect()]
         total = sum(sizes)
         assert total == {"": 3000}.get(text, 2000) and len(sizes) >= 5 and max(sizes) <= total / 2, sizes
+
+
+def test_bpe_long_text_in_bounded_memory(spark, monkeypatch):
+    """A long text's ids and text pass block by block: the peak besides the text does not follow its length."""
+    import tracemalloc
+
+    vocab = bpe.vocabulary(vocabulary_path())
+    peaks = []
+    for size in (150_000, 600_000):
+        text = ("words of some length, and numbers 12345 " * (size // 40 + 1))[:size] + "é<|endoftext|> end"
+        library = Tokenizer_().encode(text, add_special_tokens=False).ids if size < 300_000 else None
+        list(bpe.stream(text[:5000], vocab))
+        tracemalloc.start()
+        one = bpe.Digests(vocab)
+        for ids in bpe.stream(text, vocab):
+            one.feed(ids)
+        peaks.append(tracemalloc.get_traced_memory()[1] - len(text) * 2)
+        tracemalloc.stop()
+        if library is not None:
+            assert one.row()[:2] == (len(library), hashlib.sha256(np.array(library, "<u4").tobytes()).hexdigest())
+    assert peaks[1] < 1.5 * peaks[0] + (4 << 20), peaks
+
+
+def Tokenizer_():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary_path())
+
+
+def test_bpe_round_trip_of_a_text_longer_than_a_slice(spark):
+    text = "Some words that come again, é 日本 <|endoftext|> " * 60_000
+    found = bpe.round_trip(make(spark, [text, "short"])).orderBy("doc_id").collect()
+    ids = Tokenizer_().encode(text, add_special_tokens=False).ids
+    assert (found[0]["n_tokens"], found[0]["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+    assert found[0]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest() and found[1]["n_tokens"] == 1

@@ -5,8 +5,10 @@ transducer reads pre-tokens byte by byte, all of a slice in step: for every byte
 ends there in the encoding of what was read so far. A token may end there if the token before its start can stand in
 front of it, and that follows from undoing the merges at their border, latest first (``Vocabulary.fits``). A token starts
 within the length of the longest token before its end; that is the sufficient lookahead of the merge list, so whatever
-all prefixes in that window agree on is stable and is emitted. Pre-tokens of over STREAMED bytes run through
-``Transducer`` one by one, which holds only the window and the tokens not yet agreed on.
+all prefixes in that window agree on is stable and is emitted. Pre-tokens within the window are emitted at their end, as
+all their prefixes are in it; longer ones (over STREAMED bytes) run through ``Transducer`` one by one, which emits what is
+stable and holds only the window and the tokens not yet agreed on. Long texts pass block by block, ids are hashed and
+decoded as they come, so besides the text itself memory does not follow its length.
 
 ``merge`` and ``Vocabulary.short_pieces`` merge by rank instead; tests hold both against the library, and packing uses the latter.
 
@@ -37,7 +39,8 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 # The contractions that the pre-token pattern splits off.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 SPACE, LETTER, NUMBER, OTHER, BREAK = range(5)
-SHORT, STREAMED = 64, 4096
+#: Bytes of a pre-token up to which it is merged by rank in arrays, and up to which it is read in step: the lookahead of the public vocabulary.
+SHORT, STREAMED = 64, 128
 #: Characters of a text that are cut into pre-tokens at a time, and pre-tokens at a block's end that wait for what follows:
 #: the text behind them can change the last one and, by a contraction, the one before it.
 BLOCK, WAITING = 1 << 18, 3
@@ -550,24 +553,59 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+class Digests:
+    """Number of ids of one text, and digests of the ids and of the text that they decode to, taken as ids come."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.decoder, self.n, self.ids, self.text = Decoder(vocab), 0, hashlib.sha256(), hashlib.sha256()
+
+    def feed(self, ids: np.ndarray, block: int = 1 << 16) -> Digests:
+        self.n += len(ids)
+        self.ids.update(ids.astype("<u4").tobytes())
+        for at in range(0, len(ids), block):
+            self.text.update(self.decoder.feed(ids[at : at + block].astype(np.int64)).encode())
+        return self
+
+    def row(self) -> tuple[int, str, str]:
+        self.text.update(self.decoder.feed(np.empty(0, np.int64), True).encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
+
+
+def stream(text: str, vocab: Vocabulary) -> Iterator[np.ndarray]:
+    """The ids of a text, block by block; special tokens where their strings stand."""
+    import re
+
+    parts = re.split("(" + "|".join(re.escape(s) for s in sorted(vocab.specials, key=len, reverse=True)) + ")", text) if vocab.specials else [text]
+    for k, part in enumerate(parts):
+        if k % 2:
+            yield np.array([vocab.specials[part]], np.uint32)
+            continue
+        for pieces in blocks(part):
+            coded = pieces.dictionary_encode()
+            flat, lengths = vocab.pieces(coded.dictionary, True)
+            which = np.asarray(coded.indices, dtype=np.int64)
+            yield flat[ragged((np.cumsum(lengths) - lengths)[which], lengths[which])]
+
+
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: number of ids, their digest, and the digest of the text that they decode to.
 
-    Each text is encoded and decoded in the task that read it; nothing is shuffled.
+    Each text is encoded and decoded in the task that read it, a long one block by block; nothing is shuffled.
     """
     path = vocabulary_path(path)
 
     def each(part: pa.RecordBatch) -> pa.RecordBatch:
-        v = vocabulary(path)
-        ids, offsets = encode_texts(strings(part, "text").to_pylist(), v, True)
-        n, id_hash, text_hash = np.diff(offsets), [], []
-        little = ids.astype("<u4", copy=False)
-        for a, b in zip(offsets[:-1], offsets[1:]):
-            id_hash.append(hashlib.sha256(little[a:b].tobytes()).hexdigest())
-            digest = hashlib.sha256()
-            for text in decode(ids[a:b].astype(np.int64), v):
-                digest.update(text.encode())
-            text_hash.append(digest.hexdigest())
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(id_hash), pa.array(text_hash)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        v, texts = vocabulary(path), strings(part, "text").to_pylist()
+        rows: list[tuple[int, str, str]] = []
+        if len(texts) == 1 and len(texts[0]) > BLOCK:  # a text longer than a slice comes alone
+            one = Digests(v)
+            for ids in stream(texts[0], v):
+                one.feed(ids)
+            rows.append(one.row())
+        else:
+            ids, offsets = encode_texts(texts, v, True)
+            rows += [Digests(v).feed(ids[a:b]).row() for a, b in zip(offsets[:-1], offsets[1:])]
+        n, id_hash, text_hash = zip(*rows)
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(id_hash), pa.array(text_hash)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(by_slice("text", each), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
