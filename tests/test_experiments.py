@@ -207,3 +207,41 @@ def test_large_alphabets(spark):
     two = names[:1000] + ["q", "p"] + names[1000:]
     tree, _ = inductive.inductive_miner(spark.createDataFrame([(one, 3), (two, 1)], "variant array<string>, n long"))
     assert tree.operator == inductive.SEQUENCE and len(tree.children) == 2001 and str(tree.children[1000]) == "∧(p, q)"
+
+
+def split_by_hand(variant, kind, groups):
+    """(child, sub-trace) of one trace."""
+    if kind in ("rest", "drop"):
+        return [(0, variant)] if variant else []
+    if kind == inductive.XOR:
+        k = max(range(len(groups)), key=lambda k: (sum(a in groups[k] for a in variant), -k))
+        return [(k, [a for a in variant if a in groups[k]])]
+    if kind in (inductive.SEQUENCE, inductive.PARALLEL):
+        return [(k, [a for a in variant if a in g]) for k, g in enumerate(groups)]
+    out = []
+    if kind == inductive.LOOP:
+        for a in variant:
+            k = next((k for k, g in enumerate(groups) if a in g), 0)
+            if out and out[-1][0] == k:
+                out[-1][1].append(a)
+            else:
+                out += [(0, [])] * (k > 0 and (not out or out[-1][0] > 0)) + [(k, [a])]
+        return out if out and out[-1][0] == 0 else [*out, (0, [])]
+    at = [0, *(i for i in range(1, len(variant)) if [variant[i - 1], variant[i]] in groups), len(variant)]
+    return [(0, variant[x:y]) for x, y in zip(at, at[1:])] if variant else [(0, [])]
+
+
+@pytest.mark.parametrize("kind,groups", [
+    ("rest", None), ("drop", None), (inductive.XOR, [["a", "c"], ["b", "d"]]), (inductive.SEQUENCE, [["b"], ["a", "d"], ["c"]]), (inductive.PARALLEL, [["a"], ["b", "c", "d"]]),
+    (inductive.LOOP, [["a", "b"], ["c"], ["d"]]), ("cut at", [["a", "b"], ["b", "b"], ["c", "a"]]),
+])
+def test_sublogs_by_hand(spark, kind, groups):
+    rng = random.Random(11)
+    rows = [(rng.choice(["0", "0.3"]), [rng.choice("abcd") for _ in range(rng.randint(0, 6))], rng.randint(1, 3)) for _ in range(80)]
+    plan = (kind,) if groups is None else (kind, groups)
+    want = Counter()
+    for node, variant, n in rows:
+        for k, piece in split_by_hand(variant, kind, groups):
+            want[f"{node}.{k}", ",".join(piece)] += n
+    found = inductive.split_logs(spark.createDataFrame(rows, "node string, variant array<string>, n long"), {"0": plan, "0.3": plan, "0.9": plan})
+    assert {(r["node"], ",".join(r["variant"])): r["n"] for r in found.collect()} == want

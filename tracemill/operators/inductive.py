@@ -11,7 +11,6 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -266,50 +265,60 @@ class Without:
         return Graph([a for a in g.activities if a != x], dict(edges), dict(starts), dict(ends))
 
 
-def _pieces(variant: list[str], plan: tuple) -> list[tuple[int, list[str]]]:
-    """(child number, sub-trace) of one trace under a plan."""
-    kind = plan[0]
-    if kind == "rest":  # the non-empty traces
-        return [(0, variant)] if variant else []
-    if kind == "drop":
-        return [(0, variant)] if variant else []
-    if kind == XOR:
-        groups = plan[1]
-        best = max(range(len(groups)), key=lambda k: (sum(a in groups[k] for a in variant), -k))
-        return [(best, [a for a in variant if a in groups[best]])]
-    if kind in (SEQUENCE, PARALLEL):
-        return [(k, [a for a in variant if a in g]) for k, g in enumerate(plan[1])]
-    if kind == LOOP:
-        owner = {a: k for k, g in enumerate(plan[1]) for a in g}
-        out: list[tuple[int, list[str]]] = []
-        for a in variant:
-            k = owner.get(a, 0)
-            if out and out[-1][0] == k:
-                out[-1][1].append(a)
-                continue
-            if k and (not out or out[-1][0]):
-                out.append((0, []))
-            out.append((k, [a]))
-        return out if out and not out[-1][0] else [*out, (0, [])]
-    if kind == "cut at":  # between a and b of the given pairs
-        out = [(0, [])]
-        for k, a in enumerate(variant):
-            if k and (variant[k - 1], a) in plan[1]:
-                out.append((0, []))
-            out[-1][1].append(a)
-        return out
-    raise ValueError(kind)
+PIECES = "array<struct<k:int,piece:array<string>>>"
 
 
-def split_logs(logs: DataFrame, plans: dict[str, tuple]) -> DataFrame:
-    """The sublogs of all nodes with a plan; child k of node x is x.k."""
+def _piece(k, piece):
+    return F.struct(k.cast("int").alias("k"), piece.alias("piece"))
+
+
+def _appended(pieces, a):
+    """pieces with ``a`` at the end of the last one."""
+    last = F.element_at(pieces, -1)
+    return F.concat(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.array(_piece(last["k"], F.concat(last["piece"], F.array(a)))))
+
+
+def _loop_pieces(variant, groups):
+    """Runs of one group each, with an empty body before a redo part that has none, and at the end."""
+    owner = lambda a: F.greatest(F.array_position(F.transform(groups, lambda g: F.array_contains(g, a)), F.lit(True)) - 1, F.lit(0)).cast("int")
+    none, body = F.array().cast(PIECES), F.array(_piece(F.lit(0), F.array().cast("array<string>")))
+    last = lambda x: F.coalesce(F.try_element_at(x, F.lit(-1))["k"], F.lit(-1))
 
-    def run(frames):
-        for pdf in frames:
-            rows = [(f"{node}.{k}", piece, n) for node, v, n in zip(pdf["node"], pdf["variant"], pdf["n"]) if node in plans for k, piece in _pieces(list(v), plans[node])]
-            yield pd.DataFrame(rows, columns=["node", "variant", "n"])
+    def step(done, a):
+        k = owner(a)
+        before = F.when((k > 0) & (last(done) != 0), F.concat(done, body)).otherwise(done)
+        return F.when(last(done) == k, _appended(done, a)).otherwise(F.concat(before, F.array(_piece(k, F.array(a)))))
 
-    return logs.mapInPandas(run, "node string, variant array<string>, n long").groupBy("node", "variant").agg(F.sum("n").alias("n"))
+    return F.aggregate(variant, none, step, lambda done: F.when(last(done) == 0, done).otherwise(F.concat(done, body)))
+
+
+def _cut_pieces(variant, pairs):
+    """The trace cut between neighbours that are among the pairs."""
+    inside = lambda a, b: F.exists(pairs, lambda p: (p[0] == a) & (p[1] == b))
+    first = F.array(_piece(F.lit(0), F.slice(variant, F.lit(1), F.lit(1))))
+    steps = F.transform(F.sequence(F.lit(1), F.size(variant) - 1), lambda i: F.struct(F.get(variant, i - 1).alias("a"), F.get(variant, i).alias("b")))
+    cut_ = lambda done, s: F.when(inside(s["a"], s["b"]), F.concat(done, F.array(_piece(F.lit(0), F.array(s["b"]))))).otherwise(_appended(done, s["b"]))
+    return F.when(F.size(variant) < 2, first).otherwise(F.aggregate(steps, first.cast(PIECES), cut_))
+
+
+def split_logs(logs: DataFrame, plans: dict[str, tuple]) -> DataFrame:
+    """The sublogs of all nodes with a plan; child k of node x is x.k. All kinds of plans are array functions over a table of plans."""
+    rows = [(node, plan[0], [list(x) for x in plan[1]] if len(plan) > 1 else []) for node, plan in plans.items()]
+    table = logs.sparkSession.createDataFrame(rows, "node string, kind string, groups array<array<string>>")
+    met = logs.join(F.broadcast(table), "node")  # open nodes of one level, with their alphabets
+    variant, groups, kind = F.col("variant"), F.col("groups"), F.col("kind")
+    own = lambda g: F.filter(variant, lambda a: F.array_contains(g, a))
+    sizes = F.transform(groups, lambda g: F.size(own(g)))
+    best = F.array_position(sizes, F.array_max(sizes)) - 1
+    pieces = (
+        F.when(kind.isin("rest", "drop"), F.when(F.size(variant) > 0, F.array(_piece(F.lit(0), variant))).otherwise(F.array().cast(PIECES)))
+        .when(kind == XOR, F.array(_piece(best, own(F.get(groups, best.cast("int"))))))
+        .when(kind == LOOP, _loop_pieces(variant, groups))
+        .when(kind == "cut at", _cut_pieces(variant, groups))
+        .otherwise(F.transform(groups, lambda g, k: _piece(k, own(g))))
+    )
+    found = met.select("node", "n", F.explode(pieces).alias("p")).select(F.concat_ws(".", "node", F.col("p.k").cast("string")).alias("node"), F.col("p.piece").alias("variant"), "n")
+    return found.groupBy("node", "variant").agg(F.sum("n").alias("n"))
 
 
 def inductive_miner(table: DataFrame, noise_threshold: float = 0.0) -> tuple[Tree, DataFrame]:
