@@ -1,39 +1,15 @@
-"""Shared folder for intermediate tables, and small column helpers."""
+"""Intermediate tables, as the rest of the library writes them, and small column helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-VOCABULARY = "byte_bpe_50k.json"
-
+from ..runtime import cut
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir of the session.
 
-    Where that is unset, a temporary folder of this machine serves a local master; on a cluster executors could not
-    see it, so that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("tracemill.shared.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors see")
-        found = "file://" + tempfile.mkdtemp(prefix="tracemill-")
-        spark.conf.set("tracemill.shared.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends at files that survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tracemill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def free_name(columns: list[str], name: str) -> str:
