@@ -576,15 +576,23 @@ def stream(text: str, vocab: Vocabulary) -> Iterator[np.ndarray]:
     import re
 
     parts = re.split("(" + "|".join(re.escape(s) for s in sorted(vocab.specials, key=len, reverse=True)) + ")", text) if vocab.specials else [text]
+    held: list[str] = []  # short parts and special tokens, encoded together
+    size = 0
     for k, part in enumerate(parts):
-        if k % 2:
-            yield np.array([vocab.specials[part]], np.uint32)
-            continue
-        for pieces in blocks(part):
-            coded = pieces.dictionary_encode()
-            flat, lengths = vocab.pieces(coded.dictionary, True)
-            which = np.asarray(coded.indices, dtype=np.int64)
-            yield flat[ragged((np.cumsum(lengths) - lengths)[which], lengths[which])]
+        if held and (size >= BLOCK or len(part) > BLOCK):
+            yield encode_texts(["".join(held)], vocab, True)[0]
+            held, size = [], 0
+        if k % 2 == 0 and len(part) > BLOCK:
+            for pieces in blocks(part):
+                coded = pieces.dictionary_encode()
+                flat, lengths = vocab.pieces(coded.dictionary, True)
+                which = np.asarray(coded.indices, dtype=np.int64)
+                yield flat[ragged((np.cumsum(lengths) - lengths)[which], lengths[which])]
+        else:
+            held.append(part)
+            size += len(part)
+    if held:
+        yield encode_texts(["".join(held)], vocab, True)[0]
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
