@@ -384,3 +384,21 @@ def test_empty_cases_and_nulls(spark):
     rows = spark.createDataFrame([("1", None, "start"), ("1", "a", None), ("2", "b", "complete"), (None, "c", None)], "case_id string, activity string, lifecycle string")
     log = log_from_table(rows, "case_id", "activity", lifecycle="lifecycle")
     assert as_dict(variants(log)) == {",a": 1, "b": 1}
+
+
+def test_xes_traces_stay_with_their_events(spark, sf, tmp_path):
+    """Cases and events come from exchanges by case of unlike sizes, whose small partitions are put together differently."""
+    from tracemill.queries.base import user_days
+
+    given = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in given}
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        S.write_xes(user_days(spark, sf), str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    name = lambda kids: next(k[2] for k in kids if k[1] == "concept:name")
+    found = sorted((name(e[3]), sum(k[0] == "event" for k in e[3])) for d in documents(tmp_path / "out") for e in flat(d) if e[0] == "trace")
+    assert found == sorted((r["case_id"], r["count"]) for r in user_days(spark, sf).events.groupBy("case_id").count().collect())
