@@ -418,3 +418,37 @@ def test_documents_tell_objects_apart_by_rows(spark):
         found = [json.loads(r["value"]) for r in made.collect()]
         assert sum(len(d["events" if version == 2 else "ocel:events"]) for d in found) == 60 and len(found) > 1
         assert all(len(listed(d)) == len(set(listed(d))) <= 10 for d in found) and {o for d in found for o in listed(d)} == {f"o{k}" for k in range(7)} | {f"b{k}" for k in range(3)}
+
+
+def test_relations_at_hand_give_what_tables_give(spark):
+    """Repeated relations, an object listed at two places, ids that are null, and events at one time."""
+    pairs = "array<struct<object_id:string,rel_ix:int,type:string>>"
+    rows = [
+        ("e1", "a", 1, [("o1", 0, "order"), ("i1", 1, "item"), ("i2", 2, "item"), ("i1", 1, "item"), ("b1", 3, "box")]),
+        ("e2", "b", 2, [("o1", 0, "order"), ("o1", 1, "order"), ("i2", 2, "item"), ("i2", 5, "item"), (None, 6, "box")]),
+        ("e3", "c", 2, [("i1", 0, "item"), ("o2", 1, "order")]),
+        ("e4", "c", 2, [("o1", 0, "order")]),
+        ("e5", "d", 3, []),
+    ]
+    related = spark.createDataFrame([(e, a, t, [list(p) for p in r]) for e, a, t, r in rows], f"event_id string, activity string, t int, related {pairs}").select("event_id", "activity", F.timestamp_seconds("t").alias("ts"), F.struct("t", "activity").alias("ord"), "related")
+    touches = related.select("event_id", F.inline("related"))
+    events, relations, known = related.drop("related"), touches.select("event_id", "object_id", "rel_ix"), touches.filter("object_id is not null").select("object_id", "type").distinct()
+    plain = lambda df: sorted(str([sorted(v.items()) if isinstance(v, dict) else v for v in r]) for r in df.collect())
+    by_tables = objects.object_log(events, known, relations, ["order"])
+    for settled in (False, True):
+        at_hand = objects.object_log(events, known, relations, ["order"], related, settled)
+        for kind in ("order", "item", "box"):
+            assert plain(objects.flatten(at_hand, kind).events) == plain(objects.flatten(by_tables, kind).events)
+        for a, b in zip(objects.object_centric_dfg(at_hand), objects.object_centric_dfg(by_tables)):
+            assert plain(a) == plain(b)
+    with pytest.raises(ValueError):
+        objects.flatten(at_hand, "crate")
+
+
+def test_flattening_exchanges_little(spark, sf):
+    """Lines told apart, and events dealt by case: nothing else is exchanged; rows that are ordered for the map carry no event ids."""
+    from tracemill.queries.base import order_objects
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan(objects.flatten(order_objects(spark, sf), "order").events).count("Exchange ") <= 2
+    assert "event_id" not in plan(objects.object_centric_dfg(order_objects(spark, sf))[0])
