@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helpers import as_dict
+from tracemill import log as logs
 from tracemill.log import log_from_table
 from tracemill.operators import dfg, objects, ranges, timeline
 from tracemill.operators.variants import variants
@@ -125,3 +126,15 @@ def test_batches_take_no_single_task(spark, sf):
 
 def test_variants_of_the_log_are_as_before(hot_log):
     assert sum(as_dict(variants(hot_log())).values()) == 401
+
+
+def test_large_logs_are_dealt_over_more_partitions(spark, monkeypatch):
+    """A task orders about as many rows whatever the table's size, and the graph is that of the table ordered whole."""
+    rows = spark.range(20_000).select((F.col("id") % 5_000).cast("string").alias("case"), F.concat(F.lit("a"), (F.hash("id") % 3).cast("string")).alias("activity"), F.col("id").alias("at"))
+    plain = dfg.discover_dfg(log_from_table(rows, "case", "activity", order_by=["at"]))
+    expected = sorted(map(tuple, plain.edges.collect()))
+    monkeypatch.setattr(logs, "TASK_ROWS", 1_000, raising=False)
+    made = log_from_table(rows, "case", "activity", order_by=["at"])
+    sizes = [r["count"] for r in made.events.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) == 20 and max(sizes) < 2_000
+    assert sorted(map(tuple, dfg.discover_dfg(made).edges.collect())) == expected

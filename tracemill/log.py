@@ -62,12 +62,22 @@ class EventLog:
         return f(self, *args, **settings)
 
 
+#: Rows of cases that one task orders, about: a larger table is dealt over more partitions than the session has.
+TASK_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, size: int, *keys: str) -> DataFrame:
+    """rows (``size`` of them) by key over as many partitions as hold about TASK_ROWS each; as they are where the session's partitions suffice."""
+    n = -(-size // TASK_ROWS)
+    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def log_from_table(df: DataFrame, case: Column | str | None = None, activity: Column | str = "activity", ts: Column | str | None = None, resource: Column | str | None = None, lifecycle: Column | str | None = None, order_by: Sequence[Column | str] = (), keep: Sequence[str] = (), hot_rows: int | None = None) -> EventLog:
     """Any table as a log.
 
     The case column is ``case:concept:name`` if it is there and none is given, else the first column. ``order_by``
     fixes the order of a case's events; ties go by label. Rows without a case are dropped. The only exchange is by
-    case, and later windows over cases reuse it.
+    case, and later windows over cases reuse it; rows are counted first, so that its partitions grow in number and not in size.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
     if case is None:
@@ -84,7 +94,7 @@ def log_from_table(df: DataFrame, case: Column | str | None = None, activity: Co
         *keep,
     ).filter("case_id is not null")
     if hot_rows is None:
-        events = rows.withColumn("pos", F.row_number().over(W.partitionBy("case_id").orderBy("order_", "activity")) - 1)
+        events = dealt(rows, df.count(), "case_id").withColumn("pos", F.row_number().over(W.partitionBy("case_id").orderBy("order_", "activity")) - 1)
     else:
         from .operators.ranges import with_place
 

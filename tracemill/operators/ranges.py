@@ -63,8 +63,6 @@ HOT = 1_000_000
 def hot_groups(rows: DataFrame, group: list[str], limit: int | None = None) -> DataFrame | None:
     """The groups of over ``limit`` rows, fewer than rows / limit of them; nothing if there are none. Groups named by a null are never among them."""
     limit = HOT if limit is None else limit
-    if rows.count() <= limit:
-        return None
     found = cut(rows.groupBy(*group).agg(F.count("*").alias("rows_")).filter(F.col("rows_") > limit).select(*group), "hot")
     return found if found.limit(1).count() else None
 
