@@ -184,6 +184,21 @@ def test_forest_learns_what_decides(spark):
     assert error < 1.5
 
 
+def test_forest_makes_its_rows_once(spark):
+    """Fitting goes over the rows several times; what they follow from is done once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        made.add(1)
+        return x
+
+    df = spark.range(200).select(counted((F.col("id") % 3).cast("int")).alias("x"), F.concat(F.lit("after "), (F.col("id") % 3).cast("string")).alias("next_activity"))
+    model = prediction.forest(df, ["x"], "next_activity", trees=3)
+    assert made.value == 200
+    assert model.transform(df).filter("predicted <> next_activity").count() == 0
+
+
 def test_loops_are_told_in_dependencies(spark):
     found = {(r["a"], r["b"]): (r["n"], round(r["value"], 6)) for r in heuristics.two_loops(variants_of(spark, REPEATS)).collect()}
     assert found == {("ask", "check"): (1, 0.5)}

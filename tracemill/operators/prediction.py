@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..log import BY_NAME, Classifier, EventLog, seconds
+from ..runtime import cut
 from .ranges import with_sum_before
 from .variants import labelled
 
@@ -67,16 +68,17 @@ def one_hot_features(rows: DataFrame, activities: list[str], width: int) -> Data
 def split_by_time(rows: DataFrame, train_fraction: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """Train and test rows by case start, undated cases last; no case is in both.
 
-    The cut is found from counts of cases per start, and only the starts' own table is ordered.
+    The cut is found from counts of cases per start, and only the starts' own table is ordered. Cases and the ids of those
+    to train on are written, as both are read several times.
     """
-    cases = rows.select("case_id", "case_start").distinct()
+    cases = cut(rows.select("case_id", "case_start").distinct(), "cases")
     late = F.coalesce(F.unix_micros("case_start"), F.lit((1 << 63) - 1))
     starts = cases.groupBy(late.alias("t")).agg(F.count("*").alias("n"))
     placed = with_sum_before(starts, [F.col("t")], "n", "above").select("t", "above")
     total = cases.agg(F.greatest(F.bround(F.count("*") * F.lit(train_fraction), 0), F.lit(1)).alias("cut"))
     tie = W.partitionBy("t").orderBy("case_id")
     ranked = cases.withColumn("t", late).join(placed, "t").withColumn("rank", F.col("above") + F.row_number().over(tie)).crossJoin(F.broadcast(total))
-    train = ranked.filter("rank <= cut").select("case_id")
+    train = cut(ranked.filter("rank <= cut").select("case_id"), "train-cases")
     return rows.join(train, "case_id", "left_semi"), rows.join(train, "case_id", "left_anti")
 
 
@@ -101,12 +103,13 @@ def evaluate(predicted: DataFrame, label: str) -> DataFrame:
 
 
 def forest(train: DataFrame, features: list[str], label: str, trees: int = 20, seed: int = 7):
-    """A fitted random-forest pipeline of Spark's own library: a classifier for text labels, a regressor for numbers."""
+    """A fitted random-forest pipeline of Spark's own library: a classifier for text labels, a regressor for numbers. Features and label are written once, as fitting reads them several times."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
+    train = cut(train.select(*features, label), "forest")
     gather = VectorAssembler(inputCols=features, outputCol="vector", handleInvalid="keep")
     if dict(train.dtypes)[label] == "double":
         return Pipeline(stages=[gather, RandomForestRegressor(featuresCol="vector", labelCol=label, predictionCol="predicted", numTrees=trees, seed=seed)]).fit(train)
