@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tempfile
 import zlib
 from collections import Counter
 
@@ -586,6 +587,73 @@ def test_language_model_knows_what_it_has_read(spark):
     assert max(got[i] for i in ids[:20]) < min(got[i] for i in ids[20:180])
 
 
+def sayings(seed: int) -> tuple[list[str], list[int]]:
+    """Texts made of a few phrases in any order, so that each phrase is in many of them whatever they begin with; one is empty, one null."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(300)]
+    phrases = [" ".join(rng.choice(words) for _ in range(6)) for _ in range(60)]
+    return [" ".join(rng.choice(phrases) if rng.random() < 0.7 else rng.choice(words) for _ in range(12)) for _ in range(400)] + ["", None], list(range(402))
+
+
+def test_language_model_knows_contexts_of_the_whole_corpus(spark, monkeypatch):
+    """A text's score is the same whether the corpus is counted in one part or dealt to many."""
+    d = make(spark, *sayings(4)).repartition(3).orderBy("doc_id")
+    d.write.parquet(path := tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/docs")
+    d = spark.read.parquet(path)
+    whole = {r["doc_id"]: r for r in lm.score(d, 100).collect()}
+    monkeypatch.setattr(lm.parts_of, "__defaults__", (4000,))  # contexts were counted in these
+    if hasattr(lm, "Deal"):
+        monkeypatch.setattr(lm.Deal.__init__, "__defaults__", (4000,))
+        monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)
+    dealt = {r["doc_id"]: r for r in lm.score(d, 100).collect()}
+    assert len(whole) == len(dealt) == 402
+    for i, r in whole.items():
+        assert (r["n_tokens"], r["n_known"]) == (dealt[i]["n_tokens"], dealt[i]["n_known"])
+        assert r["base_score"] == pytest.approx(dealt[i]["base_score"], rel=1e-9) and r["score"] == pytest.approx(dealt[i]["score"], rel=1e-6), i
+
+
+def test_language_model_answers_by_counting():
+    """What blocks are told of their positions' contexts and tail tokens, against counts over the whole corpus."""
+    texts, ids = sayings(5)
+    texts = [t or "" for t in texts]
+    train = np.array([i % 5 != 0 for i in ids])
+    counts = Counter(w for t, on in zip(texts, train) if on for w in [*WORD.findall(t), ""])
+    head = [w for w, _ in counts.most_common(50)]
+    mixer = lm.Mixer(head, np.array([counts[w] for w in head]), np.zeros(50, np.int64), 9.0, sum(counts.values()), len(counts), 9, 9)
+    after = {k: {} for k in lm.ORDERS}
+    spelled = [[None] * 3 + [*WORD.findall(t), ""] for t in texts]
+    for ws, on in zip(spelled, train):
+        for k in lm.ORDERS:
+            for i in range(3, len(ws)):
+                after[k].setdefault(tuple(ws[i - k : i]), Counter())[ws[i]] += int(on)
+    deal, asked, blocks = lm.Deal(sum(map(len, texts)), 2000), {}, []
+    for a in range(0, len(texts), 90):
+        rows = lm.Rows(deal, 50, *mixer.tokens_in(pa.array(texts[a : a + 90], pa.large_string())), train[a : a + 90])
+        blocks.append((a, rows))
+        for part, size, columns in rows.asked():
+            asked.setdefault(part, []).append((len(blocks) - 1, size, columns))
+    assert deal.parts > 5 and {p >= deal.parts for p in asked} == {True, False}
+    said = {}
+    for part, found in asked.items():
+        for (block, size, _), data in zip(found, lm.answers(deal, part, [(n, x) for _, n, x in found])):
+            said[block, part] = (size, data)
+    for b, (a, rows) in enumerate(blocks):
+        cells, tails = lm.told(deal, rows, [(p, *said[b, p]) for p in sorted(p for x, p in said if x == b)])
+        for code, n in zip(rows.codes, tails):
+            assert counts[rows.tokens[list(rows.codes).index(code)].as_py().decode()] == n
+        at = 0
+        for ws, on in zip(spelled[a : a + 90], train[a : a + 90]):
+            for i in range(3, len(ws)):
+                for c, k in zip(cells, lm.ORDERS):
+                    here = after[k][tuple(ws[i - k : i])].copy()
+                    here[ws[i]] -= int(on)
+                    n, most = sum(here.values()), max(here.values())
+                    assert c[at] >> 1 == lm.cells_of(np.array([n]), np.array([most]), np.array([0]))[0] >> 1, (ws, i, k)
+                    assert not c[at] & 1 or here[ws[i]] == most > 0
+                    assert c[at] & 1 or most == 0 or here[ws[i]] < most or sum(x == most for x in here.values()) > 1
+                at += 1
+
+
 def test_language_model_parts_of_a_hot_text(spark):
     """A text that fills more than a part is dealt to several, and every row is scored."""
     texts = ["one hot text of some words that comes again and again"] * 400 + [f"text {k} of its own with other words {k * 7}" for k in range(100)]
