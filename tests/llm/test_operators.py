@@ -612,6 +612,29 @@ def test_language_model_knows_contexts_of_the_whole_corpus(spark, monkeypatch):
         assert r["base_score"] == pytest.approx(dealt[i]["base_score"], rel=1e-9) and r["score"] == pytest.approx(dealt[i]["score"], rel=1e-6), i
 
 
+def test_language_model_deals_frequent_contexts(spark, monkeypatch):
+    """Contexts of frequent words are dealt to many parts, without another score; rows that begin alike do not meet in one."""
+    texts, ids = sayings(8)
+    d = make(spark, texts, ids).repartition(3).orderBy("doc_id")
+    d.write.parquet(path := tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/docs")
+    d = spark.read.parquet(path)
+    whole = {r["doc_id"]: r["score"] for r in lm.score(d, 100).collect()}
+    monkeypatch.setattr(lm.Deal.__init__, "__defaults__", (4000,))
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(lm, "HOT", 0.3)
+    dealt = {r["doc_id"]: r["score"] for r in lm.score(d, 100).collect()}
+    assert dealt == pytest.approx(whole, rel=1e-6)
+    seen = d.filter(~lm.held_out())
+    mixer, shares = lm.train(seen, lm.token_counts(seen), 100), []
+    texts = pa.array([f"w{k} " + (t or "") for k, t in enumerate(texts)], pa.large_string())
+    for most in (1e9, 0.3):
+        monkeypatch.setattr(lm, "HOT", most)
+        rows = lm.Rows(lm.Deal(400_000, 4000).knows(mixer), len(mixer.tokens), *mixer.tokens_in(pa.concat_arrays([texts] * 2)), np.ones(2 * len(texts), bool))
+        hot = [n for p, n, _ in rows.asked() if p >= rows.deal.parts + rows.deal.tails]
+        shares.append((len(rows.hot), sum(hot) > 0 and max(hot) < 0.5 * sum(hot)))
+    assert shares[0] == (0, False) and shares[1][0] > 1000 and shares[1][1], shares
+
+
 def test_language_model_answers_by_counting():
     """What blocks are told of their positions' contexts and tail tokens, against counts over the whole corpus."""
     texts, ids = sayings(5)
