@@ -420,6 +420,68 @@ def test_documents_tell_objects_apart_by_rows(spark):
         assert all(len(listed(d)) == len(set(listed(d))) <= 10 for d in found) and {o for d in found for o in listed(d)} == {f"o{k}" for k in range(7)} | {f"b{k}" for k in range(3)}
 
 
+def test_documents_read_back_without_exchange(spark, sf, tmp_path):
+    """Documents are small files, and their events know their objects' types: nothing is dealt out to read them, and only order lines to write them."""
+    from tracemill.queries.base import order_objects
+    from tracemill.queries.files import _documents
+
+    log = order_objects(spark, sf)
+    for version in (2, 1):
+        made = _documents(log, version, size=1000)
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1 and "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+        path = str(tmp_path / f"v{version}")
+        made.write.option("maxRecordsPerFile", 1).text(path, compression="gzip")
+        rows = spark.read.text(path)
+        assert rows.agg(F.max(F.length("value"))).first()[0] < 1_000_000
+        found = S.read_ocel(spark, path, kept=False)
+        assert "Exchange" not in found.related._jdf.queryExecution().executedPlan().toString()
+        plain = lambda df: df.select("event_id", "activity", "ts", F.inline("related")).select("event_id", "activity", "ts", "object_id", "rel_ix", "type")
+        assert plain(found.related).exceptAll(plain(log.related)).count() == plain(log.related).exceptAll(plain(found.related)).count() == 0
+        assert found.relations.count() == plain(log.related).count()
+
+
+def test_types_of_a_document_are_used_if_they_are_those_of_all(spark, tmp_path):
+    """An object that another document lists with another type, that none lists, or whose id has the separator in it, is looked up in all documents."""
+    kinds, events = pack_log(4)
+    events = [(i, a, t, [o for o in os if o in kinds]) for i, a, t, os in events]
+    later = ({"i0": "box", "o9": "order"}, [("z", "late", "2024-01-02T00:00:00Z", ["o9"])])
+    odd = ({"o\0x": "order"}, [("y", "odd", "2024-01-02T00:00:00Z", ["o\0x"])])
+    unlisted = ({"o8": "order"}, [("x", "bare", "2024-01-02T00:00:00Z", ["o8", "i1"])])
+    for k, (second, form) in enumerate([(None, as_v2), (None, as_v1), (later, as_v2), (later, as_v1), (odd, as_v2), (unlisted, as_v1)]):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        write(folder, "1.json", json.dumps(form(kinds, events, "x")))
+        if second:
+            write(folder, "2.json", json.dumps(form(*second, "y")))
+        log = S.read_ocel(spark, str(folder), kept=False)
+        assert (log.related is None) == (second is not None)
+        known = kinds | (second[0] if second else {})
+        touched = sorted((e, o, known[o]) for e, _, _, os in [*events, *(second[1] if second else [])] for o in os)
+        assert sorted((r["event_id"], r["object_id"], r["type"]) for r in objects.typed_relations(log).select("event_id", "object_id", "type").collect()) == touched
+
+
+def test_types_within_a_document(monkeypatch):
+    """Events before their objects wait for them, as long as they fit."""
+    import pyarrow as pa
+
+    from tracemill.sources import ocel
+
+    rows = [("a", 3, None, None, "o1\0i1", 2), ("a", 3, None, None, None, 0), ("a", 2, "o1", "order", None, 0), ("a", 2, "i1", "item", None, 0), ("b", 2, "o1", "box", None, 0), ("b", 3, None, None, "o1", 1), ("b", 3, None, None, "i1", 1), ("b", 3, None, None, "o1", 2)]
+
+    def types(size):
+        out = []
+        for k in range(0, len(rows), size):
+            path, kind, id_, name, touched, n = zip(*rows[k : k + size])
+            out.append((pa.array(path), pa.array([0] * len(path), pa.int64()), pa.array(kind, pa.int32()), pa.array(id_, pa.string()), pa.array(name, pa.string()), pa.array(touched, pa.string()), pa.array(n, pa.int32())))
+        return [t for part in ocel._types_in_document(iter(out)) for t in part.to_pylist()]
+
+    for size in (1, 3, 8):
+        found = types(size)
+        assert len(found) == 8 and found[0] == ["order", "item"] and found[1] == [] and found[5:] == [["box"], None, None]
+    monkeypatch.setattr(ocel, "HELD", 0)
+    assert types(1)[0] is None and types(1)[5] == ["box"]
+
+
 def test_relations_at_hand_give_what_tables_give(spark):
     """Repeated relations, an object listed at two places, ids that are null, and events at one time."""
     pairs = "array<struct<object_id:string,rel_ix:int,type:string>>"
